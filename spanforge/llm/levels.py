@@ -84,12 +84,16 @@ class IndexFamily:
 
     def classes(self) -> DataFrame:
         """All runs as one."""
-        paths = [p for level in self.levels for p in level]
+        paths = self.paths()
         if len(paths) > 1:
             paths = [self._merged(paths)]
         self.levels = [paths]
         return self.spark.read.parquet(*paths)
 
+    def paths(self) -> list[str]:
+        """Folders of the runs."""
+        return [p for level in self.levels for p in level]
+
 
 def contested(classes: DataFrame) -> DataFrame:
     """Classes whose key other classes have too, with their number ``m``: only

@@ -10,7 +10,8 @@ which loses no match: equal windows have their anchor at the same place.
 2. A stretch of windows that stands in the index as a whole is verified by a
    second hash over all its words; all its members but the earliest repeat.
 3. Where different stretches share an anchor, their windows are compared one by
-   one by 128-bit hashes of their words, spread over all tasks.
+   one by hashes of their words (64 bits besides the anchor's 64), spread over all
+   tasks.
 
 Defined results: a null text has no words; null doc_ids come first; rows that
 share a doc_id are ordered by a hash of their text, and identical rows count as
@@ -33,7 +34,7 @@ from . import anchors, common, levels
 from .suffix_dedup import anchor_rows
 
 _KEPT = T.StructType([T.StructField("did", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
-_WINDOWS = "key long, span long, did long, th int, rel int, start long, w1 long, w2 long"
+_WINDOWS = "key long, span long, did long, th int, rel int, start long, w long"
 
 
 class _WordHashes(dict):
@@ -59,7 +60,7 @@ def _word_values():
 
 
 def _windows(window: int):
-    schema = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("did", pa.int64()), ("th", pa.int32()), ("rel", pa.int32()), ("start", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("did", pa.int64()), ("th", pa.int32()), ("rel", pa.int32()), ("start", pa.int64()), ("w", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = common.Rows(schema, 1 << 23)
@@ -69,8 +70,7 @@ def _windows(window: int):
                 for x in items:
                     _, lo, hi = levels.unpack(x["pab"])
                     for s in range(lo, hi + 1):
-                        d = xxhash.xxh3_128_digest(b" ".join(words[s : s + window]))
-                        rows.add(x["key"], x["span"], did, th, s - lo, s, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
+                        rows.add(x["key"], x["span"], did, th, s - lo, s, xxhash.xxh3_64_intdigest(b" ".join(words[s : s + window])) - (1 << 63))
                 yield from rows.take()
         yield from rows.take(0)
 
@@ -116,11 +116,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, fanout:
     # identical rows of one document would give each window twice
     one_each = known.join(items, ["did", "th"]).dropDuplicates(["did", "th"])
     windows = common.settle(one_each.mapInArrow(_windows(window), _WINDOWS), f"{root}/windows")
+    common.free_shuffles(spark)
     place = F.struct("did", "th", "start")
-    earliest = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("least")).where("c > 1").drop("c")
-    late = windows.join(earliest, ["w1", "w2"]).where(place != F.col("least")).groupBy("key", "span").agg(F.collect_list(F.struct(F.col("rel").cast("long").alias("lo"), F.col("rel").cast("long").alias("hi"))).alias("parts"))
+    earliest = windows.groupBy("key", "w").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("least")).where("c > 1").drop("c")
+    late = windows.join(earliest, ["key", "w"]).where(place != F.col("least")).groupBy("key", "span").agg(F.collect_list(F.struct(F.col("rel").cast("long").alias("lo"), F.col("rel").cast("long").alias("hi"))).alias("parts"))
     found = classes.where("n > 1").select("key", "span", "rep").join(late, ["key", "span"], "full")
     found = common.settle(found, f"{root}/found")
+    for done in [f"{root}/windows", *family.paths()]:
+        common.drop(spark, done)
     common.free_shuffles(spark)
 
     first = levels.first_start(F.col("pab"))
@@ -128,6 +131,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, fanout:
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), levels.extent(F.col("pab")).alias("hi")))
     parts = F.when(is_first, F.col("parts")).otherwise(whole)
     starts = members.join(found, ["key", "span"]).select("did", "th", F.transform(parts, lambda x: F.struct((first + x["lo"]).alias("lo"), (first + x["hi"]).alias("hi"))).alias("parts")).where("parts is not null")
-    starts = starts.groupBy("did", "th").agg(F.flatten(F.collect_list("parts")).alias("starts"))
+    starts = common.settle(starts.groupBy("did", "th").agg(F.flatten(F.collect_list("parts")).alias("starts")), f"{root}/starts")
+    for done in (f"{root}/members", f"{root}/found"):
+        common.drop(spark, done)
+    common.free_shuffles(spark)
     kept = known.join(starts, ["did", "th"], "left").select("did", "text", "starts").mapInArrow(_keep(window), _KEPT)
     return kept.select(common.doc_id_back().alias("doc_id"), "n_words", "n_removed", "kept")

@@ -20,8 +20,8 @@ content-defined anchors (``anchors``), at least one in every window.
 Defined results: a null text is empty; a null doc_id is kept as null; rows that
 share a doc_id are separate documents, and repeated rows repeat each other;
 texts below ``window`` bytes and empty tables lose nothing; other columns are
-ignored.  Equality rests on two independent 64-bit hashes for whole stretches
-and on the bytes themselves within a shared head.
+ignored.  Equality rests on two independent 64-bit hashes for whole stretches and
+for the windows of dense heads, elsewhere on the bytes themselves.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from . import anchors, common, levels
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _CUTS = T.StructType([T.StructField("did", T.LongType()), T.StructField("th", T.IntegerType()), T.StructField("spans", _SPANS), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType())])
-_PIECES = "key long, span long, left binary, right binary, a int, b int, rel int, w1 long, w2 long"
+_PIECES = "key long, span long, left binary, right binary, a int, rel int, w long"
 _FOUND = "key long, span long, lo int, hi int"
 
 
@@ -71,7 +71,7 @@ def _byte_values():
 def _pieces(window: int, dense: int):
     """Contested stretches of each document: their bytes to both sides of the
     anchor, or one row for each window under a dense head."""
-    schema = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("rel", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("a", pa.int32()), ("rel", pa.int32()), ("w", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = common.Rows(schema)
@@ -80,11 +80,10 @@ def _pieces(window: int, dense: int):
                 for x in items:
                     pos, lo, hi = levels.unpack(x["pab"])
                     if x["m"] <= dense:
-                        rows.add(x["key"], x["span"], text[lo:pos][::-1], text[pos : hi + window], pos - lo, hi - lo, None, None, None, size=200 + hi + window - lo)
+                        rows.add(x["key"], x["span"], text[lo:pos][::-1], text[pos : hi + window], pos - lo, None, None, size=200 + hi + window - lo)
                     else:
                         for s in range(lo, hi + 1):
-                            d = xxhash.xxh3_128_digest(text[s : s + window])
-                            rows.add(x["key"], x["span"], None, None, None, None, s - lo, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), size=80)
+                            rows.add(x["key"], x["span"], None, None, None, s - lo, xxhash.xxh3_64_intdigest(text[s : s + window]) - (1 << 63), size=80)
                         yield from rows.take()
                 yield from rows.take()
         yield from rows.take(0)
@@ -210,17 +209,23 @@ def cuts(docs: DataFrame, window: int = 400, batches: int = 4, fanout: int = 2,
     items = rivals.groupBy("did", "th").agg(F.collect_list(F.struct("key", "span", "m", "pab")).alias("items"))
     pieces = known.join(items, ["did", "th"]).select("text", "items").mapInArrow(_pieces(window, dense), _PIECES)
     pieces = common.settle(pieces, f"{root}/pieces")
-    close = pieces.where("w1 is null").select("key", "span", "left", "right", "a")
+    common.free_shuffles(spark)
+    close = pieces.where("w is null").select("key", "span", "left", "right", "a")
     close = close.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_scan(window), _FOUND)
-    far = pieces.where("w1 is not null").select("key", "span", "rel", "w1", "w2")
-    twice = far.groupBy("key", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    far = far.join(twice, ["key", "w1", "w2"]).select("key", "span", F.col("rel").alias("lo"), F.col("rel").alias("hi"))
+    far = pieces.where("w is not null").select("key", "span", "rel", "w")
+    twice = far.groupBy("key", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    far = far.join(twice, ["key", "w"]).select("key", "span", F.col("rel").alias("lo"), F.col("rel").alias("hi"))
     whole = classes.where("n > 1").select("key", "span", F.lit(0).alias("lo"), levels.extent(F.col("rep.pab")).cast("int").alias("hi"))
     found = whole.unionByName(close).unionByName(far).groupBy("key", "span").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     found = common.settle(found, f"{root}/found")
+    for done in [f"{root}/pieces", *family.paths()]:
+        common.drop(spark, done)
     common.free_shuffles(spark)
 
     first = levels.first_start(F.col("pab"))
     starts = members.join(found, ["key", "span"]).select("did", "th", F.transform("parts", lambda x: F.struct((first + x["lo"]).alias("lo"), (first + x["hi"]).alias("hi"))).alias("parts"))
-    starts = starts.groupBy("did", "th").agg(F.flatten(F.collect_list("parts")).alias("starts"))
+    starts = common.settle(starts.groupBy("did", "th").agg(F.flatten(F.collect_list("parts")).alias("starts")), f"{root}/starts")
+    for done in (f"{root}/members", f"{root}/found"):
+        common.drop(spark, done)
+    common.free_shuffles(spark)
     return known.join(starts, ["did", "th"], "left").select("did", "th", "text", "starts").mapInArrow(_cut(window), _CUTS)
\ No newline at end of file

@@ -95,8 +95,24 @@ class IndexFamily:
         return [p for level in self.levels for p in level]
 
 
-def contested(classes: DataFrame) -> DataFrame:
-    """Classes whose key other classes have too, with their number ``m``: only
-    there can windows of one class equal some of another."""
-    shared = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return classes.join(shared, "key")
+def contested(family: IndexFamily) -> tuple[DataFrame, DataFrame]:
+    """(repeated, items) and an end to the runs, which are dropped.
+
+    ``repeated``: classes (key, span, rep) with more than one member.  ``items``:
+    per document (did, th) an array of those classes (key, span, m, pab) whose key
+    ``m`` > 1 classes share: only there can windows of one class equal some of
+    another.  Each step is written before the next begins, so that the exchanges
+    do not stand on disk together."""
+    spark, root = family.spark, family.root
+    classes = family.classes()
+    shared = common.settle(classes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"{root}/shared")
+    common.free_shuffles(spark)
+    rivals = common.settle(classes.select("key", "span", "rep.*").join(shared, "key"), f"{root}/rivals")
+    repeated = common.settle(classes.where("n > 1").select("key", "span", "rep"), f"{root}/repeated")
+    for path in family.paths():
+        common.drop(spark, path)
+    common.free_shuffles(spark)
+    items = common.settle(rivals.groupBy("did", "th").agg(F.collect_list(F.struct("key", "span", "m", "pab")).alias("items")), f"{root}/items")
+    common.drop(spark, f"{root}/rivals")
+    common.free_shuffles(spark)
+    return repeated, items

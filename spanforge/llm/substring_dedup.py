@@ -109,10 +109,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, fanout:
     family = levels.IndexFamily(spark, root, fanout)
     for i in range(batches):
         family.add(members.where(F.col("batch") == i))
-    classes = family.classes()
-
-    rivals = levels.contested(classes).select("key", "span", "rep.*")
-    items = rivals.groupBy("did", "th").agg(F.collect_list(F.struct("key", "span", "pab")).alias("items"))
+    repeated, items = levels.contested(family)
     # identical rows of one document would give each window twice
     one_each = known.join(items, ["did", "th"]).dropDuplicates(["did", "th"])
     windows = common.settle(one_each.mapInArrow(_windows(window), _WINDOWS), f"{root}/windows")
@@ -120,9 +117,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, fanout:
     place = F.struct("did", "th", "start")
     earliest = windows.groupBy("key", "w").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("least")).where("c > 1").drop("c")
     late = windows.join(earliest, ["key", "w"]).where(place != F.col("least")).groupBy("key", "span").agg(F.collect_list(F.struct(F.col("rel").cast("long").alias("lo"), F.col("rel").cast("long").alias("hi"))).alias("parts"))
-    found = classes.where("n > 1").select("key", "span", "rep").join(late, ["key", "span"], "full")
+    found = repeated.join(late, ["key", "span"], "full")
     found = common.settle(found, f"{root}/found")
-    for done in [f"{root}/windows", *family.paths()]:
+    for done in (f"{root}/windows", f"{root}/items", f"{root}/repeated"):
         common.drop(spark, done)
     common.free_shuffles(spark)
 

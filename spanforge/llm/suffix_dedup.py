@@ -203,10 +203,7 @@ def cuts(docs: DataFrame, window: int = 400, batches: int = 4, fanout: int = 2,
     family = levels.IndexFamily(spark, root, fanout)
     for i in range(batches):
         family.add(members.where(F.col("batch") == i))
-    classes = family.classes()
-
-    rivals = levels.contested(classes).select("key", "span", "m", "rep.*")
-    items = rivals.groupBy("did", "th").agg(F.collect_list(F.struct("key", "span", "m", "pab")).alias("items"))
+    repeated, items = levels.contested(family)
     pieces = known.join(items, ["did", "th"]).select("text", "items").mapInArrow(_pieces(window, dense), _PIECES)
     pieces = common.settle(pieces, f"{root}/pieces")
     common.free_shuffles(spark)
@@ -215,10 +212,10 @@ def cuts(docs: DataFrame, window: int = 400, batches: int = 4, fanout: int = 2,
     far = pieces.where("w is not null").select("key", "span", "rel", "w")
     twice = far.groupBy("key", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     far = far.join(twice, ["key", "w"]).select("key", "span", F.col("rel").alias("lo"), F.col("rel").alias("hi"))
-    whole = classes.where("n > 1").select("key", "span", F.lit(0).alias("lo"), levels.extent(F.col("rep.pab")).cast("int").alias("hi"))
+    whole = repeated.select("key", "span", F.lit(0).alias("lo"), levels.extent(F.col("rep.pab")).cast("int").alias("hi"))
     found = whole.unionByName(close).unionByName(far).groupBy("key", "span").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     found = common.settle(found, f"{root}/found")
-    for done in [f"{root}/pieces", *family.paths()]:
+    for done in (f"{root}/pieces", f"{root}/items", f"{root}/repeated"):
         common.drop(spark, done)
     common.free_shuffles(spark)
 

@@ -518,7 +518,7 @@ def time_labels(t):
 
 @query()
 def bootstrap_ci(t):
-    return evals.bootstrap(_scored(t).where("k % 50 = 0"), "iou", "k")
+    return evals.bootstrap(_scored(t), "iou", "k")
 
 
 def _replies(prompt: str) -> str:
@@ -539,7 +539,7 @@ def fake_client() -> FakeClient:
 
 
 def _demo_segments(t):
-    v = t("customer").where("c_custkey <= 60").select(F.format_string("v%03d", "c_custkey").alias("video_id"), (F.col("c_custkey") % 23 + 4).cast("double").alias("duration"))
+    v = t("customer").select(F.format_string("v%07d", "c_custkey").alias("video_id"), (F.col("c_custkey") % 23 + 4).cast("double").alias("duration"))
     return spans.plan_segments(v, 5, 5).withColumn("clip_path", F.concat_ws("/", F.lit("clips"), "video_id", "segment_id"))
 
 

@@ -190,8 +190,9 @@ def test_packing_round_trip(documents):
 
 def test_word_tokens_equal_the_tokenizer():
     tokens = packing.WordTokens(f"{TOK}/byte_bpe_50k.json")
+    assert tokens.fast is not None
     rng = random.Random(2)
-    parts = ["a", "it's", "Der", " ", "  ", "\n", " \n", "\t", " ", "é", "<|endoftext|>", "x<|endoftext|>y", "12", "?!", "日本", "'ll", "\x00", "　", "\x1c", "�"]
+    parts = ["a", "it's", "Der", " ", "  ", "\n", " \n", "\t", " ", "é", "<|endoftext|>", "x<|endoftext|>y", "12", "?!", "日本", "'ll", "über", "Straße,", "x²", "½", "ª", "\xad", "don't", "A1b", "\xa0", "\x00", "　", "\x1c", "�"]
     for _ in range(4000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         assert tokens.of(text) == tokens.direct(text), repr(text)

@@ -38,14 +38,14 @@ LENGTH, END = 2048, 0
 _PIECE = "did long, th int, piece int, start long, length int, ids_crc32 long, ids binary"
 
 
-#: Words of these characters only have one reading in any regex engine.
-_PLAIN = re.compile("[!-~\u00a1-\u024f]+")
+#: Texts of these characters only have one reading in any regex engine.
+_PLAIN = re.compile("[\t\n\r !-~\u00a1-\u024f]*")
 #: Fixed value: the pattern that byte-level tokenizers split text by before merging.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _fast_encoder(path: str):
-    """An encoder of the file's own vocabulary and merges with less overhead a word;
+    """An encoder of the file's own vocabulary and merges with less overhead;
     None if its merges are not in the order of its ids."""
     import tiktoken
 
@@ -60,13 +60,9 @@ def _fast_encoder(path: str):
     return tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-class WordTokens(dict):
-    """Token ids (little-endian 32-bit) of words after a space, remembered for up
-    to ``limit`` words. White space starts a new token in this pattern, so a word
-    that a single space parts from the next is tokenized alike anywhere. Plain words
-    go through the faster encoder, everything else through the tokenizer itself."""
-
-    limit = 400_000
+class TextTokens:
+    """Token ids of texts, as little-endian 32-bit numbers. Plain texts go through the
+    faster encoder, all others through the tokenizer itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -77,40 +73,13 @@ class WordTokens(dict):
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        if self.fast is not None and _PLAIN.fullmatch(word) and "<|" not in word:
-            value = array("I", self.fast.encode_ordinary(" " + word)).tobytes()
-        else:
-            value = self.direct(" " + word)
-        self[word] = value
-        return value
-
     def of(self, text: str) -> bytes:
-        words = text.split(" ")
-        if len(words) < 3:
-            return self.direct(text)
-        # an empty word, or one that white space begins or ends, takes part in a longer run
-        odd = [i for i, w in enumerate(words) if not w or w[0].isspace() or w[-1].isspace()]
-        if not odd:
-            return self.direct(words[0]) + b"".join(map(self.__getitem__, words[1:]))
-        out, i, n = [], 0, len(words)
-        marks = set(odd)
-        while i < n:
-            j = i
-            while j in marks:  # up to and with the next plain word
-                j += 1
-            run = words[i : j + 1]
-            if i and len(run) == 1:
-                out.append(self[run[0]])
-            else:
-                out.append(self.direct((" " if i else "") + " ".join(run)))
-            i = j + 1
-        return b"".join(out)
+        if self.fast is not None and "<|" not in text and _PLAIN.fullmatch(text):
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
+        return self.direct(text)
 
 
-_loaded: dict[str, WordTokens] = {}
+_loaded: dict[str, TextTokens] = {}
 
 
 def _pieces(path: str, length: int, end: int, with_ids: bool):
@@ -119,7 +88,7 @@ def _pieces(path: str, length: int, end: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
-            _loaded[path] = WordTokens(path)
+            _loaded[path] = TextTokens(path)
         tokens = _loaded[path]
         rows = common.Rows(schema, 1 << 23)
         for batch in batches:

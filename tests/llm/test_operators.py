@@ -188,14 +188,17 @@ def test_packing_round_trip(documents):
     assert bins <= least * 1.01 + 1
 
 
-def test_word_tokens_equal_the_tokenizer():
-    tokens = packing.WordTokens(f"{TOK}/byte_bpe_50k.json")
+def test_text_tokens_equal_the_tokenizer():
+    tokens = packing.TextTokens(f"{TOK}/byte_bpe_50k.json")
     assert tokens.fast is not None
     rng = random.Random(2)
     parts = ["a", "it's", "Der", " ", "  ", "\n", " \n", "\t", " ", "é", "<|endoftext|>", "x<|endoftext|>y", "12", "?!", "日本", "'ll", "über", "Straße,", "x²", "½", "ª", "\xad", "don't", "A1b", "\xa0", "\x00", "　", "\x1c", "�"]
     for _ in range(4000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         assert tokens.of(text) == tokens.direct(text), repr(text)
+    for c in map(chr, [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)]):
+        for text in (c, c * 3, f"a{c}b 1{c}2 {c}{c} x", f" {c}'s\n{c}\t{c}  {c}"):
+            assert tokens.of(text) == tokens.direct(text), repr(text)
 
 
 @pytest.mark.parametrize("seed", range(5))

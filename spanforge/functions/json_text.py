@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import domains
-from .text import enum_or, without_reasoning
+from .text import enum_or, scrubbed, without_reasoning
 
 REQUIRED = ("segment_id", "time_range", "visual_description", "audio_description", "confidence", "evidence_strength")
 
@@ -97,3 +97,17 @@ def normalized_caption(raw: Column, modality: Column, default: Column) -> Column
         F.when(broken, "weak").otherwise(F.when(parsed, enum_or(j["evidence_strength"], domains.EVIDENCE_RANK, "ambiguous")).otherwise("ambiguous")).alias("evidence_strength"),
         F.when(broken, "salvaged").otherwise("normalized").alias("status"),
     )
+
+
+def merged_caption(audio: Column, video: Column, default: Column) -> Column:
+    """A video model's reply with an audio model's text beside it, cleared of emotion
+    words; status 'merged' if there is such a text."""
+    c, heard = normalized_caption(video, F.lit("video"), default), F.trim(F.coalesce(audio, F.lit("")))
+    has = F.length(heard) > 0
+    return c.withField("audio_description", F.when(has, scrubbed(heard)).otherwise(c["audio_description"])).withField("status", F.when(has, "merged").otherwise(c["status"]))
+
+
+def caption_of(modality: Column, raw: Column, audio: Column, video: Column, model: Column) -> Column:
+    """A model's reply by its modality, with its model's default confidence."""
+    default = F.coalesce(F.create_map(*[F.lit(x) for m, (_, _, _, d) in domains.MODELS.items() for x in (m, d)])[model], F.lit("low"))
+    return F.when(modality == "audio_video", merged_caption(audio, video, F.lit("low"))).otherwise(normalized_caption(raw, modality, default))

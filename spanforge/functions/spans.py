@@ -35,6 +35,13 @@ def segment_id(index: Column) -> Column:
     return F.format_string("s%03d", index + 1)
 
 
+def grid_span(segment: Column, seconds: float = 5.0) -> Column:
+    """struct<start,end,index> of a segment id on a fixed grid; an id without digits
+    is the first."""
+    n = F.coalesce(F.regexp_extract(segment, r"s(\d+)", 1).try_cast("int"), F.lit(1))
+    return F.struct(((n - 1) * F.lit(float(seconds))).alias("start"), (n * F.lit(float(seconds))).alias("end"), n.alias("index"))
+
+
 def clip_name(segment: Column, index: Column, start: Column, end: Column) -> Column:
     return F.format_string("%s_%03d_%.2f_%.2f.mp4", segment, index, start, end)
 

@@ -12,6 +12,11 @@ from . import domains
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def once(x: Column, use) -> Column:
+    """``use(x)`` with x worked out once however often ``use`` names it."""
+    return F.transform(F.array(x), use)[0]
+
+
 def normalized(x: Column) -> Column:
     """Lower case, ASCII punctuation deleted, white space collapsed."""
     return F.trim(F.regexp_replace(F.translate(F.lower(x), PUNCTUATION, ""), r"\s+", " "))
@@ -108,6 +113,11 @@ def cited_segments(x: Column) -> Column:
     return F.regexp_extract_all(F.regexp_extract(x, r"^\s*\[([^\]]*)\]", 1), F.lit(r"s\d+"), F.lit(0))
 
 
+def cited_segment(x: Column) -> Column:
+    """The segment of a cue's leading '[s001]', '' without one."""
+    return F.regexp_extract(x, r"^\s*\[(s\d+)\]", 1)
+
+
 def range_in_text(x: Column) -> Column:
     """[a, b] of the first '(a - b s)'."""
     a, b = (F.regexp_extract(x, r"\(([\d.]+)\s*-\s*([\d.]+)\s*s\)", i).try_cast("double") for i in (1, 2))
@@ -170,6 +180,44 @@ def payload(visual: Column, audio: Column) -> Column:
     return F.concat_ws("\n", side("Visual", visual), side("Audio", audio))
 
 
+def caption_span(own: Column, start: Column, end: Column) -> Column:
+    """A caption's range if it has two ends, else its segments' (null if unknown),
+    rounded to hundredths."""
+    known = F.when(start.isNotNull() & end.isNotNull(), F.array(start, end))
+    return F.transform(F.coalesce(F.when(F.size(own) == 2, own), known), lambda x: F.round(x, 2))
+
+
+def visual_prose(people: Column, scene: Column, expressions: Column, temporal: Column) -> Column:
+    """Prose for a structured caption: people (person, action), scene (location,
+    setting), expressions (person, facial_cues, body_cues) and a temporal description;
+    empty parts are left out."""
+
+    def full(c: Column) -> Column:
+        return F.when(F.length(c) > 0, c)
+
+    def cues(e: Column) -> Column:
+        all_ = F.filter(F.concat(F.coalesce(e["facial_cues"], F.array()), F.coalesce(e["body_cues"], F.array())), lambda c: F.length(c) > 0)
+        who = F.coalesce(F.concat(full(e["person"]), F.lit(": ")), F.lit(""))
+        return F.when(F.size(all_) > 0, F.concat(who, F.array_join(all_, ", ")))
+
+    who = F.transform(people, lambda p: full(F.trim(F.concat_ws(" ", full(p["person"]), full(p["action"])))))
+    place = F.concat(F.lit("Scene: "), full(F.concat_ws(" ", full(scene["location"]), full(scene["setting"]))))
+    return F.trim(F.concat_ws(" ", who, place, F.transform(expressions, cues), full(F.trim(temporal))))
+
+
+def clip_lines(segments: Column) -> Column:
+    """'Clip i -> id (a-bs)' lines of an array of (segment_id, start_time, end_time)."""
+    return F.array_join(F.transform(segments, lambda s, i: F.format_string("Clip %d -> %s (%.2f-%.2fs)", i + 1, s["segment_id"], s["start_time"], s["end_time"])), "\n")
+
+
+def grid_lines(duration: Column, cell: float = 5.0) -> Column:
+    """'s000: 0-5s' lines, numbered from 0, seconds rounded half to even."""
+    n = F.ceil(duration / cell).cast("int")
+    whole = lambda x: F.bround(x, 0).cast("long")
+    line = lambda i: F.format_string("s%03d: %d-%ds", i, whole(i * F.lit(float(cell))), whole(F.least((i + 1) * F.lit(float(cell)), duration)))
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), line), "\n")).otherwise("")
+
+
 def time_label(span: Column) -> Column:
     """'a-bs' with plain numbers, '' for anything but two ends."""
 

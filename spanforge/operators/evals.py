@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domains
 from ..functions.spans import iou
+from ..functions.text import says_yes
 from .stats import ratio
 
 THRESHOLDS = (0.3, 0.5, 0.7)
@@ -114,3 +115,14 @@ def widened(start: Column, end: Column, duration: Column, by: float = 2.5) -> tu
 def front_prior(duration: Column, share: float = 0.3) -> tuple[Column, Column]:
     """The baseline that always answers the front of the video."""
     return F.lit(0).cast("double"), duration * share
+
+
+def cue_check(replies: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label, flagged): a cue is flagged unless the reply for any clip is yes."""
+    return replies.groupBy(key, label).agg((~F.bool_or(says_yes(F.col("reply")))).alias("flagged"))
+
+
+def cue_confusion(checked: DataFrame, label: str, bad: str = "HALLUC", good: str = "GOOD") -> DataFrame:
+    """One row: tp, fn (bad cues flagged or not), fp, tn (good ones)."""
+    b, g, f = F.col(label) == bad, F.col(label) == good, F.col("flagged")
+    return checked.agg(*[F.count_if(c).alias(n) for n, c in (("tp", b & f), ("fn", b & ~f), ("fp", g & f), ("tn", g & ~f))])

@@ -154,3 +154,32 @@ def match_items(prompts: DataFrame, items: DataFrame) -> DataFrame:
     left = items.join(by_id, ["group", "pos"], "left_anti").select("group", "pos", F.col("pos").alias("slot"))
     by_place = left.join(by_id.select("group", "slot"), ["group", "slot"], "left_anti").join(prompts.select("group", "slot"), ["group", "slot"])
     return by_id.select("group", "slot", "pos").unionByName(by_place.select("group", "slot", "pos"))
+
+
+WINDOW_PROMPT = "In this {length} s clip, when does it happen: {query}"
+
+
+def window_scan(queries: DataFrame, client: Callable[[], Client], window: float = 30.0, stride: float = 15.0) -> DataFrame:
+    """(query_id, query_text, duration, clip_path) -> (query_id, start, end, support,
+    n_windows, n_present): each window is asked by itself, spans are set back on the
+    video and clamped, and the best cluster of them is the answer (null without any)."""
+    cut = queries.select("query_id", "query_text", "duration", "clip_path", F.posexplode(spans.scan_windows(F.col("duration"), window, stride)).alias("i", "w"))
+    prompt = text.rendered(WINDOW_PROMPT, length=F.col("w.length"), query=F.col("query_text"))
+    cut = cut.withColumns({"key": F.concat_ws("\t", "query_id", "i"), "prompt": prompt, "media": F.array_compact(F.array("clip_path"))})
+    said = cut.select("key", "query_id", "duration", "w").join(settled(model_stage(cut, client)), "key")
+    found = F.when(~text.not_present(F.col("raw")), text.time_span(F.col("raw")))
+    on_video = lambda r: F.struct(*[spans.clamp(F.col("w.start") + r[i], F.col("duration")).alias(n) for i, n in enumerate(("start", "end"))])
+    said = settled(said.select("query_id", text.once(found, on_video).alias("s")).select("query_id", "s.*"))
+    good = spans.valid_span(F.col("start"), F.col("end"))
+    counts = said.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(good).alias("n_present"))
+    best = intervals.cluster_vote(said.where(good), "query_id")
+    rows = queries.select("query_id").join(counts, "query_id", "left").join(best, "query_id", "left")
+    return rows.select("query_id", "start", "end", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("support", "n_windows", "n_present")])
+
+
+def with_placeholders(captions: DataFrame, segments: DataFrame) -> DataFrame:
+    """A caption for each segment: the first by ``pos``, or a neutral one."""
+    first = ranking.first_wins(captions, ["video_id", "segment_id"], "pos")
+    rows = segments.select("video_id", "segment_id").join(first, ["video_id", "segment_id"], "left")
+    neutral = {"person": "not described", "action": "not described", "sound": "no audible cue", "emotion": "neutral"}
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in neutral.items() if c in captions.columns})

@@ -52,3 +52,9 @@ def usage(calls: DataFrame, stage: str, measures: list[str]) -> DataFrame:
 def reground_counts(df: DataFrame) -> DataFrame:
     """(changed, fallback) over rows with old and new ids and whether the choice stood."""
     return df.agg(F.count_if(F.col("valid") & (F.col("new_ids") != F.col("old_ids"))).alias("changed"), F.count_if(~F.col("valid")).alias("fallback"))
+
+
+def evaluation_summary(traces: DataFrame, rounds: DataFrame) -> DataFrame:
+    """(part, value, n, pct): outcomes of queries and decisions of all rounds."""
+    parts = [histogram(df, c).select(F.lit(c).alias("part"), F.col(c).alias("value"), "n", "pct") for df, c in ((traces, "final_status"), (rounds, "decision"))]
+    return parts[0].unionByName(parts[1])

@@ -35,3 +35,9 @@ def version(text: str) -> str:
     """What stands behind PROMPT VERSION: in the first line, '' if nothing does."""
     first = text.split("\n", 1)[0]
     return first.partition("PROMPT VERSION:")[2].strip()
+
+
+def prompt_variants(spark, folder: str, variants: list[str], dimensions: list[str], pattern: str = "{variant}_{dimension}.txt"):
+    """(variant, dimension, template) for each pair, from a folder of files."""
+    rows = [(v, d, load_prompt(pattern.format(variant=v, dimension=d), [folder])) for v in variants for d in dimensions]
+    return spark.createDataFrame(rows, "variant string, dimension string, template string")

@@ -197,9 +197,10 @@ def _placed(plan):
     return run
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, with_ids: bool = False, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, with_ids: bool = False, salts: int = 512) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset) per piece.
-    ``path`` is a tokenizers file, ``with_ids`` adds the token ids themselves.
+    ``path`` is a tokenizers file, ``with_ids`` adds the token ids themselves; pieces of
+    one length are numbered in ``salts`` ranges, each in one task.
     See the module for its rules."""
     spark = docs.sparkSession
     root = common.scratch(spark, "packing")

@@ -227,9 +227,9 @@ def round_robin_sample(t):
     return ranking.round_robin(t("conversations").dropDuplicates(["conv_id", "turn"]), "conv_id", ["turn"], 100).select("conv_id", "turn", F.col("rn").cast("long").alias("rn"))
 
 
-@query("SELECT conv_id, max(turn) - min(turn) + 1 = count(DISTINCT turn) AS whole FROM conversations WHERE (conv_id + turn) % 5 <> 0 GROUP BY conv_id")
+@query("SELECT conv_id, role, max(turn) - min(turn) + 1 = count(DISTINCT turn) AS whole FROM conversations GROUP BY conv_id, role")
 def consecutive_span(t):
-    return t("conversations").where("(conv_id + turn) % 5 <> 0").groupBy("conv_id").agg(ranking.consecutive("turn").alias("whole"))
+    return t("conversations").groupBy("conv_id", "role").agg(ranking.consecutive("turn").alias("whole"))
 
 
 @query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS chunk FROM conversations")
@@ -237,11 +237,13 @@ def chunk_ids(t):
     return ranking.chunked(t("conversations").select("conv_id", "turn"), "conv_id", ["turn"], 4)
 
 
-@query("SELECT event_id FROM events e ANTI JOIN (SELECT user_id FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id UNION ALL SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND event_id % 7 = 0")
+@query("SELECT event_id, CASE WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') THEN 'needed' ELSE 'pending' END AS part FROM events")
 def resume_anti_join(t):
     e = t("events").select("event_id", "user_id", "event_type")
     done = e.where("event_type = 'purchase'")
-    return ranking.pending(e, done, ["user_id"]).select("event_id").unionByName(ranking.needed(e, done, ["user_id"]).where("event_id % 7 = 0").select("event_id"))
+    parts = ((ranking.pending, "pending"), (ranking.needed, "needed"))
+    a, b = (f(e, done, ["user_id"]).select("event_id", F.lit(name).alias("part")) for f, name in parts)
+    return a.unionByName(b)
 
 
 @query("SELECT count(*) FILTER (WHERE l.doc_id IS NOT NULL AND l.quality = 1) AS hits, count(*) FILTER (WHERE l.doc_id IS NULL OR l.quality = 0) AS todo FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -336,20 +338,12 @@ def word_overlap_pairs(t):
     return quality.similar_pairs(t("conversations"), "conv_id", "turn", "text", 0.2).select("conv_id", "a", "b", F.round("overlap", 6).alias("overlap"))
 
 
-def _scrub_sql(x: str) -> str:
-    for pattern, new in text.SCRUB:
-        if "(?=" in pattern:  # RE2 has no look-ahead: the letter is captured and put back
-            pattern, new = r"(?i)\b(a|an)\s*,\s*([a-z])", r"\1 \2"
-        x = f"regexp_replace({x}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
-    return x
-
-
 _MOOD = "array['a happy, low voice', 'She sighs, clearly expressing sadness and anger; then', 'a sad, high pitch and', 'no cue', 'very tense and', 'An upset, ALARMED crowd, showing some fear']"
 
 
-@query(f"SELECT doc_id, {_scrub_sql('x')} AS clean FROM (SELECT doc_id, ({_MOOD.replace('array', '')})[doc_id % 6 + 1] || ' ' || left(text, 60) AS x FROM documents WHERE text IS NOT NULL)")
+@query()  # SQL's engine has ASCII word boundaries only: tested against Python's
 def emotion_scrub(t):
-    d = t("documents").where("text is not null").select("doc_id", F.expr(f"element_at({_MOOD.replace('[', '(').replace(']', ')')}, cast(doc_id % 6 + 1 as int)) || ' ' || left(text, 60)").alias("x"))
+    d = t("documents").select("doc_id", F.expr(f"element_at({_MOOD.replace('[', '(').replace(']', ')')}, cast(doc_id % 6 + 1 as int)) || ' ' || text").alias("x"))
     return d.select("doc_id", text.scrubbed(F.col("x")).alias("clean"))
 
 
@@ -411,8 +405,8 @@ def payload_render(t):
     return t("conversations").where("length(trim(text)) > 0").select("conv_id", "turn", p.alias("payload"))
 
 
-def _turns(t):
-    return t("conversations").select("conv_id", F.col("turn").alias("index"), F.format_string("s%03d", F.col("turn")).alias("segment_id")).distinct()
+def _turns(t, *also):
+    return t("conversations").select("conv_id", *also, F.col("turn").alias("index"), F.format_string("s%03d", F.col("turn")).alias("segment_id")).distinct()
 
 
 @query("WITH s AS (SELECT DISTINCT conv_id, turn FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rk FROM s), q AS (SELECT conv_id, min(rk) AS lo, max(rk) AS hi FROM r WHERE turn IN (1, 2) GROUP BY conv_id) SELECT r.conv_id, string_agg(format('s{:03d}', turn), ',' ORDER BY rk) AS ids FROM r JOIN q ON q.conv_id = r.conv_id AND rk BETWEEN lo - 2 AND hi + 2 GROUP BY r.conv_id")
@@ -422,18 +416,18 @@ def candidate_band(t):
     return intervals.candidate_band(q, s, "conv_id", 2).select("conv_id", F.array_join("candidates", ",").alias("ids"))
 
 
-@query("SELECT conv_id, count(*) > 0 AND max(turn) - min(turn) + 1 = count(*) AND min(turn) >= 1 AS ok FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE (conv_id * 7 + turn) % 4 <> 0) GROUP BY conv_id")
+@query("SELECT conv_id, role, count(*) > 0 AND max(turn) - min(turn) + 1 = count(*) AND min(turn) >= 1 AS ok FROM (SELECT DISTINCT conv_id, role, turn FROM conversations) GROUP BY conv_id, role")
 def contiguity_check(t):
-    s = _turns(t).where("(conv_id * 7 + index) % 4 <> 0").groupBy("conv_id").agg(F.collect_list("segment_id").alias("c"), F.collect_list("index").alias("i"))
+    s = _turns(t, "role").groupBy("conv_id", "role").agg(F.collect_list("segment_id").alias("c"), F.collect_list("index").alias("i"))
     allowed = F.array(*[F.lit(f"s{i:03d}") for i in range(1, 60)])
-    return s.select("conv_id", intervals.valid_selection(F.col("c"), F.col("i"), allowed).alias("ok"))
+    return s.select("conv_id", "role", intervals.valid_selection(F.col("c"), F.col("i"), allowed).alias("ok"))
 
 
-@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM (SELECT * FROM conversations WHERE turn % 2 = 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3) GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM (SELECT * FROM conversations WHERE role <> 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3) GROUP BY conv_id")
 def looked_up_values(t):
     c = t("conversations")
     items = c.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    got = ranking.looked_up(items, ["conv_id"], "turns", c.where("turn % 2 = 0"), "turn", "role", 3)
+    got = ranking.looked_up(items, ["conv_id"], "turns", c.where("role <> 'user'"), "turn", "role", 3)
     return got.where("size(roles) > 0").select("conv_id", F.array_join("roles", ",").alias("roles"))
 
 
@@ -493,12 +487,12 @@ def recall_at_n(t):
     return r.agg(hit(1).alias("r_at_1"), hit(5).alias("r_at_5"), F.count_distinct("q").alias("n"))
 
 
-_PREDS = f"(SELECT k, 'm' || line AS model, s, e FROM {_L} WHERE line <= 3)"
+_PREDS = f"(SELECT k, 'm' || line AS model, s, e FROM {_L})"
 
 
 @query(f"WITH p AS {_PREDS}, i AS (SELECT a.k, max(greatest(0, least(a.e, b.e) - greatest(a.s, b.s))::DOUBLE / (greatest(a.e, b.e) - least(a.s, b.s))) AS among FROM p a JOIN p b ON a.k = b.k AND a.model < b.model GROUP BY a.k), f AS (SELECT o.k, max(coalesce({_IOU}, 0)) AS best FROM {_O} o JOIN p ON o.k = p.k GROUP BY o.k) SELECT k, round(among, 6) AS among, round(best, 6) AS best FROM i JOIN f USING (k) WHERE among >= 0.5 AND best < 0.3")
 def agreement_review(t):
-    models = _lines(t).where("line <= 3").select("k", F.concat(F.lit("m"), "line").alias("model"), "start", "end")
+    models = _lines(t).select("k", F.concat(F.lit("m"), "line").alias("model"), "start", "end")
     proposal = _orders(t).select("k", F.lit("proposal").alias("model"), F.col("g_start").alias("start"), F.col("g_end").alias("end"))
     return evals.agreement_review(models.unionByName(proposal), "k")
 

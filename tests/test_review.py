@@ -1,4 +1,5 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -133,3 +134,16 @@ def test_placeholders_and_variants(spark, tmp_path):
         (tmp_path / f"{v}_quality.txt").write_text(f"ask {v}")
     rows = prompts.prompt_variants(spark, str(tmp_path), ["p0", "p1"], ["quality"]).collect()
     assert [tuple(r) for r in rows] == [("p0", "quality", "ask p0"), ("p1", "quality", "ask p1")]
+
+
+def scrubbed_plainly(x):
+    for pattern, new in text.SCRUB:
+        x = x if x is None else re.sub(pattern, new.replace("$", "\\"), x)
+    return x
+
+
+def test_scrub_whole_texts(spark):
+    rows = [None, "", "sad", "A sad, low voice", "an, apple and éan, apple", "Léan, un; a, très; ean , x", "Élan showing some fear. Next, clearly expressing anger; end", "x " * 5000 + "very tense and", "  A crowd,\nof angry , men ;. or"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, x string")
+    got = [r.c for r in df.select("i", text.scrubbed(F.col("x")).alias("c")).orderBy("i").collect()]
+    assert got == [scrubbed_plainly(x) for x in rows]

@@ -1,26 +1,28 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of lines that a license word brings together.  A block is
-compressed with zstandard on its own and with each template as a raw-content
-dictionary; templates are ranked by how much their dictionary takes off its size.
-The best are confirmed, best first, by exact wording: the block's words are aligned
-with the template's, and a template is accepted if all of its fixed words (names
-and version numbers) stand in the block in the template's order and at most
-``tolerance`` of its words differ.
-
-Every line of every text is looked at.  Blocks repeat, so a worker remembers the
-answers for a bounded number of them.
+Candidate blocks are the words around each license sign, as many on either side as
+the longest notice may have, line breaks or not; blocks that touch are one.  In a
+block a template is confirmed by exact wording on one contiguous stretch: all of
+its fixed words (names and version numbers) stand there in the template's order,
+and at most ``tolerance`` of its number of words are missing, changed or inserted.
+Each stretch is compressed with zstandard on its own and with the template as a
+raw-content dictionary, under equal fixed parameters.  Where stretches overlap, the
+one whose dictionary takes most off its size is the notice; a saving only ranks and
+never rules out a wording.  A block gives all its notices.
+
+Every word of every text near a sign is looked at.
 
 Defined results: null and empty texts have no license; a null doc_id is kept;
 repeated rows get equal results; an empty table gives an empty result; other
-columns are ignored.  Of templates that tie, the first by name wins.
+columns are ignored.  Of templates that tie, the one with most words matched wins,
+then the one with fewest differences, then the first by name.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -59,75 +61,109 @@ FIXED = {
     "MIT": ("mit",),
     "MPL-2.0": ("mozilla", "public", "2.0"),
 }
-_SIGN = re.compile(rb"(?i)licen[cs]e|copyright|spdx|all rights reserved|public domain|redistribution|\bcc0\b|\bcc by\b")
+_SIGN = re.compile(r"(?i)licen[cs]e|copyright|spdx|all\s+rights\s+reserved|public\s+domain|redistribution|\bcc0\b|\bcc\s+by\b")
+_SIGN_BYTES = re.compile(_SIGN.pattern.encode())
 _WORDS = re.compile(r"\w+(?:[.-]\w+)*")
 
 
-def blocks(text: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """(block, wide): runs of adjacent lines that hold a license word, and the same
-    with the line before and the line after, for notices that are broken there."""
-
-    def taken() -> tuple[bytes, bytes]:
-        a = text.rfind(b"\n", 0, begin - 1) + 1 if begin else 0
-        b = text.find(b"\n", end + 1)
-        return text[begin:end], text[a : len(text) if b < 0 else b]
-
-    begin = end = -1
+def blocks(text: str, reach: int) -> Iterator[list[tuple[str, int, int]]]:
+    """Runs of (word, start, end) at most ``reach`` words from a license sign."""
+    words = [(m[0], m.start(), m.end()) for m in _WORDS.finditer(text)]
+    ends, begin, end = [w[2] for w in words], 0, -1
     for found in _SIGN.finditer(text):
-        if found.start() < end:
-            continue
-        a, b = text.rfind(b"\n", 0, found.start()) + 1, text.find(b"\n", found.end())
-        b = len(text) if b < 0 else b
-        if a != end + 1 or end < 0:
-            if end >= 0:
-                yield taken()
-            begin = a
-        end = b
+        at = bisect_right(ends, found.start())
+        if end >= 0 and at - reach > end:
+            yield words[begin:end]
+            begin = at - reach
+        elif end < 0:
+            begin = max(at - reach, 0)
+        end = min(at + reach + 1, len(words))
     if end >= 0:
-        yield taken()
+        yield words[begin:end]
+
+
+def _extended(want: list[str], have: list[str], held: list[bool], most: int) -> tuple[int, int] | None:
+    """(edits, length) of the prefix of ``have`` closest to all of ``want``, shortest
+    first; None if it takes more than ``most`` edits or one of a held word."""
+    if have[: len(want)] == want:
+        return 0, len(want)
+    far = most + 1
+    width = min(len(have), len(want) + most)
+    row = [min(j, far) for j in range(width + 1)]
+    for i, word in enumerate(want, 1):
+        low, high = max(i - most, 0), min(i + most, width)
+        new = [far] * (width + 1)
+        for j in range(low, high + 1):
+            best = far if held[i - 1] else row[j] + 1
+            if j:
+                if have[j - 1] == word:
+                    best = min(best, row[j - 1])
+                elif not held[i - 1]:
+                    best = min(best, row[j - 1] + 1)
+                best = min(best, new[j - 1] + 1)
+            new[j] = best
+        row = new
+        if min(row[low : high + 1], default=far) > most:
+            return None
+    edits = min(row)
+    return (edits, row.index(edits)) if edits <= most else None
 
 
 class Scanner:
-    limit = 50_000
-
     def __init__(self, templates: dict[str, str] = TEMPLATES, fixed: dict[str, tuple[str, ...]] = FIXED, tolerance: float = 0.25):
         self.names, self.tolerance = sorted(templates), tolerance
-        self.plain = zstandard.ZstdCompressor(level=19, write_checksum=False, write_content_size=False)
-        self.with_template = [zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for n in self.names]
+        # equal parameters with and without a dictionary, or sizes cannot be compared
+        equal = zstandard.ZstdCompressionParameters.from_level(19, source_size=1 << 14, dict_size=1 << 14, write_checksum=False, write_content_size=False, write_dict_id=False)
+        self.plain = zstandard.ZstdCompressor(compression_params=equal)
+        self.with_template = [zstandard.ZstdCompressor(compression_params=equal, dict_data=zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in self.names]
         self.words = [_WORDS.findall(templates[n].lower()) for n in self.names]
-        self.fixed = [set(fixed.get(n, ())) for n in self.names]
-        self.known: dict[bytes, list[tuple[str, int, int]]] = {}
-
-    def differences(self, words: list[str], template: int) -> int | None:
-        """Template words that the best aligned stretch lacks or changes; None if a
-        fixed word is among them."""
-        want = self.words[template]
-        matched = SequenceMatcher(None, want, words, autojunk=False).get_matching_blocks()
-        have = {k for m in matched for k in range(m.a, m.a + m.size)}
-        missing = [w for k, w in enumerate(want) if k not in have]
-        return None if self.fixed[template].intersection(missing) else len(missing)
-
-    def block(self, block: bytes, wide: bytes) -> list[tuple[str, int, int]]:
-        """(license, bytes saved, differing words) of each notice in a block; only if
-        no line of it is one, of the wide block."""
-        found = self.known.get(block)
-        if found is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            found = self.known[block] = [x for line in block.split(b"\n") for x in self._one(line)]
-        return found or self._one(wide.replace(b"\n", b" "))
-
-    def _one(self, block: bytes) -> list[tuple[str, int, int]]:
-        alone = len(self.plain.compress(block))
-        saved = [alone - len(c.compress(block)) for c in self.with_template]
-        words = _WORDS.findall(block.decode("utf-8", "replace").lower())
-        for t in sorted(range(len(saved)), key=lambda i: (-saved[i], self.names[i])):
-            if saved[t] <= 0:
-                break
-            wrong = self.differences(words, t)
-            if wrong is not None and wrong <= self.tolerance * len(self.words[t]):
-                return [(self.names[t], saved[t], wrong)]
-        return []
+        self.held = [[w in fixed.get(n, ()) for w in words] for n, words in zip(self.names, self.words, strict=True)]
+        self.reach = max(len(w) + int(tolerance * len(w)) for w in self.words)
+
+    def stretches(self, words: list[str], places: dict[str, list[int]], template: int) -> Iterator[tuple[int, int, int]]:
+        """(first word, end, differing words) of each stretch with the template's wording."""
+        want, held = self.words[template], self.held[template]
+        most = int(self.tolerance * len(want))
+        firm = [k for k, h in enumerate(held) if h]
+        if any(want[k] not in places for k in firm):
+            return
+        # a stretch holds every fixed word, or else one of any most + 1 words
+        roots = [min(firm, key=lambda k: len(places[want[k]]))] if firm else range(min(most + 1, len(want)))
+        for k in roots:
+            for at in places.get(want[k], ()):
+                before = _extended(want[:k][::-1], words[max(at - k - most, 0) : at][::-1], held[:k][::-1], most)
+                if before is None:
+                    continue
+                after = _extended(want[k + 1 :], words[at + 1 : at + len(want) - k + most], held[k + 1 :], most - before[0])
+                if after is not None:
+                    yield at - before[1], at + 1 + after[1], before[0] + after[0]
+
+    def block(self, text: str, block: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """(license, bytes saved, differing words) of each notice in a block."""
+        words = [w[0].lower() for w in block]
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            places.setdefault(w, []).append(i)
+        ranked = []
+        for t, name in enumerate(self.names):
+            for begin, end, wrong in self.stretches(words, places, t):
+                raw = text[block[begin][1] : block[end - 1][2]].encode()
+                saved = len(self.plain.compress(raw)) - len(self.with_template[t].compress(raw))
+                ranked.append((-saved, wrong - len(self.words[t]), wrong, name, begin, end))
+        taken, found = bytearray(len(words)), []
+        for saved, _, wrong, name, begin, end in sorted(ranked):
+            if not any(taken[begin:end]):
+                taken[begin:end] = b"\1" * (end - begin)
+                found.append((begin, name, -saved, wrong))
+        return [x[1:] for x in sorted(found)]
+
+    def text(self, raw: bytes) -> tuple[list[tuple[str, int, int]], int]:
+        """The notices of a text and its number of candidate blocks."""
+        if not _SIGN_BYTES.search(raw):
+            return [], 0
+        text = raw.decode("utf-8", "replace")
+        per_block = [self.block(text, b) for b in blocks(text, self.reach)]
+        return [x for b in per_block for x in b], len(per_block)
 
 
 def _scanned(tolerance: float):
@@ -138,9 +174,8 @@ def _scanned(tolerance: float):
         rows = common.Rows(schema, 1 << 20)
         for batch in batches:
             for did, text in zip(batch.column("did").to_pylist(), common.octets(batch.column("text")), strict=True):
-                per_block = [scanner.block(*b) for b in blocks(text)]
-                found = [x for b in per_block for x in b]
-                rows.add(did, ",".join(sorted({x[0] for x in found})), len(found), len(per_block), sum(x[1] for x in found), sum(x[2] for x in found))
+                found, n_blocks = scanner.text(text)
+                rows.add(did, ",".join(sorted({x[0] for x in found})), len(found), n_blocks, sum(x[1] for x in found), sum(x[2] for x in found))
             yield from rows.take()
         yield from rows.take(0)
 

@@ -419,6 +419,16 @@ def test_license_scan(spark, documents, odd, empty):
     assert license_scan.license_scan(odd).count() == len(ODD) and license_scan.license_scan(empty).count() == 0
 
 
+def test_license_notices_in_long_lines(documents):
+    prose = " ".join(w for r in documents.collect() if "icense" not in (r.text or "") for w in (r.text or "").split())
+    scan = license_scan.Scanner()
+    for size in (3_000, 30_000, 120_000):
+        for name, notice in license_scan.TEMPLATES.items():
+            at = prose.index(" ", size // 3)
+            line = f"{prose[:at]} {notice}{prose[at:size]}"
+            assert name in {x[0] for x in scan.text(line.encode())[0]}, (name, size)
+
+
 # --- shared ----------------------------------------------------------------
 
 

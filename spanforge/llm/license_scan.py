@@ -4,7 +4,7 @@ Candidate blocks are the words around each license sign, as many on either side
 the longest notice may have, line breaks or not; blocks that touch are one.  In a
 block a template is confirmed by exact wording on one contiguous stretch: all of
 its fixed words (names and version numbers) stand there in the template's order,
-and at most ``tolerance`` of its number of words are missing, changed or inserted.
+nothing between two that are neighbours, and at most ``tolerance`` of its number of words are missing, changed or inserted.
 Each stretch is compressed with zstandard on its own and with the template as a
 raw-content dictionary, under equal fixed parameters.  Where stretches overlap, the
 one whose dictionary takes most off its size is the notice; a saving only ranks and
@@ -84,12 +84,13 @@ def blocks(text: str, reach: int) -> Iterator[list[tuple[str, int, int]]]:
 
 def _extended(want: list[str], have: list[str], held: list[bool], most: int) -> tuple[int, int] | None:
     """(edits, length) of the prefix of ``have`` closest to all of ``want``, shortest
-    first; None if it takes more than ``most`` edits or one of a held word."""
+    first; None if it takes more than ``most`` edits, one of a held word or a word
+    between two held neighbours; a neighbour before ``want`` counts as held."""
     if have[: len(want)] == want:
         return 0, len(want)
     far = most + 1
     width = min(len(have), len(want) + most)
-    row = [min(j, far) for j in range(width + 1)]
+    row = [0, *(far if held[0] else min(j, far) for j in range(1, width + 1))]
     for i, word in enumerate(want, 1):
         low, high = max(i - most, 0), min(i + most, width)
         new = [far] * (width + 1)
@@ -100,7 +101,8 @@ def _extended(want: list[str], have: list[str], held: list[bool], most: int) ->
                     best = min(best, row[j - 1])
                 elif not held[i - 1]:
                     best = min(best, row[j - 1] + 1)
-                best = min(best, new[j - 1] + 1)
+                if not all(held[i - 1 : i + 1]):  # names stand whole
+                    best = min(best, new[j - 1] + 1)
             new[j] = best
         row = new
         if min(row[low : high + 1], default=far) > most:

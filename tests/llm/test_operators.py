@@ -429,6 +429,22 @@ def test_license_notices_in_long_lines(documents):
             assert name in {x[0] for x in scan.text(line.encode())[0]}, (name, size)
 
 
+def test_license_each_notice_of_a_line_on_its_own_words():
+    scan = license_scan.Scanner()
+
+    def found(text):
+        return [(x[0], x[2]) for x in scan.text(text.encode())[0]]
+
+    assert found("Licensed under CC BY-NC 4.0. Released under the MIT License.") == [("CC-BY-NC-4.0", 0), ("MIT", 0)]
+    assert found("Released under the MIT License. Released under the MIT License.") == [("MIT", 0)] * 2
+    assert found("Released under the MIT License, all prose, licensed under\nthe Apache License, Version 2.0.") == [("MIT", 0), ("Apache-2.0", 0)]
+    assert found("Released under the well known MIT License.") == []
+    assert found("Released here under the MIT License.") == [("MIT", 1)]
+    assert found("The film was released in May under a cloud, and the dean of MIT said he had a driving license.") == []
+    assert found("This work is licensed under the GNU Affero General Public License, version 3.") == []
+    assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == [("LGPL-3.0", 0)]
+
+
 # --- shared ----------------------------------------------------------------
 
 

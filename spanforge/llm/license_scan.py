@@ -8,7 +8,8 @@ nothing between two that are neighbours, and at most ``tolerance`` of its number
 Each stretch is compressed with zstandard on its own and with the template as a
 raw-content dictionary, under equal fixed parameters.  Where stretches overlap, the
 one whose dictionary takes most off its size is the notice; a saving only ranks and
-never rules out a wording.  A block gives all its notices.
+never rules out a wording.  A block gives all its notices.  SPDX tags are read as
+expressions; they save nothing and differ in nothing.
 
 Every word of every text near a sign is looked at.
 
@@ -61,7 +62,45 @@ FIXED = {
     "MIT": ("mit",),
     "MPL-2.0": ("mozilla", "public", "2.0"),
 }
-_SIGN = re.compile(r"(?i)licen[cs]e|copyright|spdx|all\s+rights\s+reserved|public\s+domain|redistribution|\bcc0\b|\bcc\s+by\b")
+_MAY = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_GNU_ONLY = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License version {} as published by the Free Software Foundation."
+# Grants, standard headers and titles of full texts, each with its
+# fixed words; a title has no others and counts only as the head of a line.
+FURTHER = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', ("apache", "2.0")),
+    ("BSD-2-Clause", _MAY, ("redistribution", "source", "binary", "permitted", "redistributions", "retain", "reproduce")),
+    ("BSD-3-Clause", _MAY + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("redistribution", "source", "binary", "permitted", "redistributions", "retain", "reproduce", "endorse", "promote")),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative", "commons", "attribution", "4.0")),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ("creative", "commons", "attribution-noncommercial", "4.0")),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("creative", "commons", "attribution-sharealike", "4.0")),
+    ("GPL-2.0", _GNU.format("", 2), ("gnu", "general", "public", "2")),
+    ("GPL-2.0", _GNU_ONLY.format("", 2), ("gnu", "general", "public", "2")),
+    ("GPL-3.0", _GNU.format("", 3), ("gnu", "general", "public", "3")),
+    ("GPL-3.0", _GNU_ONLY.format("", 3), ("gnu", "general", "public", "3")),
+    ("LGPL-3.0", _GNU.format("Lesser ", 3), ("gnu", "lesser", "general", "public", "3")),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ("permission", "granted", "charge", "sublicense", "furnished")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ("mozilla", "public", "2.0")),
+] + [
+    (name, title, tuple(title.lower().split()))
+    for name, title in [
+        ("Apache-2.0", "Apache License Version 2.0"),
+        ("BSD-2-Clause", "BSD 2-Clause License"),
+        ("BSD-3-Clause", "BSD 3-Clause License"),
+        ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+        ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+        ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+        ("CC0-1.0", "CC0 1.0 Universal"),
+        ("GPL-2.0", "GNU General Public License version 2"),
+        ("GPL-3.0", "GNU General Public License version 3"),
+        ("LGPL-3.0", "GNU Lesser General Public License version 3"),
+        ("MIT", "MIT License"),
+        ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ]
+]
+_SPDX = re.compile(r"(?i)spdx-license-identifier:[ \t]*([^\n]*)")
+_SPDX_ID = re.compile(r"[\w.+-]+")
+_SIGN = re.compile(r"(?i)licen[cs]e|permission\s+is\s+hereby\s+granted|creative\s+commons|copyright|spdx|all\s+rights\s+reserved|public\s+domain|redistribution|\bcc0\b|\bcc\s+by\b")
 _SIGN_BYTES = re.compile(_SIGN.pattern.encode())
 _WORDS = re.compile(r"\w+(?:[.-]\w+)*")
 
@@ -112,15 +151,30 @@ def _extended(want: list[str], have: list[str], held: list[bool], most: int) ->
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, fixed: dict[str, tuple[str, ...]] = FIXED, tolerance: float = 0.25):
-        self.names, self.tolerance = sorted(templates), tolerance
+    def __init__(self, templates: dict[str, str] = TEMPLATES, fixed: dict[str, tuple[str, ...]] = FIXED, tolerance: float = 0.25, further: list[tuple[str, str, tuple[str, ...]]] = FURTHER):
+        wording = sorted([*((n, templates[n], fixed.get(n, ())) for n in templates), *further])
+        self.names, self.tolerance = [n for n, _, _ in wording], tolerance
         # equal parameters with and without a dictionary, or sizes cannot be compared
         equal = zstandard.ZstdCompressionParameters.from_level(19, source_size=1 << 14, dict_size=1 << 14, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.plain = zstandard.ZstdCompressor(compression_params=equal)
-        self.with_template = [zstandard.ZstdCompressor(compression_params=equal, dict_data=zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in self.names]
-        self.words = [_WORDS.findall(templates[n].lower()) for n in self.names]
-        self.held = [[w in fixed.get(n, ()) for w in words] for n, words in zip(self.names, self.words, strict=True)]
+        self.with_template = [zstandard.ZstdCompressor(compression_params=equal, dict_data=zstandard.ZstdCompressionDict(x.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, x, _ in wording]
+        self.words = [_WORDS.findall(x.lower()) for _, x, _ in wording]
+        self.held = [[w in sure for w in words] for (_, _, sure), words in zip(wording, self.words, strict=True)]
         self.reach = max(len(w) + int(tolerance * len(w)) for w in self.words)
+        self.tags = {n.lower(): n for n in self.names}
+
+    def tagged(self, text: str) -> list[tuple[str, int, int]]:
+        """A notice for each known license of each SPDX tag's expression."""
+        found = []
+        for tag in _SPDX.finditer(text):
+            for m in _SPDX_ID.finditer(tag[1]):
+                name = self.tags.get(re.sub(r"(-only|-or-later|\+)$", "", m[0].lower()))
+                if name is None:
+                    if m[0] in ("OR", "AND"):
+                        continue
+                    break  # prose after the expression, or a license without a template
+                found.append((name, 0, 0))
+        return found
 
     def stretches(self, words: list[str], places: dict[str, list[int]], template: int) -> Iterator[tuple[int, int, int]]:
         """(first word, end, differing words) of each stretch with the template's wording."""
@@ -140,6 +194,15 @@ class Scanner:
                 if after is not None:
                     yield at - before[1], at + 1 + after[1], before[0] + after[0]
 
+    def title(self, text: str, block: list[tuple[str, int, int]], begin: int, end: int) -> bool:
+        """Whether a stretch heads a line (but for "The") and its last line ends, or
+        a mark stands, after it."""
+        line = text[text.rfind("\n", 0, block[begin][1]) + 1 : block[begin][1]]
+        after = re.match(r"[^\w\n]*", text[block[end - 1][2] : block[end - 1][2] + 80])[0]
+        rest = text[block[end - 1][2] + len(after) : block[end - 1][2] + len(after) + 1]
+        inner = text[block[begin][1] : block[end - 1][2]]
+        return _WORDS.findall(line.lower()) in ([], ["the"]) and (rest in ("", "\n") or bool(after.strip())) and not re.search(r"[.!?]\s", inner)
+
     def block(self, text: str, block: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """(license, bytes saved, differing words) of each notice in a block."""
         words = [w[0].lower() for w in block]
@@ -149,6 +212,8 @@ class Scanner:
         ranked = []
         for t, name in enumerate(self.names):
             for begin, end, wrong in self.stretches(words, places, t):
+                if all(self.held[t]) and not self.title(text, block, begin, end):
+                    continue
                 raw = text[block[begin][1] : block[end - 1][2]].encode()
                 saved = len(self.plain.compress(raw)) - len(self.with_template[t].compress(raw))
                 ranked.append((-saved, wrong - len(self.words[t]), wrong, name, begin, end))
@@ -165,7 +230,7 @@ class Scanner:
             return [], 0
         text = raw.decode("utf-8", "replace")
         per_block = [self.block(text, b) for b in blocks(text, self.reach)]
-        return [x for b in per_block for x in b], len(per_block)
+        return [x for b in per_block for x in b] + self.tagged(text), len(per_block)
 
 
 def _scanned(tolerance: float):

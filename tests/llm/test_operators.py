@@ -445,6 +445,25 @@ def test_license_each_notice_of_a_line_on_its_own_words():
     assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == [("LGPL-3.0", 0)]
 
 
+def test_license_grants_headers_tags_and_wrapped_notices():
+    scan = license_scan.Scanner()
+
+    def found(text):
+        return ",".join(sorted({x[0] for x in scan.text(text.encode())[0]}))
+
+    for name, wording, _ in license_scan.FURTHER:
+        words = wording.split()
+        wrapped = "\n".join(" * " + " ".join(words[i : i + 3]) for i in range(0, len(words), 3))
+        assert found(wording) == found(wrapped) == name
+    assert found("Prose.\nThis Source Code Form is\nsubject to the terms of\nthe Mozilla Public\nLicense, v. 2.0.\nProse.") == "MPL-2.0"
+    assert found("SPDX-License-Identifier: MIT") == "MIT"
+    assert found("# SPDX-License-Identifier: (apache-2.0 OR GPL-3.0-or-later)\nimport os") == "Apache-2.0,GPL-3.0"
+    assert found("MIT License") == found("Prose.\n\n# The MIT License (MIT)\n\nProse.") == "MIT"
+    assert found("He left MIT. License plates and a public domain.") == ""
+    assert found("MIT. License plates.") == found("MIT license plates.") == ""
+    assert found("SPDX-License-Identifier: of its own") == ""
+
+
 # --- shared ----------------------------------------------------------------
 
 

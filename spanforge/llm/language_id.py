@@ -142,16 +142,21 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, per_language: int = 2000) -> Model | None:
-    """A model from (doc_id, text, lang) rows; None if there are none to learn from."""
+def _sampled(labelled: DataFrame, per_language: int) -> tuple[DataFrame, list[str]]:
+    """(lang, text) of about so many documents of each language, and the languages."""
     rows = labelled.where("lang is not null").select(F.coalesce(labelled["doc_id"].cast("string"), F.lit("")).alias("i"), common.text_of(labelled).alias("text"), F.col("lang").cast("string").alias("lang"))
     number = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not number:
-        return None
     share = F.lit(0.0)
     for lang, n in sorted(number.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    some = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    return rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text"), sorted(number)
+
+
+def train(labelled: DataFrame, per_language: int = 2000) -> Model | None:
+    """A model from (doc_id, text, lang) rows; None if there are none to learn from."""
+    some, languages = _sampled(labelled, per_language)
+    if not languages:
+        return None
     counts = np.zeros(256, np.int64)
     for r in some.select("text").mapInArrow(_byte_counts, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
         counts[r["b"]] = r["n"]
@@ -160,7 +165,7 @@ def train(labelled: DataFrame, per_language: int = 2000) -> Model | None:
     table = edges.toArrow()  # at most 128**3 edges a language
     lang = np.array(table.column("lang").to_pylist(), dtype=object)
     edge, n = table.column("edge").to_numpy(), table.column("n").to_numpy()
-    trees = {x: (edge[lang == x].astype(np.int32), n[lang == x]) for x in number if (lang == x).any()}
+    trees = {x: (edge[lang == x].astype(np.int32), n[lang == x]) for x in languages if (lang == x).any()}
     return Model(codes, trees) if trees else None
 
 
@@ -176,12 +181,14 @@ def _predicted(shared):
         names = np.array(model.languages, dtype=object)
         for batch in batches:
             text = batch.column("text")
-            bits = model.many(common.octets(text))
+            texts = common.octets(text)
+            bits = model.many(texts)
+            size = np.maximum([len(t) for t in texts], 1)
             best = bits.argmin(axis=1) if len(bits) else np.zeros(0, int)
             with np.errstate(under="ignore"):
                 rest = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1) if len(bits) else np.zeros(0)
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[best].tolist(), pa.string()), pa.array(1 / rest)], names=[*keep, "guess", "share"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[best].tolist(), pa.string()), pa.array(1 / rest), pa.array(bits.min(axis=1) / size)], names=[*keep, "guess", "share", "rate"])
 
     return run
 
@@ -198,14 +205,15 @@ class _Shared:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(did, th, lang_pred, score) per row."""
+    """(did, th, lang_pred, score, rate) per row; rate is the code length in bits a
+    byte, null if the language is undetermined."""
     known = common.identified(docs)
     letters = known["text"].rlike(r"\p{L}")
     if model is None:
-        return known.select("did", "th", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return known.select("did", "th", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("rate"))
     shared = _Shared(docs.sparkSession.sparkContext, model)
-    guessed = known.select("did", "th", letters.alias("letters"), "text").mapInArrow(_predicted(shared), "did long, th int, letters boolean, guess string, share double")
-    return guessed.select("did", "th", F.when(F.col("letters"), F.col("guess")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("letters"), F.col("share")).otherwise(0.0).alias("score"))
+    guessed = known.select("did", "th", letters.alias("letters"), "text").mapInArrow(_predicted(shared), "did long, th int, letters boolean, guess string, share double, rate double")
+    return guessed.select("did", "th", F.when(F.col("letters"), F.col("guess")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("letters"), F.col("share")).otherwise(0.0).alias("score"), F.when(F.col("letters"), F.col("rate")).alias("rate"))
 
 
 def held_out(doc_id):
@@ -214,14 +222,40 @@ def held_out(doc_id):
 
 
 def identify(docs: DataFrame, per_language: int = 2000) -> DataFrame:
-    """(did, th, lang_pred, score), learned from the documents not held out."""
+    """(did, th, lang_pred, score, rate), learned from the documents not held out."""
     return predict(docs, train(docs.where(~held_out(docs["doc_id"])), per_language))
 
 
-def in_known_language(docs: DataFrame, least_score: float = 0.5, per_language: int = 2000) -> DataFrame:
-    """The rows of ``docs`` less those whose language is undetermined or scores
-    below ``least_score``; ``lang`` becomes the prediction."""
-    found = identify(docs, per_language).dropDuplicates(["did", "th"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+def rate_limits(docs: DataFrame, quantile: float = 0.995, per_language: int = 2000) -> dict[str, float]:
+    """Bits a byte that so many documents of a language need at most; the highest of
+    all where a language has too few to tell that quantile.  A model learned from one
+    half of the documents not held out measures a sample of the other half,
+    as texts that were learned from are cheaper than new ones."""
+    known = docs.where(~held_out(docs["doc_id"]))
+    half = F.floor(F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) / 4) % 2
+    model = train(known.where(half == 0), per_language)
+    if model is None:
+        return {}
+    shared = _Shared(docs.sparkSession.sparkContext, model)
+    some = _sampled(known.where(half == 1), per_language)[0].where(F.col("text").cast("string").rlike(r"\p{L}"))
+    rates = some.mapInArrow(_predicted(shared), "lang string, guess string, share double, rate double")
+    found: dict[str, list[float]] = {}
+    for r in rates.where("lang = guess").select("lang", "rate").collect():
+        found.setdefault(r["lang"], []).append(r["rate"])
+    limits = {x: float(np.quantile(v, quantile, method="higher")) for x, v in found.items()}
+    highest = max(limits.values(), default=0.0)
+    return {x: limits[x] if len(v) * (1 - quantile) >= 1 else highest for x, v in found.items()}
+
+
+def in_known_language(docs: DataFrame, least_score: float = 0.5, per_language: int = 2000, quantile: float = 0.995) -> DataFrame:
+    """The rows of ``docs`` less those whose language is undetermined, scores below
+    ``least_score`` or takes more bits a byte than its ``rate_limits`` (of a language
+    that has none, the highest of all); ``lang`` becomes the prediction."""
+    limits = rate_limits(docs, quantile, per_language)
+    limit = F.lit(max(limits.values(), default=float("inf")))
+    for lang, most in sorted(limits.items()):
+        limit = F.when(F.col("lang_pred") == lang, F.lit(most)).otherwise(limit)
+    found = identify(docs, per_language).dropDuplicates(["did", "th"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score) & (F.col("rate") <= limit))
     found = found.select(F.col("did").alias("_did"), F.col("th").alias("_th"), "lang_pred")
     keyed = docs.withColumns({"_d": F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NO_ID).cast("long")), "_t": F.hash(common.text_of(docs))})
     rows = keyed.join(found, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_th")))

@@ -397,6 +397,23 @@ def test_language_odd_rows(odd, empty):
     assert language_id.in_known_language(odd).columns == odd.columns
 
 
+def test_language_stage_rejects_unlearned_languages_and_junk(spark, documents):
+    rng = random.Random(11)
+    foreign = [
+        "Все люди рождаются свободными и равными в своём достоинстве и правах. " * 4,
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 4,
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。" * 4,
+        "".join(rng.choice("ABCDEFabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600)),
+        "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(600)),
+    ]
+    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    more = spark.createDataFrame([(-1 - i, x, None, "z", len(x)) for i, x in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in language_id.in_known_language(docs.unionByName(more)).collect()}
+    own = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert not any(i < 0 for i in kept if i is not None)
+    assert len(kept & own) >= 0.97 * len(own)
+
+
 # --- licenses --------------------------------------------------------------
 
 

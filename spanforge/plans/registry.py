@@ -419,8 +419,9 @@ def candidate_band(t):
 @query("SELECT conv_id, role, count(*) > 0 AND max(turn) - min(turn) + 1 = count(*) AND min(turn) >= 1 AS ok FROM (SELECT DISTINCT conv_id, role, turn FROM conversations) GROUP BY conv_id, role")
 def contiguity_check(t):
     s = _turns(t, "role").groupBy("conv_id", "role").agg(F.collect_list("segment_id").alias("c"), F.collect_list("index").alias("i"))
-    allowed = F.array(*[F.lit(f"s{i:03d}") for i in range(1, 60)])
-    return s.select("conv_id", "role", intervals.valid_selection(F.col("c"), F.col("i"), allowed).alias("ok"))
+    # each conversation's own turns, but for turn 0
+    allowed = _turns(t).groupBy("conv_id").agg(F.collect_list(F.when(F.col("index") >= 1, F.col("segment_id"))).alias("allowed"))
+    return s.join(allowed.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "role", intervals.valid_selection(F.col("c"), F.col("i"), F.col("allowed")).alias("ok"))
 
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM (SELECT * FROM conversations WHERE role <> 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3) GROUP BY conv_id")

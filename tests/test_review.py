@@ -147,3 +147,17 @@ def test_scrub_whole_texts(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "i int, x string")
     got = [r.c for r in df.select("i", text.scrubbed(F.col("x")).alias("c")).orderBy("i").collect()]
     assert got == [scrubbed_plainly(x) for x in rows]
+
+
+def test_contiguity_of_long_conversations(spark, tmp_path):
+    import duckdb
+
+    from spanforge.plans import registry
+
+    rows = [(1, i, "user" if i > 60 else "assistant", "x") for i in range(1, 81)] + [(2, i, "user", "x") for i in (0, 1, 2)] + [(3, i, "user", "x") for i in (1100, 1102)] + [(4, 999, "user", "x"), (4, 1000, "user", "x"), (None, 70, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.role, r.ok) for r in registry.queries()["contiguity_check"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == set(con.execute(registry.oracle_sql()["contiguity_check"]).fetchall())
+    assert {(1, "user", True), (2, "user", False), (3, "user", False), (4, "user", True)} <= got

@@ -7,10 +7,9 @@ mostly share an anchor, hence one row (anchor, first start, last start) stands
 for a whole run of windows: about ``2 / (window - seed + 2)`` rows an element
 instead of one.
 
-* ``key``   64-bit hash of the seed at the anchor: equal for all equal windows.
-* ``span``  64-bit hash of everything the run's windows cover, with its length
-  and the anchor's place in it: rows of equal (key, span) hold equal windows
-  throughout.
+The row's ``key`` is a 64-bit hash of the seed at the anchor, equal for all equal
+windows.  What the run's windows cover (its *stretch*) is digested by the caller
+from the bytes themselves, with a hash of another family.
 """
 
 from __future__ import annotations
@@ -92,11 +91,10 @@ def _window_min(packed: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Geometry:
-    """Window and seed length in elements; ``block`` divides the span hash."""
+    """Window and seed length in elements."""
 
     window: int
     seed: int
-    block: int
 
     @property
     def reach(self) -> int:
@@ -104,20 +102,19 @@ class Geometry:
 
 
 #: 400-byte windows with 128-byte seeds, and 20-word windows with 5-word seeds.
-BYTES_400 = Geometry(400, 128, 128)
-WORDS_20 = Geometry(20, 5, 16)
+BYTES_400 = Geometry(400, 128)
+WORDS_20 = Geometry(20, 5)
+MOST = 4000
 
 
 def geometry(window: int, words: bool) -> Geometry:
-    """A geometry for any window length (in bytes or words)."""
+    """A geometry for a window length (in bytes or words) of at most ``MOST``."""
+    if not 0 < window <= MOST:
+        raise ValueError(f"windows have 1 to {MOST} elements")
     for known in (BYTES_400, WORDS_20):
         if known.window == window and words == (known is WORDS_20):
             return known
-    seed = max(1, window // 4 if words else window // 3)
-    block = 1
-    while block * 2 <= window:
-        block *= 2
-    return Geometry(window, seed, block)
+    return Geometry(window, max(1, window // 4 if words else window // 3))
 
 
 def find(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, geo: Geometry) -> dict[str, np.ndarray]:
@@ -125,14 +122,14 @@ def find(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, geo: Geome
 
     Returns arrays ``seq`` (index of the sequence), ``pos`` (anchor), ``lo`` and
     ``hi`` (first and last window start, inclusive; all relative to the
-    sequence), ``key`` and ``span``.
+    sequence) and ``key``.
     """
     n = len(values)
     if n >= 1 << _IDX_BITS:
         raise ValueError("chunk too long")
     counts = np.maximum(lengths - geo.window + 1, 0)
     total = int(counts.sum())
-    empty = {k: np.zeros(0, np.int64) for k in ("seq", "pos", "lo", "hi", "key", "span")}
+    empty = {k: np.zeros(0, np.int64) for k in ("seq", "pos", "lo", "hi", "key")}
     if not total:
         return empty
     seq = np.repeat(np.arange(len(starts)), counts)
@@ -146,14 +143,8 @@ def find(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, geo: Geome
     at = np.flatnonzero(new)
     last = np.append(at[1:], total) - 1
     lo, hi, pos, seq = s[at], s[last], owner[at], seq[at]
-    blocks = seeds if geo.block == geo.seed else block_hashes(values, geo.block)
-    end = hi + geo.window - geo.block
-    acc = ((hi - lo).astype(U) << U(32)) + (pos - lo).astype(U)
-    for i in range(-(-(geo.window + geo.reach) // geo.block)):
-        acc = _mix(acc, _C[30]) + blocks[np.minimum(lo + i * geo.block, end)]
-    span = _mix(_mix(acc, _C[31]), _C[32])
     base = starts[seq]
-    return {"seq": seq, "pos": pos - base, "lo": lo - base, "hi": hi - base, "key": seeds[pos].view(np.int64), "span": span.view(np.int64)}
+    return {"seq": seq, "pos": pos - base, "lo": lo - base, "hi": hi - base, "key": seeds[pos].view(np.int64)}
 
 
 def chunks(lengths: list[int], geo: Geometry, limit: int = CHUNK):

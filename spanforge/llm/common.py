@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +18,16 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a local session
+    gets one of its own and any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
-        found = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,15 +45,16 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _made[:] = [x for x in _made if x[1] != path]
 
 
 @atexit.register
 def _drop_all() -> None:
-    for spark, path in _made:
+    for spark, path in list(_made):
         try:
             drop(spark, path)
-        except Exception:  # the session has ended: the folder is the cluster's to clean
-            return
+        except Exception:  # its session has ended: the folder is the cluster's to clean
+            continue
 
 
 def settle(df: DataFrame, path: str, *partition: str) -> DataFrame:
@@ -74,15 +81,47 @@ NO_ID = -(2**63)
 
 def identified(docs: DataFrame) -> DataFrame:
     """(did, th, text): ``did`` is doc_id with null as the smallest long, ``th`` a
-    32-bit hash of the text, which tells rows of one doc_id apart."""
+    64-bit hash of the text, which orders rows of one doc_id. Rows are told apart by
+    ``numbered``, never by these."""
     text = text_of(docs)
     return docs.select(
         F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID).cast("long")).alias("did"),
-        F.hash(text).alias("th"),
+        F.xxhash64(text).alias("th"),
         text.alias("text"),
     )
 
 
+def numbered(docs: DataFrame, path: str, base: int = 0) -> DataFrame:
+    """Written as (rid, row): each row as it is, whatever its columns are called, and
+    its number, which is given once and so survives reruns of what follows."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = docs.select((F.monotonically_increasing_id() + F.lit(base).cast("long")).alias("rid"), row.alias("row"))
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def row_text() -> Column:
+    """The text of a ``numbered`` row, '' for null."""
+    return F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+
+
+def row_doc_id() -> Column:
+    """doc_id of a ``numbered`` row, null as the smallest long."""
+    return F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID).cast("long"))
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``limit`` bytes of text, one row at least."""
+    offsets = np.asarray(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends = np.cumsum(offsets)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def doc_id_back(column: str = "did") -> Column:
     """doc_id from ``did``."""
     return F.when(F.col(column) != F.lit(NO_ID).cast("long"), F.col(column))

@@ -1,32 +1,48 @@
-"""Log-structured index over anchor rows (see ``anchors``), shared by the two
-exact long-match operators.
-
-A *run* is an immutable Parquet table of classes ``(key, span, n, rep)``, one
-row for each distinct stretch of windows, sorted by (key, span); ``rep`` is the
-smallest member (did, th, pab).  ``add`` writes a batch as a run of level 0;
-as soon as a level holds ``fanout`` runs they are merge-joined into one run of
-the next level, so each row is rewritten a logarithmic number of times.
-Counts are summed map-side before each exchange, so a passage that a third of
-all rows share costs one row a task.
+"""A log-structured index of long repeats, shared by the two exact operators.
+
+The index grows by ``add``, batch after batch, and lies in one folder: the rows of
+each batch, its sorted *runs* by level, the marks found so far and a manifest, by
+which it can be opened again.
+
+A run is an immutable table, sorted by suffix: one row (key, s, did, rid, pab) for
+each distinct stretch of windows, where ``key`` hashes the suffix's head at a
+content-defined anchor (``anchors``), ``s`` digests the bytes of the whole stretch
+and (rid, pab) is its first member's place.  ``add`` sorts the batch's own suffixes
+into those of all levels and scans the merged order once, with these outcomes:
+
+* a new stretch that stands there already, as a whole, is marked at once;
+* where several stretches share a head, only their first members are asked for:
+  their text is read, and windows are compared exactly (``detail``);
+* new distinct stretches are the batch's own run, of level 0;
+* if the lowest level that holds ``fanout`` runs is due, its rows leave the same scan
+  as one run of the next level.  Each row is rewritten a logarithmic number of times.
+
+No group is ever brought together to be compared pair by pair, and none can swell a
+task: heads that a sample of documents shows to be frequent are dealt out over
+several tasks (*salted*).  Salted rows that the scan then fails to see beside each
+other are only asked for needlessly, so the sample steers the work and not the result.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
-MEMBER = T.StructType([
-    T.StructField("did", T.LongType()),
-    T.StructField("th", T.IntegerType()),
-    T.StructField("key", T.LongType()),
-    T.StructField("span", T.LongType()),
-    T.StructField("pab", T.LongType()),
-])
+MEMBER = "key long, s long, did long, rid long, pab long"
+ITEM = "key long, pab long, single boolean, done boolean"
+MARK = "rid long, lo long, hi long"
+_SCAN = "kind int, key long, s long, did long, rid long, pab long, single boolean, done boolean"
+_RUN, _MARKED, _ASKED, _MERGED = range(4)
+_STAYS, _MOVES, _NEW = range(3)
 
-_BITS = 9
+_BITS = 12
 
 
 def pack(pos, lo, hi):
@@ -34,85 +50,162 @@ def pack(pos, lo, hi):
     return (pos << 2 * _BITS) | ((pos - lo) << _BITS) | (hi - lo)
 
 
-def unpack(pab: int) -> tuple[int, int, int]:
-    pos, a, b = pab >> 2 * _BITS, (pab >> _BITS) & 511, pab & 511
-    return pos, pos - a, pos - a + b
-
-
-def first_start(pab):
-    """Column: the first window start of a packed anchor."""
-    return F.shiftright(pab, 2 * _BITS) - F.shiftright(pab, _BITS).bitwiseAND(F.lit(511).cast("long"))
-
-
-def extent(pab):
-    """Column: how many starts follow the first."""
-    return pab.bitwiseAND(F.lit(511).cast("long"))
-
-
-class IndexFamily:
-    """Runs by level under one scratch folder."""
-
-    def __init__(self, spark: SparkSession, root: str, fanout: int = 2):
-        self.spark, self.root, self.fanout = spark, root, fanout
-        self.levels: list[list[str]] = []
-        self._next = 0
-
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.root}/run-{self._next}"
-        self._next += 1
-        rows.groupBy("key", "span").agg(F.sum("n").alias("n"), F.min("rep").alias("rep")).sortWithinPartitions("key", "span").write.parquet(path)
-        common.free_shuffles(self.spark)
-        return path
-
-    def add(self, members: DataFrame) -> None:
-        """A new batch of members."""
-        self._put(0, self._write(members.select("key", "span", F.lit(1).cast("long").alias("n"), F.struct("did", "th", "pab").alias("rep"))))
+def unpack(pab):
+    mask = (1 << _BITS) - 1
+    pos = pab >> 2 * _BITS
+    lo = pos - ((pab >> _BITS) & mask)
+    return pos, lo, lo + (pab & mask)
+
+
+def _scanned(later: bool, dense: int):
+    """Rows sorted by (key, s, src, did, rid, pab) -> runs, marks and questions."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("s", pa.int64()), ("did", pa.int64()), ("rid", pa.int64()), ("pab", pa.int64()), ("single", pa.bool_()), ("done", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in common.by_key(batches):
+            key, s, src, salted = (table.column(c).to_numpy() for c in ("key", "s", "src", "salted"))
+            head = np.append(True, key[1:] != key[:-1])
+            first = head | np.append(True, s[1:] != s[:-1])
+            again = np.append(~first[1:], False)
+            begin = np.flatnonzero(head)
+            group = np.cumsum(head) - 1
+            kinds = np.add.reduceat(first.astype(np.int64), begin)
+            touched = np.maximum.reduceat(src, begin) == _NEW
+            open_ = (((kinds > 1) | np.logical_or.reduceat(salted, begin)) & touched)[group]
+            alone = ((kinds > dense) | np.logical_or.reduceat(salted, begin))[group]
+            new, repeated = src == _NEW, ~first | again
+            marked = (new & ~first) if later else repeated
+            for kind, rows in ((_RUN, new & first), (_MARKED, marked), (_ASKED, first & open_), (_MERGED, (src == _MOVES) & first)):
+                at = np.flatnonzero(rows)
+                if len(at):
+                    some = table.select(["key", "s", "did", "rid", "pab"]).take(pa.array(at)).combine_chunks()
+                    done = pa.array((repeated & (not later))[at])
+                    columns = [some.column(c).chunk(0) for c in some.column_names]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *columns, pa.array(alone[at]), done], schema=schema)
+
+    return run
+
+
+class RepeatIndex:
+    """``members``: rows (rid, did, text) -> ``MEMBER``.  ``detail``: (documents with
+    their questions, folder) -> marks, for windows of stretches that share a head.
+    ``later``: mark only what stands earlier too (in the index, or in the batch by doc_id,
+    row and place); else every place of a repeat, those of earlier batches included."""
+
+    def __init__(self, spark: SparkSession, root: str, members: Callable[[DataFrame], DataFrame], detail: Callable[[DataFrame, str, int], DataFrame], *, later: bool, fanout: int = 2, dense: int = 1000):
+        self.spark, self.root, self.later, self.fanout, self.dense = spark, root, later, max(fanout, 2), dense
+        self._members, self._detail = members, detail
+        self.state = {"batches": 0, "base": 0, "levels": [], "rows": [], "marks": []}
+        self._reopened()
+
+    def _reopened(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            kept = [json.loads(r["value"]) for r in self.spark.read.text(f"{self.root}/manifest").collect()]  # one line a batch
+            self.state = max(kept, key=lambda x: x["batches"])
+
+    def _saved(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/{self.state['batches']}.json")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+
+    def _runs(self, paths: list[str], src: int) -> list[DataFrame]:
+        return [self.spark.read.schema(MEMBER).parquet(p).withColumn("src", F.lit(src)) for p in paths]
+
+    def rows(self) -> DataFrame:
+        """(rid, row) of all batches, at least one; their columns must be alike."""
+        paths = self.state["rows"]
+        return self.spark.read.schema(self.spark.read.parquet(paths[-1]).schema).parquet(*paths)
+
+    def texts(self) -> DataFrame:
+        """(rid, did, text) of all batches."""
+        frames = [self.spark.read.parquet(p).select("rid", common.row_doc_id().alias("did"), common.row_text().alias("text")) for p in self.state["rows"]]
+        out = frames[0]
+        for more in frames[1:]:
+            out = out.unionAll(more)
+        return out
+
+    def marks(self) -> DataFrame:
+        """(rid, lo, hi): repeated window starts, inclusive, of all batches so far."""
+        return self.spark.read.schema(MARK).parquet(*self.state["marks"])
+
+    def _frequent(self, texts: DataFrame, total: int, runs: list[DataFrame], tasks: int) -> DataFrame | None:
+        """(key, parts) of heads that would fill half a task or more: 2 * ``tasks``
+        rows at most, from a sample of documents and of the runs' rows."""
+        rate = min(1.0, (4000 + 4 * tasks) / max(total, 1))
+        chance = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 20)) < int((1 << 20) * rate)
+        some = self._members(texts.where(chance("rid"))).select("key")
+        for run in runs:
+            some = some.unionAll(run.where(chance("rid", "pab")).select("key"))
+        counts = some.rollup("key").agg(F.count(F.lit(1)).alias("n"), F.grouping("key").alias("all")).orderBy(F.desc("all"), F.desc("n")).limit(2 * tasks + 1).collect()
+        seen = counts[0]["n"] if counts else 0
+        least = max(8, seen / (2 * tasks))
+        found = [(r["key"], min(-(-r["n"] * 2 * tasks // seen), tasks)) for r in counts[1:] if r["n"] >= least]
+        return self.spark.createDataFrame(found, "key long, parts int") if found else None
+
+    def add(self, docs: DataFrame) -> None:
+        """A new batch of documents (doc_id, text and any other columns)."""
+        spark, state, k = self.spark, self.state, self.state["batches"]
+        rows = common.numbered(docs, f"{self.root}/rows-{k}", state["base"])
+        last, total = rows.agg(F.max("rid"), F.count("rid")).first()
+        if last is None:  # an empty batch leaves no trace
+            common.drop(spark, f"{self.root}/rows-{k}")
+            return
+        texts = rows.select("rid", common.row_doc_id().alias("did"), common.row_text().alias("text"))
+        due = next((i for i, runs in enumerate(state["levels"]) if len(runs) >= self.fanout), None)
+        old = [f for i, runs in enumerate(state["levels"]) for f in self._runs(runs, _MOVES if i == due else _STAYS)]
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        frequent = self._frequent(texts, total, old, tasks)
+        merged = self._members(texts).withColumn("src", F.lit(_NEW))
+        for run in old:
+            merged = merged.unionByName(run)
+        salt, salted = F.lit(0), F.lit(False)
+        if frequent is not None:
+            merged = merged.join(F.broadcast(frequent), "key", "left")
+            salt, salted = F.coalesce(F.pmod(F.xxhash64("rid", "pab"), "parts"), F.lit(0)), F.col("parts").isNotNull()
+        merged = merged.select("key", "s", "src", "did", "rid", "pab", salt.cast("int").alias("salt"), salted.alias("salted"))
+        merged = merged.repartition("key", "salt").sortWithinPartitions("key", "s", "src", "did", "rid", "pab").drop("salt")
+        scan = merged.mapInArrow(_scanned(self.later, self.dense), _SCAN).sortWithinPartitions("kind", "key", "s")
+        scan.write.partitionBy("kind").option("compression", "zstd").parquet(f"{self.root}/scan-{k}")
+        del scan, merged
+        common.free_shuffles(spark)
+
+        state["rows"].append(f"{self.root}/rows-{k}")
+        found = spark.read.schema(_SCAN).parquet(f"{self.root}/scan-{k}")
+        lo, hi = starts_of(F.col("pab"))
+        marked = found.where(F.col("kind") == _MARKED).select("rid", lo.alias("lo"), hi.alias("hi"))
+        marked.write.parquet(f"{self.root}/marks-{k}/whole")
+        asked = found.where(F.col("kind") == _ASKED).groupBy("rid").agg(F.collect_list(F.struct("key", "pab", "single", "done")).alias("items"))
+        known = self.texts().join(asked.hint("shuffle_hash"), "rid")
+        self._detail(known, f"{self.root}/detail-{k}", state["base"]).write.parquet(f"{self.root}/marks-{k}/parts")
+        del asked, known
+        common.drop(spark, f"{self.root}/detail-{k}")
+        common.free_shuffles(spark)
+
+        state["marks"] += [f"{self.root}/marks-{k}/whole", f"{self.root}/marks-{k}/parts"]
+        if due is not None:
+            for path in state["levels"][due]:
+                common.drop(spark, path)
+            state["levels"][due] = []
+            self._put(due + 1, f"{self.root}/scan-{k}/kind={_MERGED}")
+        self._put(0, f"{self.root}/scan-{k}/kind={_RUN}")
+        for kind in (_MARKED, _ASKED):
+            common.drop(spark, f"{self.root}/scan-{k}/kind={kind}")
+        state["base"], state["batches"] = ((last >> 33) + 1) << 33, k + 1
+        self._saved()
 
     def _put(self, level: int, path: str) -> None:
-        if len(self.levels) == level:
-            self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) == self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merged(full))
-
-    def _merged(self, paths: list[str]) -> str:
-        path = self._write(self.spark.read.parquet(*paths))
-        for old in paths:
-            common.drop(self.spark, old)
-        return path
-
-    def classes(self) -> DataFrame:
-        """All runs as one."""
-        paths = self.paths()
-        if len(paths) > 1:
-            paths = [self._merged(paths)]
-        self.levels = [paths]
-        return self.spark.read.parquet(*paths)
-
-    def paths(self) -> list[str]:
-        """Folders of the runs."""
-        return [p for level in self.levels for p in level]
-
-
-def contested(family: IndexFamily) -> tuple[DataFrame, DataFrame]:
-    """(repeated, items) and an end to the runs, which are dropped.
-
-    ``repeated``: classes (key, span, rep) with more than one member.  ``items``:
-    per document (did, th) an array of those classes (key, span, m, pab) whose key
-    ``m`` > 1 classes share: only there can windows of one class equal some of
-    another.  Each step is written before the next begins, so that the exchanges
-    do not stand on disk together."""
-    spark, root = family.spark, family.root
-    classes = family.classes()
-    shared = common.settle(classes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"{root}/shared")
-    common.free_shuffles(spark)
-    rivals = common.settle(classes.select("key", "span", "rep.*").join(shared, "key"), f"{root}/rivals")
-    repeated = common.settle(classes.where("n > 1").select("key", "span", "rep"), f"{root}/repeated")
-    for path in family.paths():
-        common.drop(spark, path)
-    common.free_shuffles(spark)
-    items = common.settle(rivals.groupBy("did", "th").agg(F.collect_list(F.struct("key", "span", "m", "pab")).alias("items")), f"{root}/items")
-    common.drop(spark, f"{root}/rivals")
-    common.free_shuffles(spark)
-    return repeated, items
+        levels = self.state["levels"]
+        while len(levels) <= level:
+            levels.append([])
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):  # a batch may hold nothing new
+            levels[level].append(path)
+
+
+def starts_of(pab):
+    """Columns: the first and the last window start of a packed anchor."""
+    mask = F.lit((1 << _BITS) - 1).cast("long")
+    lo = F.shiftright(pab, 2 * _BITS) - F.shiftright(pab, _BITS).bitwiseAND(mask)
+    return lo, lo + pab.bitwiseAND(mask)

@@ -5,23 +5,25 @@ anywhere else.  A suffix array over each byte of a corpus would need its text
 beside each suffix, so a *sparse* suffix array is kept: suffixes that start at
 content-defined anchors (``anchors``), at least one in every window.
 
-1. Each batch of documents becomes a run of the index family, sorted by the
-   suffixes' leading 128 bytes (their hash) and the stretch they stand for;
-   runs of equal size merge geometrically (``levels``).
-2. Stretches that occur twice as a whole repeat everywhere.  Where several
-   stretches share a suffix head, their suffix array and the array of their
-   reversed prefixes are built from the text, and adjacent longest common
-   prefixes give the length of each match to both sides: a window that starts
-   ``o`` bytes before the anchor repeats iff some other stretch matches for
-   ``o`` bytes to the left and ``window - o`` to the right.
-3. Heads with more than ``dense`` stretches are not brought together: their
-   windows are counted one by one, spread over all tasks.
+1. Each batch gets its sparse suffix array: suffixes sorted by their leading 128
+   bytes (as a hash) and by the stretch they stand for.  It is merge-scanned against
+   the arrays of all levels, and equal-sized levels merge geometrically (``levels``).
+2. Stretches that occur twice as a whole are marked by that scan.  Where several
+   stretches share a suffix head, one of each is read, and the group's suffix array
+   and that of its reversed prefixes are built from the bytes.  Adjacent longest
+   common prefixes give the length of each match to both sides: a window that starts
+   ``o`` bytes before the anchor repeats iff some other stretch matches for ``o``
+   bytes to the left and ``window - o`` to the right.
+3. Heads that are frequent, or have more than ``dense`` stretches, are not brought
+   together: their windows are counted one by one by 128-bit digests, spread over
+   all tasks.  The results are the same.
 
 Defined results: a null text is empty; a null doc_id is kept as null; rows that
 share a doc_id are separate documents, and repeated rows repeat each other;
-texts below ``window`` bytes and empty tables lose nothing; other columns are
-ignored.  Equality rests on two independent 64-bit hashes for whole stretches and
-for the windows of dense heads, elsewhere on the bytes themselves.
+texts below ``window`` bytes and empty tables lose nothing; other columns, whatever
+their names, are ignored.  Whole stretches are held equal if a rolling hash of their
+head and XXH3 of all their bytes agree (64 bits each), the windows of frequent
+heads if their 128-bit XXH3 agrees, all others if their bytes do.
 """
 
 from __future__ import annotations
@@ -31,60 +33,75 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import anchors, common, levels
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-_CUTS = T.StructType([T.StructField("did", T.LongType()), T.StructField("th", T.IntegerType()), T.StructField("spans", _SPANS), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType())])
-_PIECES = "key long, span long, left binary, right binary, a int, rel int, w long"
-_FOUND = "key long, span long, lo int, hi int"
+_PIECES = "key long, rid long, lo long, a int, done boolean, data binary, w1 long, w2 long"
+PIECE_LIMIT = 1 << 23
 
 
-def anchor_rows(geo: anchors.Geometry, elements):
-    """A mapInArrow function (did, th, text) -> members. ``elements`` maps UTF-8
-    bytes to an array of 64-bit values."""
+def digests(flat: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of each ``flat[start:end]``."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(flat[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)).view(np.int64)
 
+
+def wide_digest(data: bytes) -> tuple[int, int]:
+    """128-bit XXH3 as two signed numbers."""
+    value = xxhash.xxh3_128_intdigest(data)
+    return (value >> 64) - (1 << 63), (value & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def member_batch(did, rid, key, s, pab) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([common.longs(x) for x in (key, s, did, rid, pab)], names=["key", "s", "did", "rid", "pab"])
+
+
+def _members(geo: anchors.Geometry):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_values = elements()
-        for batch in batches:
-            did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
-            values = [to_values(x) for x in common.octets(batch.column("text"))]
-            for part in anchors.chunks([len(v) for v in values], geo):
-                which = np.array([i for i, _, _ in part])
-                offset = np.array([a for _, a, _ in part])
-                length = np.array([b - a for _, a, b in part])
-                found = anchors.find(np.concatenate([values[i][a:b] for i, a, b in part]), np.cumsum(length) - length, length, geo)
-                seq, add = found["seq"], offset[found["seq"]]
-                pab = levels.pack(found["pos"] + add, found["lo"] + add, found["hi"] + add)
-                yield pa.RecordBatch.from_arrays([pa.array(did[which[seq]]), pa.array(th[which[seq]]), pa.array(found["key"]), pa.array(found["span"]), pa.array(pab)], names=levels.MEMBER.names)
+        for batch in (part for whole in batches for part in common.slices(whole)):
+            rid, did = batch.column("rid").to_numpy(), batch.column("did").to_numpy()
+            texts = common.octets(batch.column("text"))
+            for part in anchors.chunks([len(t) for t in texts], geo):
+                which, offset, length = (np.array(x, np.int64) for x in zip(*((i, a, b - a) for i, a, b in part), strict=True))
+                flat = b"".join(texts[i][a:b] for i, a, b in part)
+                base = np.cumsum(length) - length
+                found = anchors.find(anchors.byte_elements(flat), base, length, geo)
+                seq, lo, hi = found["seq"], found["lo"], found["hi"]
+                s = digests(flat, base[seq] + lo, base[seq] + hi + geo.window)
+                add = offset[seq]
+                yield member_batch(did[which[seq]], rid[which[seq]], found["key"], s, levels.pack(found["pos"] + add, lo + add, hi + add))
 
     return run
 
 
-def _byte_values():
-    return anchors.byte_elements
+def items_of(lists: pa.ListArray) -> Iterator[list[tuple]]:
+    """The questions of each document as (key, pab, single, done), row by row."""
+    offsets, values = lists.offsets.to_numpy(), lists.values
+    for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        some = values.slice(x, y - x)
+        yield list(zip(*(some.field(k).to_pylist() for k in range(4)), strict=True))
 
 
-def _pieces(window: int, dense: int):
-    """Contested stretches of each document: their bytes to both sides of the
-    anchor, or one row for each window under a dense head."""
-    schema = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("a", pa.int32()), ("rel", pa.int32()), ("w", pa.int64())])
+def _pieces(window: int):
+    """Questioned stretches: their bytes, or one row a window under a frequent head."""
+    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("lo", pa.int64()), ("a", pa.int32()), ("done", pa.bool_()), ("data", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = common.Rows(schema)
-        for batch in batches:
-            for text, items in zip(common.octets(batch.column("text")), batch.column("items").to_pylist(), strict=True):
-                for x in items:
-                    pos, lo, hi = levels.unpack(x["pab"])
-                    if x["m"] <= dense:
-                        rows.add(x["key"], x["span"], text[lo:pos][::-1], text[pos : hi + window], pos - lo, None, None, size=200 + hi + window - lo)
-                    else:
-                        for s in range(lo, hi + 1):
-                            rows.add(x["key"], x["span"], None, None, None, s - lo, xxhash.xxh3_64_intdigest(text[s : s + window]) - (1 << 63), size=80)
-                        yield from rows.take()
+        rows = common.Rows(schema, PIECE_LIMIT)
+        for batch in (part for whole in batches for part in common.slices(whole)):
+            for rid, text, items in zip(batch.column("rid").to_pylist(), common.octets(batch.column("text")), items_of(batch.column("items")), strict=True):
+                for key, pab, single, done in items:
+                    pos, lo, hi = levels.unpack(pab)
+                    if not single:
+                        rows.add(key, rid, lo, pos - lo, done, text[lo : hi + window], None, None, size=120 + hi + window - lo)
+                        continue
+                    for s in range(lo, hi + 1):
+                        rows.add(None, rid, s, None, done, None, *wide_digest(text[s : s + window]), size=100)
+                    yield from rows.take()
                 yield from rows.take()
         yield from rows.take(0)
 
@@ -129,21 +146,25 @@ def repeated_offsets(left: list[bytes], right: list[bytes], window: int) -> Iter
             yield int(i), int(x), int(y) - 1
 
 
-def _scan(window: int):
-    """Key-sorted stretches -> repeated parts, as starts relative to the first."""
-    schema = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+def _compared(window: int):
+    """Key-sorted stretches -> marks of the windows that others of the key share."""
+    schema = pa.schema([("rid", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = common.Rows(schema, 1 << 20)
         for table in common.by_key(batches):
-            key = table.column("key").to_numpy()
-            span, a = table.column("span").to_numpy(), table.column("a").to_pylist()
-            left, right = table.column("left").to_pylist(), table.column("right").to_pylist()
+            key, rid, lo, a = (table.column(c).to_numpy() for c in ("key", "rid", "lo", "a"))
+            done, data = table.column("done").to_pylist(), table.column("data")
             cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                if y - x > 1:
-                    for i, least, most in repeated_offsets(left[x:y], right[x:y], window):
-                        rows.add(int(key[x]), int(span[x + i]), a[x + i] - most, a[x + i] - least)
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if y - x > 1 and not all(done[x:y]):
+                    whole = data.slice(x, y - x).to_pylist()
+                    left = [d[:n][::-1] for d, n in zip(whole, a[x:y].tolist(), strict=True)]
+                    right = [d[n:] for d, n in zip(whole, a[x:y].tolist(), strict=True)]
+                    for i, least, most in repeated_offsets(left, right, window):
+                        if not done[x + i]:
+                            first = int(lo[x + i]) + int(a[x + i])
+                            rows.add(int(rid[x + i]), first - most, first - least)
             yield from rows.take()
         yield from rows.take(0)
 
@@ -151,78 +172,85 @@ def _scan(window: int):
 
 
 def _cut(window: int):
-    """Documents with their repeated window starts -> spans and kept bytes."""
-    schema = pa.schema([("did", pa.int64()), ("th", pa.int32()), ("spans", common.arrow_type(_SPANS)), ("n_bytes", pa.int64()), ("kept", pa.binary())])
+    """Rows with their repeated window starts -> spans, size and kept bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = common.Rows(schema)
-        for batch in batches:
-            for did, th, text, starts in zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), common.octets(batch.column("text")), batch.column("starts"), strict=True):
-                spans, kept = [], text
+        for batch in (part for whole in batches for part in common.slices(whole)):
+            spans, sizes, rest = [], [], []
+            for text, starts in zip(common.octets(batch.column("text")), batch.column("starts"), strict=True):
+                own, kept = [], text
                 if starts.values is not None and len(starts.values):
                     lo, hi = (starts.values.field(k).to_numpy() for k in (0, 1))
                     lo, hi = common.merged_ranges(lo, hi + window)
-                    spans = [{"start": int(x), "end": int(y)} for x, y in zip(lo, hi, strict=True)]
-                    edges = [0, *(e for s in spans for e in (s["start"], s["end"])), len(text)]
+                    own = [{"start": x, "end": y} for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    edges = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(text)]
                     kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                rows.add(did, th, spans, len(text), kept, size=len(kept) + 100)
-                yield from rows.take()
-        yield from rows.take(0)
+                spans.append(own)
+                sizes.append(len(text))
+                rest.append(kept)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(spans, common.arrow_type(_SPANS)), common.longs(sizes), pa.array(rest, pa.binary())], names=[*batch.schema.names[:-2], "spans", "n_bytes", "kept"])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, **options) -> DataFrame:
+class SuffixIndex(levels.RepeatIndex):
+    """The index family in a folder: ``add`` batches of documents, ask for ``cuts`` at
+    any time; opened again on the same folder, it goes on with the next batch."""
+
+    def __init__(self, spark: SparkSession, root: str, window: int = 400, fanout: int = 2, dense: int = 1000):
+        self.window = window
+        geo = anchors.geometry(window, words=False)
+        super().__init__(spark, root, lambda texts: texts.mapInArrow(_members(geo), levels.MEMBER), self._windows, later=False, fanout=fanout, dense=dense)
+
+    def _windows(self, known: DataFrame, folder: str, base: int) -> DataFrame:
+        pieces = common.settle(known.select("rid", "text", "items").mapInArrow(_pieces(self.window), _PIECES), folder)
+        common.free_shuffles(self.spark)
+        near = pieces.where("w1 is null").select("key", "rid", "lo", "a", "done", "data")
+        near = near.repartition(F.col("key")).sortWithinPartitions("key", "rid", "lo").mapInArrow(_compared(self.window), levels.MARK)
+        single = pieces.where("w1 is not null").select("w1", "w2", "rid", "lo", "done")
+        twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        far = single.where("not done").join(twice, ["w1", "w2"]).select("rid", "lo", F.col("lo").alias("hi"))
+        return near.unionAll(far)
+
+    def marked(self) -> DataFrame:
+        """(rid, row, starts) of all batches."""
+        starts = self.marks().groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+        return self.rows().join(starts.hint("shuffle_hash"), "rid", "left")
+
+    def cuts(self, whole_rows: bool = False) -> DataFrame:
+        """(doc_id, spans, n_bytes, kept) per document, or (row, ...) with its row."""
+        own = F.col("row") if whole_rows else F.col("row.doc_id").cast("long").alias("doc_id")
+        rows = self.marked().select(own, common.row_text().alias("text"), "starts")
+        schema = T.StructType([rows.schema[0], T.StructField("spans", _SPANS), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType())])
+        return rows.mapInArrow(_cut(self.window), schema)
+
+
+def _indexed(docs: DataFrame, window: int, batches: int, fanout: int, dense: int) -> SuffixIndex:
+    index = SuffixIndex(docs.sparkSession, common.scratch(docs.sparkSession, "suffix-dedup"), window, fanout, dense)
+    batch = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(batches))
+    for i in range(batches):
+        index.add(docs.where(batch == i))
+    return index
+
+
+def suffix_dedup(docs: DataFrame, window: int = 400, batches: int = 2, fanout: int = 2, dense: int = 1000) -> DataFrame:
     """(doc_id, spans, n_bytes, kept): removed byte ranges and remaining bytes of
-    each document. See the module for its rules, ``cuts`` for the options."""
-    return cuts(docs, **options).select(common.doc_id_back().alias("doc_id"), "spans", "n_bytes", "kept")
+    each document. ``batches``: how many parts the documents arrive in; ``fanout``:
+    runs a level holds before they merge; ``dense``: stretches under one suffix head
+    beyond which windows are counted one by one. See the module for its rules."""
+    index = _indexed(docs, window, batches, fanout, dense)
+    if not index.state["batches"]:
+        return docs.sparkSession.createDataFrame([], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", _SPANS), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType())]))
+    return index.cuts()
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 400, batches: int = 2, fanout: int = 2, dense: int = 1000) -> DataFrame:
     """The rows of ``docs`` with their text less what repeats; a character cut in
     two by the end of a span goes with it. Documents keep their row, and a null
     text stays null."""
-    kept = cuts(docs, **options).dropDuplicates(["did", "th"]).where(F.size("spans") > 0)
-    kept = kept.select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("kept").alias("_kept"))
-    keyed = docs.withColumns({"_d": F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NO_ID).cast("long")), "_t": F.hash(common.text_of(docs))})
-    rows = keyed.join(kept, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_th")), "left")
-    whole = F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\uFFFD", "")
-    return rows.withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(whole)).select(*docs.columns)
-
-
-def cuts(docs: DataFrame, window: int = 400, batches: int = 4, fanout: int = 2, dense: int = 1000) -> DataFrame:
-    """(did, th, spans, n_bytes, kept). ``batches``: how many parts the documents
-    arrive in; ``fanout``: runs a level holds before they merge; ``dense``: stretches
-    under one suffix head beyond which they are counted window by window."""
-    spark = docs.sparkSession
-    root = common.scratch(spark, "suffix-dedup")
-    geo = anchors.geometry(window, words=False)
-    known = common.identified(docs)
-    members = known.mapInArrow(anchor_rows(geo, _byte_values), levels.MEMBER).withColumn("batch", F.pmod(F.xxhash64("did"), F.lit(batches)).cast("int"))
-    members = common.settle(members, f"{root}/members", "batch")
-    family = levels.IndexFamily(spark, root, fanout)
-    for i in range(batches):
-        family.add(members.where(F.col("batch") == i))
-    repeated, items = levels.contested(family)
-    pieces = known.join(items, ["did", "th"]).select("text", "items").mapInArrow(_pieces(window, dense), _PIECES)
-    pieces = common.settle(pieces, f"{root}/pieces")
-    common.free_shuffles(spark)
-    close = pieces.where("w is null").select("key", "span", "left", "right", "a")
-    close = close.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_scan(window), _FOUND)
-    far = pieces.where("w is not null").select("key", "span", "rel", "w")
-    twice = far.groupBy("key", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    far = far.join(twice, ["key", "w"]).select("key", "span", F.col("rel").alias("lo"), F.col("rel").alias("hi"))
-    whole = repeated.select("key", "span", F.lit(0).alias("lo"), levels.extent(F.col("rep.pab")).cast("int").alias("hi"))
-    found = whole.unionByName(close).unionByName(far).groupBy("key", "span").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
-    found = common.settle(found, f"{root}/found")
-    for done in (f"{root}/pieces", f"{root}/items", f"{root}/repeated"):
-        common.drop(spark, done)
-    common.free_shuffles(spark)
-
-    first = levels.first_start(F.col("pab"))
-    starts = members.join(found, ["key", "span"]).select("did", "th", F.transform("parts", lambda x: F.struct((first + x["lo"]).alias("lo"), (first + x["hi"]).alias("hi"))).alias("parts"))
-    starts = common.settle(starts.groupBy("did", "th").agg(F.flatten(F.collect_list("parts")).alias("starts")), f"{root}/starts")
-    for done in (f"{root}/members", f"{root}/found"):
-        common.drop(spark, done)
-    common.free_shuffles(spark)
-    return known.join(starts, ["did", "th"], "left").select("did", "th", "text", "starts").mapInArrow(_cut(window), _CUTS)
\ No newline at end of file
+    index = _indexed(docs, window, batches, fanout, dense)
+    if not index.state["batches"]:
+        return docs
+    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
+    text = F.when(F.size("spans") > 0, whole).otherwise(F.col("row.text"))
+    return index.cuts(whole_rows=True).select(F.col("row").withField("text", text).alias("row")).select("row.*")

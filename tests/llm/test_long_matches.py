@@ -7,7 +7,7 @@ from conftest import LONG, ODD, frame
 from pyspark.sql import functions as F
 
 from spanforge.llm import anchors, suffix_dedup
-from spanforge.llm.substring_dedup import substring_dedup
+from spanforge.llm.substring_dedup import SubstringIndex, substring_dedup, word_parts
 
 
 def removed(df):
@@ -22,7 +22,7 @@ def kept(df):
 def test_every_window_has_its_anchor_row_once():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 3, 4000).astype(np.uint64)
-    for geo in (anchors.Geometry(20, 5, 16), anchors.Geometry(64, 20, 32)):
+    for geo in (anchors.Geometry(20, 5), anchors.Geometry(64, 20)):
         starts, lengths = np.array([0, 1000, 1000]), np.array([1000, 0, 3000])
         found = anchors.find(values, starts, lengths, geo)
         seen = sorted((int(q), s) for q, lo, hi in zip(found["seq"], found["lo"], found["hi"], strict=True) for s in range(lo, hi + 1))
@@ -35,7 +35,7 @@ def test_every_window_has_its_anchor_row_once():
 
 
 def test_chunks_cover_each_window_start_once():
-    geo = anchors.Geometry(20, 5, 16)
+    geo = anchors.Geometry(20, 5)
     lengths = [5, 0, 19, 20, 1000, 333, 77]
     starts = sorted((i, s) for part in anchors.chunks(lengths, geo, 100) for i, a, b in part for s in range(a, b - geo.window + 1))
     assert starts == [(i, s) for i, n in enumerate(lengths) for s in range(n - geo.window + 1)]
@@ -97,3 +97,62 @@ def test_text_less_repeats_keeps_rows_and_columns(odd):
     assert out.columns == odd.columns and out.count() == len(ODD)
     texts = {r.doc_id: r.text for r in out.where("doc_id in (1, 3, 8)").collect()}
     assert texts[1] is None and texts[3] == "one two" and texts[8] == "Intro.coda of its own"
+
+
+def test_batches_one_after_another_equal_one_run(spark, documents, tmp_path, fanout=2):
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    cuts = sorted(r[0] for r in rows)[:: len(rows) // 4][1:]
+    parts = [documents.where(F.col("doc_id").between(a, b - 1)) for a, b in zip([-1, *cuts], [*cuts, 10**9], strict=True)]
+    for k, part in enumerate(parts):  # opened anew for each batch
+        suffix_dedup.SuffixIndex(spark, str(tmp_path / "bytes"), fanout=fanout).add(part)
+        SubstringIndex(spark, str(tmp_path / "words"), fanout=fanout).add(part)
+        known = part if not k else known.unionByName(part)
+    index = SubstringIndex(spark, str(tmp_path / "words"), fanout=fanout)
+    assert index.state["batches"] == len(parts) and sum(len(x) for x in index.state["levels"]) < len(parts)
+    assert kept(index.cuts()) == sorted(brute.earlier_words(rows, 20), key=str)
+    assert removed(suffix_dedup.SuffixIndex(spark, str(tmp_path / "bytes")).cuts()) == sorted(brute.repeats(rows, 400), key=str)
+
+
+def test_many_repeated_rows_without_an_id(spark):
+    same = " ".join(f"w{i}" for i in range(200)) + " "
+    rows = [(None, same, "en", "a")] * 4000 + [(None, f"{i} {same}", "en", "a") for i in range(300)]
+    got = suffix_dedup.suffix_dedup(frame(spark, rows))
+    assert got.where(F.octet_length("kept") > 4).count() == 0 and got.count() == len(rows)
+    words = substring_dedup(frame(spark, rows)).groupBy("n_removed").count().collect()
+    assert sum(r["count"] for r in words if r.n_removed > 150) == len(rows) - 1
+
+
+def test_ids_whose_hashes_collide(spark):
+    texts = [(None, "plumless " + "a b c d " * 60), (None, "buckeroo " + "d c b a " * 60), (-(2**63), "least " + "a b c d " * 60), (None, None)]
+    got = suffix_dedup.suffix_dedup(frame(spark, [(i, t, "en", "a") for i, t in texts]))
+    assert removed(got) == sorted(brute.repeats(texts, 400), key=str)
+
+
+def test_texts_longer_than_a_chunk(spark):
+    rng = random.Random(4)
+    words = [f"{rng.getrandbits(24):x}" for _ in range(200_000)]
+    long, part = " ".join(words), " ".join(words[150_000:150_400])
+    rows = [(1, long, "en", "a"), (2, f"before {part} after", "en", "a"), (3, None, "en", "a")]
+    assert len(long) > 1 << 20
+    cut = {r.doc_id: r for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
+    assert bytes(cut[2].kept) == b"before after" or len(cut[2].kept) <= len("before  after")
+    assert len(long) - len(cut[1].kept) >= len(part)
+    back = {r.doc_id: r for r in substring_dedup(frame(spark, rows)).collect()}
+    assert back[1].n_removed == 0 and back[1].n_words == 200_000 and bytes(back[1].kept).decode() == long
+    assert bytes(back[2].kept) == b"before after"
+
+
+def test_word_parts_overlap():
+    text = b" ".join(b"%d" % i for i in range(5000))
+    for overlap in (0, 19, 40):
+        seen = {}
+        for first, words in word_parts(text, overlap, 500):
+            for i, w in enumerate(words, first):
+                assert seen.setdefault(i, w) == w == b"%d" % i
+        assert len(seen) == 5000
+
+
+def test_clashing_columns_stay(odd):
+    more = odd.withColumns({c: F.lit(c) for c in ("rid", "row", "kept", "spans", "starts", "n_bytes", "lo", "hi", "_d", "_t", "_did", "_th", "_kept")})
+    out = suffix_dedup.without_repeats(more)
+    assert out.columns == more.columns and {r.kept for r in out.collect()} == {"kept"} and {r._d for r in out.collect()} == {"_d"}

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -179,16 +180,15 @@ def _predicted(shared):
             _models[shared.id] = shared.value
         model = _models[shared.id]
         names = np.array(model.languages, dtype=object)
-        for batch in batches:
-            text = batch.column("text")
-            texts = common.octets(text)
+        for batch in (part for whole in batches for part in common.slices(whole)):
+            texts = common.octets(batch.column("text"))
             bits = model.many(texts)
             size = np.maximum([len(t) for t in texts], 1)
             best = bits.argmin(axis=1) if len(bits) else np.zeros(0, int)
             with np.errstate(under="ignore"):
                 rest = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1) if len(bits) else np.zeros(0)
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[best].tolist(), pa.string()), pa.array(1 / rest), pa.array(bits.min(axis=1) / size)], names=[*keep, "guess", "share", "rate"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[best].tolist(), pa.string()), pa.array(1 / rest), pa.array(bits.min(axis=1) / size)], names=[*keep, "lang_pred", "score", "rate"])
 
     return run
 
@@ -212,8 +212,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return known.select("did", "th", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("rate"))
     shared = _Shared(docs.sparkSession.sparkContext, model)
-    guessed = known.select("did", "th", letters.alias("letters"), "text").mapInArrow(_predicted(shared), "did long, th int, letters boolean, guess string, share double, rate double")
-    return guessed.select("did", "th", F.when(F.col("letters"), F.col("guess")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("letters"), F.col("share")).otherwise(0.0).alias("score"), F.when(F.col("letters"), F.col("rate")).alias("rate"))
+    guessed = known.select("did", "th", letters.alias("letters"), "text").mapInArrow(_predicted(shared), "did long, th long, letters boolean, lang_pred string, score double, rate double")
+    return guessed.select("did", "th", F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"), F.when(F.col("letters"), F.col("rate")).alias("rate"))
 
 
 def held_out(doc_id):
@@ -238,9 +238,9 @@ def rate_limits(docs: DataFrame, quantile: float = 0.995, per_language: int = 20
         return {}
     shared = _Shared(docs.sparkSession.sparkContext, model)
     some = _sampled(known.where(half == 1), per_language)[0].where(F.col("text").cast("string").rlike(r"\p{L}"))
-    rates = some.mapInArrow(_predicted(shared), "lang string, guess string, share double, rate double")
+    rates = some.mapInArrow(_predicted(shared), "lang string, lang_pred string, score double, rate double")
     found: dict[str, list[float]] = {}
-    for r in rates.where("lang = guess").select("lang", "rate").collect():
+    for r in rates.where("lang = lang_pred").select("lang", "rate").collect():
         found.setdefault(r["lang"], []).append(r["rate"])
     limits = {x: float(np.quantile(v, quantile, method="higher")) for x, v in found.items()}
     highest = max(limits.values(), default=0.0)
@@ -250,13 +250,18 @@ def rate_limits(docs: DataFrame, quantile: float = 0.995, per_language: int = 20
 def in_known_language(docs: DataFrame, least_score: float = 0.5, per_language: int = 2000, quantile: float = 0.995) -> DataFrame:
     """The rows of ``docs`` less those whose language is undetermined, scores below
     ``least_score`` or takes more bits a byte than its ``rate_limits`` (of a language
-    that has none, the highest of all); ``lang`` becomes the prediction."""
+    that has none, the highest of all); ``lang`` becomes the prediction. Columns of any
+    other name stay as they are; it is one pass without an exchange."""
     limits = rate_limits(docs, quantile, per_language)
     limit = F.lit(max(limits.values(), default=float("inf")))
     for lang, most in sorted(limits.items()):
         limit = F.when(F.col("lang_pred") == lang, F.lit(most)).otherwise(limit)
-    found = identify(docs, per_language).dropDuplicates(["did", "th"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score) & (F.col("rate") <= limit))
-    found = found.select(F.col("did").alias("_did"), F.col("th").alias("_th"), "lang_pred")
-    keyed = docs.withColumns({"_d": F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NO_ID).cast("long")), "_t": F.hash(common.text_of(docs))})
-    rows = keyed.join(found, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_th")))
-    return rows.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    model = train(docs.where(~held_out(docs["doc_id"])), per_language)
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    if model is None:
+        return docs.where(F.lit(False))
+    given = docs.select(row, common.text_of(docs).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    schema = T.StructType([given.schema["row"], *T.StructType.fromDDL("lang_pred string, score double, rate double")])
+    found = given.mapInArrow(_predicted(_Shared(docs.sparkSession.sparkContext, model)), schema)
+    found = found.where((F.col("score") >= least_score) & (F.col("rate") <= limit))
+    return found.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")

@@ -38,7 +38,7 @@ from . import common
 MEMBER = "key long, s long, did long, rid long, pab long"
 ITEM = "key long, pab long, single boolean, done boolean"
 MARK = "rid long, lo long, hi long"
-_SCAN = "kind int, key long, s long, did long, rid long, pab long, single boolean, done boolean"
+_SCAN = "kind int, key long, s long, did long, rid long, pab long, single boolean, done boolean, salted boolean"
 _RUN, _MARKED, _ASKED, _MERGED = range(4)
 _STAYS, _MOVES, _NEW = range(3)
 
@@ -59,7 +59,7 @@ def unpack(pab):
 
 def _scanned(later: bool, dense: int):
     """Rows sorted by (key, s, src, did, rid, pab) -> runs, marks and questions."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("s", pa.int64()), ("did", pa.int64()), ("rid", pa.int64()), ("pab", pa.int64()), ("single", pa.bool_()), ("done", pa.bool_())])
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("s", pa.int64()), ("did", pa.int64()), ("rid", pa.int64()), ("pab", pa.int64()), ("single", pa.bool_()), ("done", pa.bool_()), ("salted", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.by_key(batches):
@@ -72,7 +72,7 @@ def _scanned(later: bool, dense: int):
             kinds = np.add.reduceat(first.astype(np.int64), begin)
             touched = np.maximum.reduceat(src, begin) == _NEW
             open_ = (((kinds > 1) | np.logical_or.reduceat(salted, begin)) & touched)[group]
-            alone = ((kinds > dense) | np.logical_or.reduceat(salted, begin))[group]
+            alone = (kinds > dense)[group]
             new, repeated = src == _NEW, ~first | again
             marked = (new & ~first) if later else repeated
             for kind, rows in ((_RUN, new & first), (_MARKED, marked), (_ASKED, first & open_), (_MERGED, (src == _MOVES) & first)):
@@ -81,7 +81,7 @@ def _scanned(later: bool, dense: int):
                     some = table.select(["key", "s", "did", "rid", "pab"]).take(pa.array(at)).combine_chunks()
                     done = pa.array((repeated & (not later))[at])
                     columns = [some.column(c).chunk(0) for c in some.column_names]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *columns, pa.array(alone[at]), done], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *columns, pa.array(alone[at]), done, pa.array(salted[at])], schema=schema)
 
     return run
 
@@ -176,7 +176,14 @@ class RepeatIndex:
         lo, hi = starts_of(F.col("pab"))
         marked = found.where(F.col("kind") == _MARKED).select("rid", lo.alias("lo"), hi.alias("hi"))
         marked.write.parquet(f"{self.root}/marks-{k}/whole")
-        asked = found.where(F.col("kind") == _ASKED).groupBy("rid").agg(F.collect_list(F.struct("key", "pab", "single", "done")).alias("items"))
+        asked = found.where(F.col("kind") == _ASKED)
+        if frequent is not None:  # no more heads than there are in ``frequent``
+            crowded = asked.where("salted").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > self.dense)
+            crowded = [(r["key"], True) for r in crowded.collect()]
+            if crowded:
+                crowded = spark.createDataFrame(crowded, "key long, crowded boolean")
+                asked = asked.join(F.broadcast(crowded), "key", "left").withColumn("single", F.col("single") | F.coalesce("crowded", F.lit(False)))
+        asked = asked.groupBy("rid").agg(F.collect_list(F.struct("key", "pab", "single", "done")).alias("items"))
         known = self.texts().join(asked.hint("shuffle_hash"), "rid")
         self._detail(known, f"{self.root}/detail-{k}", state["base"]).write.parquet(f"{self.root}/marks-{k}/parts")
         del asked, known
@@ -195,6 +202,12 @@ class RepeatIndex:
         state["base"], state["batches"] = ((last >> 33) + 1) << 33, k + 1
         self._saved()
 
+    def finish(self) -> None:
+        """No more batches: the runs go, rows and marks stay."""
+        for path in (p for runs in self.state["levels"] for p in runs):
+            common.drop(self.spark, path)
+        self.state["levels"] = []
+
     def _put(self, level: int, path: str) -> None:
         levels = self.state["levels"]
         while len(levels) <= level:

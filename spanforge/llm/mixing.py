@@ -33,12 +33,13 @@ WEIGHTS, RAMPS = (3, 1, 2), (0.5, 0.0, -0.5)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(did, th, source, size, h): size in words, h a hash of the id as text."""
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    """(did, th, source, size, h, more): size in words, h a hash of the id as text."""
     text = common.text_of(docs)
     return docs.select(
+        *more,
         F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NO_ID).cast("long")).alias("did"),
-        F.hash(text).alias("th"),
+        F.xxhash64(text).alias("th"),
         docs["source"].cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).alias("h"),
@@ -76,14 +77,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = 1.5, most:
     """(did, th, source, size, source_size, target, taken, before, ramp): the words
     the mix takes of each row. ``digits`` is how many hex digits of the hash cut a
     source's order into ranges. See the module for its rules."""
-    root = common.scratch(docs.sparkSession, "mixing")
-    sized = common.settle(sizes(docs).withColumn("cut", F.substring("h", 1, digits)), f"{root}/sizes")
+    return _mixed(sizes(docs), common.scratch(docs.sparkSession, "mixing"), weights, ramps, share, most, digits)
+
+
+def _mixed(sized: DataFrame, root: str, weights=WEIGHTS, ramps=RAMPS, share: float = 1.5, most: float = 2.0, digits: int = 3) -> DataFrame:
+    more = [c for c in sized.columns if c not in ("did", "th", "source", "size", "h")]
+    sized = common.settle(sized.withColumn("cut", F.substring("h", 1, digits)), f"{root}/sizes")
     sums = sized.groupBy("source", "cut").agg(F.sum("size").alias("words"))
     ahead = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = sums.select(F.col("source").alias("s"), F.col("cut").alias("c"), ahead.alias("ahead"))
     plan = targets(sized, weights, ramps, share, most).withColumnRenamed("source", "s2")
     ranges = ranges.join(plan, ranges["s"].eqNullSafe(plan["s2"])).drop("s2")
-    within = Window.partitionBy("source", "cut").orderBy("h", "did", "th", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "cut").orderBy("h", "did", "th", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(ranges, rows["source"].eqNullSafe(ranges["s"]) & (rows["cut"] == ranges["c"]))
     demand = F.floor(F.col("target") + 0.5).cast("long")
@@ -91,7 +96,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = 1.5, most:
     before = F.col("ahead") + F.col("inside")
     rest = demand - passes * F.col("source_size") - before
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return rows.select("did", "th", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), before.cast("long").alias("before"), "ramp")
+    return rows.select(*more, "did", "th", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), before.cast("long").alias("before"), "ramp")
 
 
 def position(column_before: Column | None = None) -> Column:
@@ -104,15 +109,17 @@ def position(column_before: Column | None = None) -> Column:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix reads them, range-sorted by training
     position: a row that is taken twice stands twice, one never taken goes, and one
-    taken in part is cut after its last word taken (words then joined by one space)."""
-    mixed = mix(docs, **options).where("taken > 0").dropDuplicates(["did", "th"])
-    mixed = mixed.select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("size").alias("_size"), "source_size", "target", "taken", "before", "ramp")
-    keyed = docs.withColumns({"_d": F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NO_ID).cast("long")), "_t": F.hash(common.text_of(docs))})
-    rows = keyed.join(mixed, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_th")))
-    reads = F.ceil(F.col("taken") / F.col("_size")).cast("int")
-    rows = rows.withColumn("_read", F.explode(F.sequence(F.lit(0), reads - 1)))
-    words = F.least(F.col("_size"), F.col("taken") - F.col("_read") * F.col("_size"))
-    cut = F.when(words < F.col("_size"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")).otherwise(F.col("text"))
-    time = position(F.col("before") + F.col("_read") * F.col("source_size"))
-    rows = rows.withColumn("_at", time).withColumn("text", cut)
-    return rows.repartitionByRange(F.col("_at"), F.col("_d")).sortWithinPartitions("_at", "_d").select(*docs.columns)
+    taken in part is cut after its last word taken (words then joined by one space).
+    Columns of any name stay as they are."""
+    root = common.scratch(docs.sparkSession, "mixing")
+    rows = common.numbered(docs, f"{root}/rows")
+    mixed = _mixed(sizes(rows.select("rid", "row.doc_id", "row.text", "row.source"), F.col("rid")), root, **options).where("taken > 0")
+    mixed = mixed.select("rid", "did", "size", "source_size", "target", "taken", "before", "ramp")
+    reads = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
+    mixed = mixed.withColumn("read", F.explode(reads))
+    mixed = mixed.withColumn("at", position(F.col("before") + F.col("read") * F.col("source_size")))
+    words = F.least(F.col("size"), F.col("taken") - F.col("read") * F.col("size"))
+    some = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    text = F.when(words < F.col("size"), some).otherwise(F.col("row.text"))
+    out = rows.join(mixed, "rid").select(F.col("row").withField("text", text).alias("row"), "at", "did")
+    return out.repartitionByRange("at", "did").sortWithinPartitions("at", "did").select("row.*")

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from . import common
 
 LENGTH, END = 2048, 0
-_PIECE = "did long, th int, piece int, start long, length int, ids_crc32 long, ids binary"
+_PIECE = "did long, th long, piece int, start long, length int, ids_crc32 long, ids binary"
 
 
 #: Texts of these characters only have one reading in any regex engine.
@@ -83,7 +83,7 @@ _loaded: dict[str, TextTokens] = {}
 
 
 def _pieces(path: str, length: int, end: int, with_ids: bool):
-    schema = pa.schema([("did", pa.int64()), ("th", pa.int32()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,9 +13,9 @@ that is home to a word at distance 1, all of them within covering radius plus
 threshold; so of two linked fingerprints one finds the other at its home.  The
 third part is its own anchor.  23 rows a fingerprint at most, whatever the data.
 
-Equal fingerprints are one row throughout.  An anchor with many rows is split:
-its residents are dealt out and its visitors copied to each part, so no task
-holds a whole crowded anchor.  Each anchor gives out a spanning forest of the
+Equal fingerprints are one row throughout.  An anchor with more than ``crowd`` rows
+is cut into blocks, and each pair of a block of residents and one of visitors is a
+part of its own, so no task holds a whole crowded anchor.  Each anchor gives out a spanning forest of the
 links found there, never all pairs.
 
 Defined results: fewer words than a shingle: the whole sequence is hashed; no
@@ -64,18 +64,20 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(digests)).tobytes(), "big")
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, *more: str):
+    names = [*more, "did", "th"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole)):
             fp = np.array([fingerprint(t, width) for t in common.octets(batch.column("text"))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(fp)], names=["did", "th", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp)], names=[*names, "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(did, th, fp) of each row."""
-    return common.identified(docs).mapInArrow(_fingerprints(width), "did long, th int, fp long")
+    return common.identified(docs).mapInArrow(_fingerprints(width), "did long, th long, fp long")
 
 
 @cache
@@ -126,33 +128,40 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _replicated(split: dict[int, int]):
-    """fp -> (key, home, fp); crowded keys are split into ``split[key]`` parts."""
+    """fp -> (key, part, home, fp).  A crowded anchor has ``split[key]`` blocks of
+    residents and as many of visitors, residents among them; each pair of blocks is one
+    part, so a part holds two blocks and never the whole anchor."""
     crowded = np.array(sorted(split), dtype=np.int64)
-    parts = np.array([split[k] for k in sorted(split)], dtype=np.int64)
+    blocks = np.array([split[k] for k in sorted(split)], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column("fp").to_numpy()
-            index, keys, home = anchors_of(fp.view(np.uint64))
-            into = np.ones(len(keys), np.int64)
-            if len(crowded):
-                at = np.minimum(np.searchsorted(crowded, keys), len(crowded) - 1)
-                into = np.where(crowded[at] == keys, parts[at], 1)
-            copies = into  # everyone visits each part; a resident is at home in one
-            row = np.repeat(np.arange(len(keys)), copies)
-            salt = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-            own = fp[index].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            at_home = home & True
-            resident = at_home[row] & (salt == (own[row].astype(np.int64) % into[row]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row] | salt << 44), pa.array(resident), pa.array(fp[index][row])], names=["key", "home", "fp"])
+            for begin in range(0, batch.num_rows, 4096):  # a row may have many copies
+                fp = batch.column("fp").slice(begin, 4096).to_numpy()
+                index, keys, home = anchors_of(fp.view(np.uint64))
+                n = np.ones(len(keys), np.int64)
+                if len(crowded):
+                    at = np.minimum(np.searchsorted(crowded, keys), len(crowded) - 1)
+                    n = np.where(crowded[at] == keys, blocks[at], 1)
+                own = ((fp[index].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+                for resident in (True, False):
+                    # a resident's block meets each block of visitors; a visitor's block each of residents
+                    some = np.flatnonzero(home if resident else np.ones(len(keys), bool))
+                    row = np.repeat(some, n[some])
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+                    part = own[row] * n[row] + other if resident else other * n[row] + own[row]
+                    # one copy does for a resident that visits its own part
+                    twice = home[row] & (other == own[row]) & (not resident)
+                    row, part = row[~twice], part[~twice]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(part), pa.array(np.full(len(row), resident)), pa.array(fp[index][row])], names=["key", "part", "home", "fp"])
 
     return run
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key-sorted rows -> links (a, b) that connect what is linked at each key."""
-    for table in common.by_key(batches):
-        key, home = table.column("key").to_numpy(), table.column("home").to_numpy()
+    """Rows sorted by place -> links (a, b) that connect what is linked at each place."""
+    for table in common.by_key(batches, "place"):
+        key, home = table.column("place").to_numpy(), table.column("home").to_numpy()
         fp = table.column("fp").to_numpy().view(np.uint64)
         cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         size = np.diff(cut)
@@ -182,34 +191,40 @@ def linked_fingerprints(distinct: DataFrame, root: str, crowd: int = 20_000) ->
     """(node, component) over a table of distinct ``fp``."""
     # there are 2**20 + 2 * 2**15 anchors at most, whatever the data
     counts = distinct.select("fp").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    split = {r["key"]: min(-(-r["n"] // crowd), 1 << 18) for r in counts.where(F.col("n") > crowd).collect()}
-    rows = distinct.select("fp").mapInArrow(_replicated(split), "key long, home boolean, fp long")
-    links = rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_compared, "a long, b long")
+    split = {r["key"]: -(-r["n"] // crowd) for r in counts.where(F.col("n") > crowd).collect()}
+    rows = distinct.select("fp").mapInArrow(_replicated(split), "key long, part long, home boolean, fp long")
+    # places that fall together by this hash are compared together: more work, no other result
+    rows = rows.select(F.xxhash64("key", "part").alias("place"), "home", "fp")
+    links = rows.repartition(F.col("place")).sortWithinPartitions("place").mapInArrow(_compared, "a long, b long")
     return connected(links, root)
 
 
+def _grouped(prints: DataFrame, root: str) -> DataFrame:
+    """(fp, component) of a table of prints (did, fp, ...)."""
+    nodes = common.settle(prints.groupBy("fp").agg(F.min("did").alias("did")), f"{root}/nodes")
+    groups = linked_fingerprints(nodes, root)
+    placed = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "did", F.coalesce("component", "fp").alias("c"))
+    least = placed.groupBy("c").agg(F.min("did").alias("component"))
+    return placed.join(least, "c").select("fp", "c", "component")
+
+
 def simhash_groups(docs: DataFrame, width: int = 4) -> DataFrame:
     """(did, th, fp, component) for each row; component is the smallest did
     reachable. See the module for its rules."""
     root = common.scratch(docs.sparkSession, "simhash")
     prints = common.settle(fingerprints(docs, width), f"{root}/prints")
-    nodes = common.settle(prints.groupBy("fp").agg(F.min("did").alias("did")), f"{root}/nodes")
-    groups = linked_fingerprints(nodes, root)
-    placed = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "did", F.coalesce("component", "fp").alias("c"))
-    least = placed.groupBy("c").agg(F.min("did").alias("component"))
-    named = placed.join(least, "c").select("fp", "component")
-    return prints.join(named, "fp")
+    return prints.join(_grouped(prints, root).drop("c"), "fp")
 
 
 def one_of_each(docs: DataFrame, width: int = 4) -> DataFrame:
     """The rows of ``docs`` with only one of each near-duplicate group: the one of
-    smallest doc_id (then text hash); of identical rows one stays."""
-    groups = simhash_groups(docs, width)
-    first = groups.groupBy("component").agg(F.min(F.struct("did", "th")).alias("k")).select("k.*")
-    copies = groups.groupBy("did", "th").agg(F.count(F.lit(1)).alias("copies"))
-    first = first.join(copies, ["did", "th"]).select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumns({"_d": F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NO_ID).cast("long")), "_t": F.hash(common.text_of(docs))})
-    kept = keyed.join(first, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_th")))
-    single = kept.where("_copies = 1").select(*docs.columns)
-    again = kept.where("_copies > 1").dropDuplicates(["_d", "_t"]).select(*docs.columns)
-    return single.unionByName(again)
+    smallest doc_id (then text hash, then first as read). Columns of any name stay."""
+    root = common.scratch(docs.sparkSession, "simhash")
+    rows = common.numbered(docs, f"{root}/rows")
+    known = rows.select("rid", common.row_doc_id().alias("did"), F.xxhash64(common.row_text()).alias("th"), common.row_text().alias("text"))
+    prints = common.settle(known.mapInArrow(_fingerprints(width, "rid"), "rid long, did long, th long, fp long"), f"{root}/prints")
+    place = F.struct("did", "th", "rid")
+    # first of each fingerprint, then of each group: two sums of bounded rows a group
+    first = prints.groupBy("fp").agg(F.min(place).alias("place")).join(_grouped(prints, root).select("fp", "c"), "fp")
+    kept = first.groupBy("c").agg(F.min("place").alias("place")).select("place.rid")
+    return rows.join(kept, "rid", "left_semi").select("row.*")

@@ -230,6 +230,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, fanout:
         if high is not None:
             some = some.where(ident.cast("double") <= high)
         index.add(some)
+    index.finish()
     if not index.state["batches"]:
         return spark.createDataFrame([], _KEPT)
     return index.cuts()

@@ -230,6 +230,7 @@ def _indexed(docs: DataFrame, window: int, batches: int, fanout: int, dense: int
     batch = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(batches))
     for i in range(batches):
         index.add(docs.where(batch == i))
+    index.finish()
     return index
 
 

@@ -492,3 +492,28 @@ def test_by_key_gives_whole_keys():
     out = [t.column("key").to_pylist() for t in common.by_key(iter(batches))]
     assert sum(out, []) == keys
     assert all(not set(a) & set(b) for a, b in zip(out, out[1:], strict=False))
+
+
+def test_stages_keep_columns_of_any_name(odd):
+    more = odd.withColumns({c: F.lit(c) for c in ("target", "taken", "before", "ramp", "source_size", "lang_pred", "score", "rate", "row", "rid", "at", "read", "fp", "c", "place", "_d", "_t", "_did", "_th", "_at", "_read", "_size", "_kept", "_copies")})
+    for stage in (mixing.mixed_documents, language_id.in_known_language, simhash.one_of_each):
+        out = stage(more)
+        assert out.columns == more.columns
+        assert all(r[c] == c for r in out.collect() for c in more.columns[len(odd.columns) :])
+
+
+def test_simhash_parts_of_a_crowded_anchor_are_small(spark):
+    rng = random.Random(9)
+    base = rng.getrandbits(64) & ~0x3FFFFF
+    prints = sorted({base | low for low in range(600)})
+    for crowd in (50, 100):
+        keys = Counter(simhash.anchors_of(np.array(prints, np.uint64))[1].tolist())
+        split = {k: -(-n // crowd) for k, n in keys.items() if n > crowd}
+        assert split
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.array(np.array(prints, np.uint64).view(np.int64))], names=["fp"])
+        out = [r for b in simhash._replicated(split)(iter([batch])) for r in b.to_pylist()]
+        parts = Counter((r["key"], r["part"]) for r in out)
+        assert max(parts[p] for p in parts if p[0] in split) <= 3 * crowd
+        assert max(Counter((r["key"], r["part"], r["home"], r["fp"]) for r in out).values()) == 1

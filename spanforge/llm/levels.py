@@ -92,7 +92,7 @@ class RepeatIndex:
     ``later``: mark only what stands earlier too (in the index, or in the batch by doc_id,
     row and place); else every place of a repeat, those of earlier batches included."""
 
-    def __init__(self, spark: SparkSession, root: str, members: Callable[[DataFrame], DataFrame], detail: Callable[[DataFrame, str, int], DataFrame], *, later: bool, fanout: int = 2, dense: int = 1000):
+    def __init__(self, spark: SparkSession, root: str, members: Callable[[DataFrame], DataFrame], detail: Callable[[DataFrame, str, int], DataFrame], *, later: bool, fanout: int = 2, dense: int = 20_000):
         self.spark, self.root, self.later, self.fanout, self.dense = spark, root, later, max(fanout, 2), dense
         self._members, self._detail = members, detail
         self.state = {"batches": 0, "base": 0, "levels": [], "rows": [], "marks": []}

@@ -191,7 +191,7 @@ class SubstringIndex(levels.RepeatIndex):
     """The index in a folder: ``add`` batches of documents, ask for ``cuts`` at any
     time; opened again on the same folder, it goes on with the next batch."""
 
-    def __init__(self, spark: SparkSession, root: str, window: int = 20, fanout: int = 2, dense: int = 1000):
+    def __init__(self, spark: SparkSession, root: str, window: int = 20, fanout: int = 2, dense: int = 20_000):
         self.window = window
         geo = anchors.geometry(window, words=True)
         super().__init__(spark, root, lambda texts: texts.mapInArrow(_members(geo), levels.MEMBER), self._windows, later=True, fanout=fanout, dense=dense)
@@ -213,7 +213,7 @@ class SubstringIndex(levels.RepeatIndex):
         return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), common.row_text().alias("text"), "starts").mapInArrow(_keep(self.window), _KEPT)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, fanout: int = 2, dense: int = 1000) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, fanout: int = 2, dense: int = 20_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): ``kept`` is the remaining words joined
     by one space. ``batches``: ranges of doc_id the documents arrive in; ``fanout``:
     runs a level holds before they merge; ``dense``: stretches under one anchor beyond

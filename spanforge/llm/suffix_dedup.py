@@ -42,6 +42,7 @@ from . import anchors, common, levels
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _PIECES = "key long, rid long, lo long, a int, done boolean, data binary, w1 long, w2 long"
 PIECE_LIMIT = 1 << 23
+_PAIRED = 256  # larger groups are compared offset by offset, with equal results
 
 
 def digests(flat: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -133,9 +134,34 @@ def _all_lcp(rank: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return table[np.ix_(rank, rank)]
 
 
+def _by_offset(left: list[bytes], right: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
+    """``repeated_offsets`` in time linear in the group: at each offset, neighbours of
+    the sorted order fall into classes of equal context to the left and to the right,
+    and a window repeats iff some other text is in both of its classes."""
+    (rank_l, lcp_l), (rank_r, lcp_r) = suffix_array(left), suffix_array(right)
+    size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    hits = np.zeros((len(left), int(size_l.max()) + 2), bool)
+    for o in range(hits.shape[1] - 1):
+        some = np.flatnonzero((size_l >= o) & (size_r >= window - o))
+        class_l = np.append(0, np.cumsum(lcp_l < o))[rank_l[some]]
+        class_r = np.append(0, np.cumsum(lcp_r < window - o))[rank_r[some]]
+        pair = class_l * len(left) + class_r
+        order = np.argsort(pair, kind="stable")
+        same = np.flatnonzero(pair[order[1:]] == pair[order[:-1]])
+        hits[some[order[same]], o] = True
+        hits[some[order[same + 1]], o] = True
+    for i in np.flatnonzero(hits.any(axis=1)):
+        edge = np.flatnonzero(np.diff(hits[i].astype(np.int8), prepend=0))
+        for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            yield int(i), x, y - 1
+
+
 def repeated_offsets(left: list[bytes], right: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
     """(text, least, most): windows that start least..most bytes before the anchor
     of a text also stand in another text of the group."""
+    if len(left) > _PAIRED:
+        yield from _by_offset(left, right, window)
+        return
     to_left = _all_lcp(*suffix_array(left))
     least = window - _all_lcp(*suffix_array(right))
     np.fill_diagonal(to_left, -1)
@@ -197,7 +223,7 @@ class SuffixIndex(levels.RepeatIndex):
     """The index family in a folder: ``add`` batches of documents, ask for ``cuts`` at
     any time; opened again on the same folder, it goes on with the next batch."""
 
-    def __init__(self, spark: SparkSession, root: str, window: int = 400, fanout: int = 2, dense: int = 1000):
+    def __init__(self, spark: SparkSession, root: str, window: int = 400, fanout: int = 2, dense: int = 20_000):
         self.window = window
         geo = anchors.geometry(window, words=False)
         super().__init__(spark, root, lambda texts: texts.mapInArrow(_members(geo), levels.MEMBER), self._windows, later=False, fanout=fanout, dense=dense)
@@ -234,7 +260,7 @@ def _indexed(docs: DataFrame, window: int, batches: int, fanout: int, dense: int
     return index
 
 
-def suffix_dedup(docs: DataFrame, window: int = 400, batches: int = 2, fanout: int = 2, dense: int = 1000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 400, batches: int = 2, fanout: int = 2, dense: int = 20_000) -> DataFrame:
     """(doc_id, spans, n_bytes, kept): removed byte ranges and remaining bytes of
     each document. ``batches``: how many parts the documents arrive in; ``fanout``:
     runs a level holds before they merge; ``dense``: stretches under one suffix head
@@ -245,7 +271,7 @@ def suffix_dedup(docs: DataFrame, window: int = 400, batches: int = 2, fanout: i
     return index.cuts()
 
 
-def without_repeats(docs: DataFrame, window: int = 400, batches: int = 2, fanout: int = 2, dense: int = 1000) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 400, batches: int = 2, fanout: int = 2, dense: int = 20_000) -> DataFrame:
     """The rows of ``docs`` with their text less what repeats; a character cut in
     two by the end of a span goes with it. Documents keep their row, and a null
     text stays null."""

@@ -156,3 +156,21 @@ def test_clashing_columns_stay(odd):
     more = odd.withColumns({c: F.lit(c) for c in ("rid", "row", "kept", "spans", "starts", "n_bytes", "lo", "hi", "_d", "_t", "_did", "_th", "_kept")})
     out = suffix_dedup.without_repeats(more)
     assert out.columns == more.columns and {r.kept for r in out.collect()} == {"kept"} and {r._d for r in out.collect()} == {"_d"}
+
+
+def test_offsets_of_large_groups_equal_pairwise_ones():
+    rng = random.Random(6)
+    for _ in range(40):
+        texts = {"".join(rng.choice("ab") for _ in range(rng.randint(12, 30))).encode() for _ in range(rng.randint(2, 60))}
+        parts = [(t[: (a := rng.randint(0, 9))][::-1], t[a:]) for t in sorted(texts)]
+        left, right = [x for x, _ in parts], [y for _, y in parts]
+
+        def offsets(found):
+            return sorted((i, o) for i, x, y in found for o in range(x, y + 1))
+
+        want = []
+        for i, (x, y) in enumerate(parts):
+            for o in range(len(x) + 1):
+                if len(y) >= 12 - o and any(j != i and p[:o] == x[:o] and len(p) >= o and q[: 12 - o] == y[: 12 - o] for j, (p, q) in enumerate(parts)):
+                    want.append((i, o))
+        assert offsets(suffix_dedup._by_offset(left, right, 12)) == offsets(suffix_dedup.repeated_offsets(left, right, 12)) == want

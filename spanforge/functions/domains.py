@@ -12,16 +12,23 @@ CAPTION_WEIGHTS = {"faithfulness": 0.30, "hallucination": 0.35, "coverage": 0.20
 
 # Words that a caption must not leak.
 LEAK_WORDS = (
-    "angry anger excited excitement fear fearful afraid sad sadness surprised surprise frustrated frustration happy "
-    "happiness disappointed disappointment shocked shock upset distressed distress anxious anxiety nervous worried "
-    "worry joyful joy cheerful annoyed irritated furious terrified panicked alarmed enraged delighted elated gloomy "
-    "sorrowful tense agitated emotional emotion"
-).split()
+    "angry", "anger", "excited", "excitement", "fear", "fearful", "afraid", "sad", "sadness", "surprised",
+    "surprise", "frustrated", "frustration", "happy", "happiness", "disappointed", "disappointment", "shocked",
+    "shock", "upset", "distressed", "distress", "anxious", "anxiety", "nervous", "worried", "worry", "joyful", "joy",
+    "cheerful", "annoyed", "irritated", "furious", "terrified", "panicked", "alarmed", "enraged", "delighted",
+    "elated", "gloomy", "sorrowful", "tense", "agitated", "emotional", "emotion",
+)
 # Words a refined query must keep one of, and words it must not gain.
-EMOTION_WORDS = "happy sad angry angrily fear fearful afraid surprised surprise excited frustrated frustration disappointed terrified terror joy".split()
-FORBIDDEN_WORDS = "serious concerned distressed thoughtful tense focused uncomfortable curious worried anxious confused pensive wary alarmed".split()
+EMOTION_WORDS = (
+    "happy", "sad", "angry", "angrily", "fear", "fearful", "afraid", "surprised", "surprise", "excited",
+    "frustrated", "frustration", "disappointed", "terrified", "terror", "joy",
+)
+FORBIDDEN_WORDS = (
+    "serious", "concerned", "distressed", "thoughtful", "tense", "focused", "uncomfortable", "curious", "worried",
+    "anxious", "confused", "pensive", "wary", "alarmed",
+)
 
-#: Which inputs each caption model needs: (kind, video, audio, default confidence, clip seconds limit none).
+# Fixed values, by name: which inputs each caption model needs: (kind, video, audio, default confidence, clip seconds limit none).
 MODELS = {
     "af3_vl": ("audio+video", True, True, "low"),
     "avocado": ("av", True, True, "medium"),

@@ -107,3 +107,15 @@ def cells(start: Column, end: Column, duration: Column, cell: float = 5.0) -> Co
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; null if both are empty."""
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
+
+
+def duration(start: Column, end: Column) -> Column:
+    """Length of a span, to six decimals."""
+    return F.round(end - start, 6)
+
+
+def adhoc_segment(segment_id: Column, start: Column, end: Column) -> Column:
+    """A segment as a struct; its index is the digits of its id, 1 without any."""
+    digits = F.regexp_replace(segment_id, r"\D", "")
+    index = F.coalesce(F.try_to_number(F.nullif(digits, F.lit("")), F.lit("9999999999")).cast("int"), F.lit(1))
+    return F.struct(segment_id.alias("segment_id"), index.alias("index"), F.round(start.cast("double"), 6).alias("start_time"), F.round(end.cast("double"), 6).alias("end_time"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +36,93 @@ def scores(rows: DataFrame, kind: str, value: str = "iou", missing: str = "missi
     return rows.rollup(kind).agg(*score_columns(F.col(value), F.col(missing)))
 
 
+def grounding_score(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows (iou, grid_j, missing) -> n, mean IoU, parse failures, mean grid Jaccard and
+    recall at each threshold, by kind or over all; a miss counts as 0."""
+    iou_, grid = F.coalesce("iou", F.lit(0.0)), F.coalesce("grid_j", F.lit(0.0))
+    return rows.groupBy(*by).agg(*score_columns(iou_, F.col("missing")), F.round(F.avg(grid), 6).alias("grid_jaccard")).orderBy(*by)
+
+
+def accuracy(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Share of equal gold and predicted values of each dimension, over rows that have
+    both, and the mean of the dimensions."""
+    one = rows.agg(*[F.avg((F.col(g) == F.col(p)).cast("double")).alias(n) for n, (g, p) in pairs.items()])
+    return one.select(*[F.round(n, 6).alias(n) for n in pairs], F.round(sum(F.col(n) for n in pairs) / len(pairs), 6).alias("mean"))
+
+
+AUDIO_CUES = ("voice", "sound", "music", "tone", "shout", "laugh", "cry", "scream", "whisper", "speech")
+
+
+def audio_cue(query_text: Column, words: tuple[str, ...] = AUDIO_CUES) -> Column:
+    """Whether a query speaks of something heard: a word that begins with a cue."""
+    return F.coalesce(query_text.rlike(f"(?i)(?:^|[^a-z])(?:{'|'.join(words)})"), F.lit(False))
+
+
+def too_narrow(start: Column, end: Column, gold_start: Column, gold_end: Column) -> Column:
+    """Whether a proposal lies inside the human span and is shorter."""
+    return (start >= gold_start) & (end <= gold_end) & (end - start < gold_end - gold_start)
+
+
+def span_sizes(rows: DataFrame, ids: str = "segment_ids") -> DataFrame:
+    """(n_segments, n): how many segments the spans have."""
+    return rows.groupBy(F.size(ids).alias("n_segments")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def capped_and_not(traces: DataFrame, by: str, capped: Column) -> DataFrame:
+    """(by, n, pass_rate, acceptance): passed before the cap of a video, and after it."""
+    passed = F.col("final_status") == "accepted"
+    n = F.count(F.lit(1))
+    return traces.groupBy(by).agg(n.alias("n"), F.round(ratio(F.count_if(passed | capped), n), 6).alias("pass_rate"), F.round(ratio(F.count_if(passed & ~capped), n), 6).alias("acceptance"))
+
+
+def groundable(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Annotations that can be grounded, and the counts of kept and dropped ones."""
+    drop = F.coalesce(F.col("not_groundable"), F.lit(False))
+    return annotations.where(~drop), annotations.agg(F.count_if(~drop).alias("kept"), F.count_if(drop).alias("dropped"))
+
+
+def similar_span(pairs: DataFrame, key: str, least: float, gap: float = 0.0) -> DataFrame:
+    """(key, start, end): of captions (key, start, end, s) whose similarity reaches
+    ``least``, spans at most ``gap`` apart are merged; the one of greatest total wins."""
+    from .intervals import islands
+
+    near = islands(pairs.where(F.col("s") >= least), key, "start", "end", ["start", "end"], [], F.lit(gap))
+    spans_ = near.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("s").alias("s"))
+    return spans_.groupBy(key).agg(F.max_by(F.struct("start", "end"), F.struct("s", F.negative("start").alias("n"))).alias("x")).select(key, "x.*")
+
+
+def _resampled(draws: int):
+    """Sums of weights and weighted values of each draw, one row a task and draw."""
+
+    def run(batches):
+        weights, values = np.zeros(draws), np.zeros(draws)
+        rep = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            h, v = batch.column("h").to_numpy().view(np.uint64), batch.column("v").to_numpy(zero_copy_only=False)
+            for i in range(0, len(h), 512):
+                z = h[i : i + 512, None] + rep  # a fixed stream for each key
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+                w = np.searchsorted(_POISSON, u)
+                weights += w.sum(axis=0)
+                values += v[i : i + 512] @ w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(weights), pa.array(values)], names=["rep", "w", "x"])
+
+    return run
+
+
+#: The distribution function of Poisson(1).
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
 def bootstrap(rows: DataFrame, value: str, key: str, draws: int = 1000, low: int = 25, high: int = 975) -> DataFrame:
     """Percentile interval of the mean over ``draws`` resamples (Poisson weights drawn
-    from a hash of key and draw: no row moves, so it runs over any number of rows)."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("rep")), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    # inverse of the Poisson(1) distribution function
-    weight = sum((u > c).cast("int") for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712))
-    reps = rows.select(key, value).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = reps.groupBy("rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+    from a hash of key and draw: no row moves or multiplies; a task gives ``draws`` rows)."""
+    sums = rows.where(F.col(value).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(value).cast("double").alias("v")).mapInArrow(_resampled(draws), "rep long, w double, x double")
+    means = sums.groupBy("rep").agg(F.try_divide(F.sum("x"), F.sum("w")).alias("m"))
     s = F.sort_array(F.collect_list("m"))
-    return means.agg(F.element_at(s, low + 1).alias("lo"), F.element_at(s, high + 1).alias("hi"))
+    return means.agg(F.try_element_at(s, F.lit(low + 1)).alias("lo"), F.try_element_at(s, F.lit(high + 1)).alias("hi"))
 
 
 def prf(gold: Column, pred: Column) -> list[Column]:

@@ -8,14 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domains
-from ..functions.text import leading_phrase, word_overlap
+from ..functions.text import leading_phrase, word_overlap, words
 
 
 def similar_pairs(rows: DataFrame, key: str, ident: str, text: str, least: float = 0.7) -> DataFrame:
-    """Pairs of rows of one key, by order of ``ident``, whose words overlap enough."""
-    a = rows.select(key, F.col(ident).alias("a"), F.col(text).alias("text_a"))
-    b = rows.select(key, F.col(ident).alias("b"), F.col(text).alias("text_b"))
-    return a.join(b, key).where("a < b").withColumn("overlap", word_overlap(F.col("text_a"), F.col("text_b"))).where(F.col("overlap") >= least)
+    """Pairs of rows of one key, by order of ``ident``, whose words overlap enough.
+
+    Two sets with ``least`` of the larger in common share a word among the first
+    ``n - ceil(least n) + 1`` of each, in any one order of words: rows meet there only,
+    rarest words of the key first, so a common word brings no rows together."""
+    given = rows.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.col(text).alias("text"), F.array_distinct(words(F.col(text))).alias("w"))
+    each = given.select("k", "i", F.size("w").alias("n"), F.explode("w").alias("word"))
+    counts = each.groupBy("k", "word").agg(F.count(F.lit(1)).alias("c"))
+    first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    ordered = each.join(counts, ["k", "word"]).groupBy("k", "i", "n").agg(F.sort_array(F.collect_list(F.struct("c", "word"))).alias("s"))
+    heads = ordered.select("k", "i", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("x")).select("k", "i", "x.word")
+    met = heads.join(heads.withColumnRenamed("i", "j"), ["k", "word"]).where("i < j").select("k", "i", "j").distinct()
+    a = given.select("k", "i", F.col("text").alias("text_a"))
+    b = given.select("k", F.col("i").alias("j"), F.col("text").alias("text_b"))
+    pairs = met.join(a, ["k", "i"]).join(b, ["k", "j"]).withColumn("overlap", word_overlap(F.col("text_a"), F.col("text_b"))).where(F.col("overlap") >= least)
+    return pairs.select(F.col("k").alias(key), F.col("i").alias("a"), F.col("j").alias("b"), "text_a", "text_b", "overlap")
 
 
 def violations(traces: DataFrame, most: int = 8, fewest: int = 3, most_alike: int = 3) -> DataFrame:

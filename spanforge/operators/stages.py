@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,7 +21,12 @@ def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -45,10 +52,15 @@ def event_stage(captions: DataFrame, segments: DataFrame, client: Callable[[], C
     """Emotion events: drawn until a draw keeps under twice the captions (10 at least)
     and the smallest draw otherwise, cut to that ceiling, checked, merged, resolved."""
     p = caption_payloads(captions).withColumn("ceiling", F.greatest(2 * F.col("n"), F.lit(10)))
-    tries = p.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    tries = tries.withColumns({"key": F.concat_ws("\t", "video_id", "draw"), "prompt": F.concat(F.lit("events\n"), F.col("payload")), "media": F.array().cast("array<string>")})
-    drawn = tries.select("key", "video_id", "draw", "ceiling").join(settled(model_stage(tries, client)), "key")
-    drawn = drawn.withColumn("events", F.coalesce(F.from_json(json_text.first_array(F.col("raw")), EVENT), F.array().cast(EVENT)))
+    drawn, todo = None, p
+    for k in range(1, draws + 1):  # only videos without a fitting draw are asked again
+        tries = todo.withColumns({"draw": F.lit(k), "key": F.concat_ws("\t", "video_id", F.lit(k)), "prompt": F.concat(F.lit("events\n"), F.col("payload")), "media": F.array().cast("array<string>")})
+        got = tries.select("key", "video_id", "draw", "ceiling").join(model_stage(tries, client), "key")
+        got = settled(got.withColumn("events", F.coalesce(F.from_json(json_text.first_array(F.col("raw")), EVENT), F.array().cast(EVENT))))
+        drawn = got if drawn is None else drawn.unionByName(got)
+        todo = todo.join(got.where(F.size("events") > F.col("ceiling")).select("video_id"), "video_id", "left_semi")
+        if k < draws and got.where(F.size("events") > F.col("ceiling")).isEmpty():
+            break
     n = F.size("events")
     best = drawn.groupBy("video_id").agg(F.min_by(F.struct("events", "ceiling"), F.when(n <= F.col("ceiling"), F.struct(F.lit(0).alias("a"), F.col("draw").alias("b"))).otherwise(F.struct(n.alias("a"), F.col("draw").alias("b")))).alias("x"))
     rows = best.select("video_id", F.posexplode(F.slice("x.events", F.lit(1), F.col("x.ceiling"))).alias("pos", "e")).where(F.col("e.emotion_label").isin(*domains.EMOTIONS))

@@ -58,3 +58,20 @@ def evaluation_summary(traces: DataFrame, rounds: DataFrame) -> DataFrame:
     """(part, value, n, pct): outcomes of queries and decisions of all rounds."""
     parts = [histogram(df, c).select(F.lit(c).alias("part"), F.col(c).alias("value"), "n", "pct") for df, c in ((traces, "final_status"), (rounds, "decision"))]
     return parts[0].unionByName(parts[1])
+
+
+def dataset_summary(queries: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row: queries, verdicts that pass, their rate, and videos."""
+    q = queries.agg(F.count(F.lit(1)).alias("queries"), F.count_distinct("video_id").alias("videos"))
+    v = verdicts.agg(F.count_if(F.col("decision") == "pass").alias("passed"), F.count(F.lit(1)).alias("judged"))
+    return q.crossJoin(v).select("queries", "passed", F.round(ratio(F.col("passed"), F.col("judged")), 4).alias("pass_rate"), "videos")
+
+
+def outcomes_by_video(traces: DataFrame) -> DataFrame:
+    """(video_id, accepted, discarded)."""
+    return traces.groupBy("video_id").agg(*[F.count_if(F.col("final_status") == s).alias(s) for s in ("accepted", "discarded")])
+
+
+def warnings(messages: Column) -> Column:
+    """The messages of an array that are warnings."""
+    return F.filter(messages, lambda m: m.contains("WARNING"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import domains, json_text, spans, text
-from ..operators import evals, intervals, quality, ranking, stages, stats
+from ..operators import evals, intervals, quality, ranking, similarity, stages, stats
 from ..sources.model import FakeClient
 from .session import ship
 
@@ -325,9 +325,9 @@ def usage_rollup(t):
 _NORM = "trim(regexp_replace(translate(lower(text), '{p}', ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))".format(p=text.PUNCTUATION.replace("'", "''"))
 
 
-@query(f"SELECT array_to_string(string_split({_NORM}, ' ')[1:2], ' ') AS phrase, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 3")
+@query(f"SELECT array_to_string(string_split({_NORM}, ' ')[1:2], ' ') AS phrase, count(*) AS n FROM (SELECT coalesce(text, '') AS text FROM documents) GROUP BY 1 HAVING count(*) > 3")
 def leading_phrase_repeats(t):
-    return t("conversations").groupBy(text.leading_phrase(F.col("text")).alias("phrase")).agg(F.count(F.lit(1)).alias("n")).where("n > 3")
+    return t("documents").withColumn("text", F.coalesce("text", F.lit(""))).groupBy(text.leading_phrase(F.col("text")).alias("phrase")).agg(F.count(F.lit(1)).alias("n")).where("n > 3")
 
 
 _SETS = f"(SELECT conv_id, turn, list_distinct(string_split({_NORM}, ' ')) AS w FROM conversations WHERE length({_NORM}) > 0)"
@@ -432,60 +432,59 @@ def looked_up_values(t):
     return got.where("size(roles) > 0").select("conv_id", F.array_join("roles", ",").alias("roles"))
 
 
-@query("SELECT (SELECT count(*) FROM lineitem) AS segments, (SELECT count(*) FROM conversations) AS raw_captions, (SELECT count(*) FROM events) AS emotion_events, (SELECT count(*) FROM documents) AS initial_queries, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0) AS discarded, count(DISTINCT doc_id % 50) AS videos, round(count(*) FILTER (WHERE quality = 1)::DOUBLE / count(DISTINCT doc_id % 50), 4) AS accepted_per_video, round(count(*) FILTER (WHERE toxic = 0 AND doc_id % 2 = 0)::DOUBLE / count(*) FILTER (WHERE doc_id % 2 = 0), 4) AS first_pass_rate, round(count(*) FILTER (WHERE quality = 1)::DOUBLE / (SELECT count(*) FROM documents), 4) AS acceptance_rate FROM labels")
+@query("SELECT (SELECT count(*) FROM lineitem) AS segments, (SELECT count(*) FROM conversations) AS raw_captions, (SELECT count(*) FROM events) AS emotion_events, (SELECT count(*) FROM documents) AS initial_queries, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0) AS discarded, count(DISTINCT doc_id % 50) AS videos, round(count(*) FILTER (WHERE quality = 1)::DOUBLE / count(DISTINCT doc_id % 50), 4) AS accepted_per_video, round(count(*) FILTER (WHERE toxic = 0 AND doc_id % 2 = 0)::DOUBLE / count(*) FILTER (WHERE doc_id % 2 = 0), 4) AS first_pass_rate, round(count(*) FILTER (WHERE quality = 1)::DOUBLE / (SELECT count(*) FROM documents), 4) AS acceptance_rate, (SELECT string_agg(event_type || ':' || n, ',' ORDER BY event_type) FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)) AS emotions, (SELECT string_agg(lang || ':' || n, ',' ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1)) AS initial_types, (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM (SELECT 't' || doc_id % 3 AS k, count(*) AS n FROM labels WHERE quality = 1 GROUP BY 1)) AS accepted_types, (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM (SELECT doc_id % 4 AS k, count(*) AS n FROM labels GROUP BY 1)) AS rewrites FROM labels")
 def stats_row(t):
     lab = t("labels")
-    traces = lab.select((F.col("doc_id") % 50).alias("video_id"), F.when(F.col("quality") == 1, "accepted").otherwise("discarded").alias("final_status"), F.lit("x").alias("query_type"), F.lit(0).alias("rewrite_count"))
+    traces = lab.select((F.col("doc_id") % 50).alias("video_id"), F.when(F.col("quality") == 1, "accepted").otherwise("discarded").alias("final_status"), F.concat(F.lit("t"), F.col("doc_id") % 3).alias("query_type"), (F.col("doc_id") % 4).alias("rewrite_count"))
     verdicts = lab.select((F.col("doc_id") % 2 + 1).alias("round_index"), F.when(F.col("toxic") == 0, "pass").otherwise("fail").alias("decision"))
-    one = stats.run_stats(t("lineitem"), t("conversations"), t("events").select(F.col("event_type").alias("emotion_label")), t("documents").select(F.col("lang").alias("query_type")), traces, verdicts)
-    return one.drop("emotions", "initial_types", "accepted_types", "rewrites")
+    one = stats.run_stats(t("lineitem"), t("conversations"), t("events").select(F.col("event_type").alias("emotion_label")), t("documents").where("lang is not null").select(F.col("lang").alias("query_type")), traces, verdicts)
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return one.withColumns({c: shown(c) for c in ("emotions", "initial_types", "accepted_types", "rewrites")})
 
 
 def _traces(t):
     e, i = t("events"), F.col("event_id")
     kinds = F.array(*map(F.lit, (*domains.QUERY_TYPES, "odd")))
-    return e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("query_id"), F.element_at(kinds, (F.when(i % 40 == 0, 4).otherwise(i % 3 + 1)).cast("int")).alias("query_type"), F.when(i % 2 == 0, "accepted").when(i % 97 == 1, "lost").otherwise("discarded").alias("final_status"), F.concat("event_type", F.lit(" at "), (i % 30).cast("string")).alias("final_query_text"))
+    text_ = F.when(i % 62 == 0, F.lit("")).otherwise(F.concat("event_type", F.lit(" at "), (i % 30).cast("string")))
+    rows = e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("query_id"), F.element_at(kinds, (F.when(i % 40 == 0, 4).otherwise(i % 3 + 1)).cast("int")).alias("query_type"), F.when(i % 2 == 0, "accepted").when(i % 97 == 1, "lost").otherwise("discarded").alias("final_status"), text_.alias("final_query_text"))
+    return rows.unionByName(rows.where("query_id % 200 = 0").withColumn("final_status", F.lit("discarded")))
 
 
 @query(
-    """WITH t AS (SELECT user_id AS v, event_id AS q, CASE WHEN event_id % 40 = 0 THEN 'odd' ELSE ['explicit_event', 'emotion_state', 'evidence_cue'][event_id % 3 + 1] END AS ty, CASE WHEN event_id % 2 = 0 THEN 'accepted' WHEN event_id % 97 = 1 THEN 'lost' ELSE 'discarded' END AS st, event_type || ' at ' || event_id % 30 AS x FROM events),
+    """WITH e AS (SELECT user_id AS v, event_id AS q, CASE WHEN event_id % 40 = 0 THEN 'odd' ELSE ['explicit_event', 'emotion_state', 'evidence_cue'][event_id % 3 + 1] END AS ty, CASE WHEN event_id % 2 = 0 THEN 'accepted' WHEN event_id % 97 = 1 THEN 'lost' ELSE 'discarded' END AS st, CASE WHEN event_id % 62 = 0 THEN '' ELSE event_type || ' at ' || event_id % 30 END AS x FROM events),
+t AS (SELECT * FROM e UNION ALL SELECT v, q, ty, 'discarded', x FROM e WHERE q % 200 = 0),
 a AS (SELECT * FROM t WHERE st = 'accepted'), n AS (SELECT v, count(*) FILTER (WHERE st = 'accepted') AS n, count(DISTINCT CASE WHEN st = 'accepted' THEN ty END) AS k, min(CASE WHEN st = 'accepted' THEN ty END) AS ty FROM t GROUP BY v),
-o AS (SELECT 'error' AS severity, 'status' AS kind, v, 1 AS n FROM t WHERE st = 'lost' UNION ALL SELECT 'error', 'type', v, 1 FROM t WHERE ty = 'odd' UNION ALL SELECT 'error', 'too_many', v, n FROM n WHERE n > 8
-UNION ALL SELECT 'error', 'duplicate_text', v, count(*) - 1 FROM a GROUP BY v, x HAVING count(*) > 1 UNION ALL SELECT 'warning', 'few', v, n FROM n WHERE n < 3 UNION ALL SELECT 'warning', 'one_type', v, n FROM n WHERE k = 1
-UNION ALL SELECT 'warning', 'same_start', v, count(*) FROM a GROUP BY v, string_split(x, ' ')[1] HAVING count(*) > 3)
+o AS (SELECT 'error' AS severity, 'status' AS kind, v, 1 AS n FROM t WHERE st = 'lost' UNION ALL SELECT 'error', 'type', v, 1 FROM t WHERE ty = 'odd' UNION ALL SELECT 'error', 'empty_text', v, 1 FROM a WHERE x = '' UNION ALL SELECT 'error', 'too_many', v, n FROM n WHERE n > 8
+UNION ALL SELECT 'error', 'duplicate_text', v, count(*) - 1 FROM a GROUP BY v, x HAVING count(*) > 1 UNION ALL SELECT 'error', 'conflicting_status', v, 1 FROM a WHERE q % 200 = 0
+UNION ALL SELECT 'warning', 'few', v, n FROM n WHERE n < 3 UNION ALL SELECT 'warning', 'one_type', v, n FROM n WHERE k = 1
+UNION ALL SELECT 'warning', 'same_start', v, count(*) FROM a GROUP BY v, string_split(x, ' ')[1] HAVING count(*) > 3
+UNION ALL SELECT 'warning', 'similar', a.v, 1 FROM a JOIN a b ON a.v = b.v AND a.q < b.q AND a.x = b.x AND a.x <> '')
 SELECT severity, kind, count(*) AS rows, count(DISTINCT v) AS videos, sum(n)::BIGINT AS n FROM o GROUP BY severity, kind"""
 )
 def violations_by_kind(t):
-    v = quality.violations(_traces(t)).where("kind <> 'similar'")
+    v = quality.violations(_traces(t))
     return v.groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("video_id").alias("videos"), F.sum("n").alias("n"))
 
 
-_COS = "(SELECT q.vec_id AS q, c.vec_id AS c, list_cosine_similarity([x::DOUBLE FOR x IN q.embedding], [x::DOUBLE FOR x IN c.embedding]) AS s FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)"
+_SOUND = "(SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum([x::DOUBLE * x FOR x IN embedding]) > 0)"
+_COS = f"(SELECT q.vec_id AS q, c.vec_id AS c, list_cosine_similarity(q.v, c.v) AS s FROM {_SOUND} q JOIN {_SOUND} c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)"
 
 
-def _cosine(t):
-    e = t("embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "label", F.col("v").alias("qv"), F.col("n").alias("qn"))
-    return q.join(e, "label").where("q <> vec_id").select("q", F.col("vec_id").alias("c"), (dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n"))).alias("s"))
+def _nearest(t, k: int = 5):
+    """The stated queries (ids divisible by 100) against all rows."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return similarity.nearest(e.where("id % 100 = 0"), e, k).withColumnsRenamed({"query": "q", "id": "c"})
 
 
 @query(f"SELECT q, c, rk FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, c) AS rk FROM {_COS}) WHERE rk <= 5")
 def topk_cosine(t):
-    from pyspark.sql import Window
-
-    rk = F.row_number().over(Window.partitionBy("q").orderBy(F.round("s", 9).desc(), "c"))
-    return _cosine(t).withColumn("rk", rk.cast("long")).where("rk <= 5").select("q", "c", "rk")
+    return _nearest(t).select("q", "c", "rk")
 
 
 @query(f"SELECT count(DISTINCT q) FILTER (WHERE rk <= 1 AND s >= 0.9) AS r_at_1, count(DISTINCT q) FILTER (WHERE rk <= 5 AND s >= 0.9) AS r_at_5, count(DISTINCT q) AS n FROM (SELECT q, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, c) AS rk FROM {_COS})")
 def recall_at_n(t):
-    from pyspark.sql import Window
-
-    r = _cosine(t).withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy(F.round("s", 9).desc(), "c")))
     hit = lambda n: F.count_distinct(F.when((F.col("rk") <= n) & (F.col("s") >= 0.9), F.col("q")))
-    return r.agg(hit(1).alias("r_at_1"), hit(5).alias("r_at_5"), F.count_distinct("q").alias("n"))
+    return _nearest(t).agg(hit(1).alias("r_at_1"), hit(5).alias("r_at_5"), F.count_distinct("q").alias("n"))
 
 
 _PREDS = f"(SELECT k, 'm' || line AS model, s, e FROM {_L})"

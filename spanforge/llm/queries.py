@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
-TOKENIZERS = os.environ.get("SPANFORGE_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("SPANFORGE_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

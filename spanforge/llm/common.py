@@ -48,6 +48,25 @@ def drop(spark: SparkSession, path: str) -> None:
     _made[:] = [x for x in _made if x[1] != path]
 
 
+class Scratch:
+    """Scratch of steps that are written one after another: when a step begins, what the
+    steps before it made goes, but for folders that its input is read from."""
+
+    def __init__(self) -> None:
+        self.left: list[str] = []
+
+    def step(self, docs: DataFrame, work) -> DataFrame:
+        read = docs.inputFiles() if self.left else []
+        held = [p for p in self.left if any(p in f for f in read)]
+        for path in self.left:
+            if path not in held:
+                drop(docs.sparkSession, path)
+        before = {p for _, p in _made}
+        out = work(docs)
+        self.left = held + [p for _, p in _made if p not in before]
+        return out
+
+
 @atexit.register
 def _drop_all() -> None:
     for spark, path in list(_made):

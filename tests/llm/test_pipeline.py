@@ -63,3 +63,19 @@ def test_stages_against_plain_versions(spark, small, documents, tmp_path):
     tok = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
     own = [r for r in packed.collect() if r.doc_id in ids]
     assert sum(r.length for r in own) == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for _, t in whole)
+
+
+def test_scratch_of_written_steps_goes(spark, odd, tmp_path):
+    from pathlib import Path
+
+    from spanforge.llm import common, simhash
+
+    scratch = common.Scratch()
+    first = scratch.step(odd, simhash.one_of_each)
+    made = list(scratch.left)
+    assert made and all(Path(p).exists() for p in made)
+    again = scratch.step(first, lambda rows: rows)  # not written: its input stays
+    assert again.count() == first.count() and all(Path(p).exists() for p in made if p in scratch.left) and scratch.left
+    first.write.parquet(str(tmp_path / "first"))
+    scratch.step(spark.read.parquet(str(tmp_path / "first")), lambda rows: rows)
+    assert not any(Path(p).exists() for p in made) and scratch.left == []

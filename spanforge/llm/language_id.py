@@ -1,19 +1,22 @@
 """Language ID by prediction by partial matching (PPM).
 
-One byte context tree a language, of variable order up to 2: the count of each
-byte after each context of two bytes, one byte and none.  A byte that a context
-has seen costs ``-log2(c / (n + d))`` bits there; one it has not seen costs an
-escape, ``-log2(d / (n + d))``, and is coded by the next shorter context (method
-C: d distinct successors in n); below order 0 all bytes are equally likely.  The
-statistics are frozen after training, so the code length of a byte depends on it
-and the two bytes before it alone: trees are unfolded into a table of exact code
-lengths, and a text's code length is a sum of look-ups over all its bytes.  The
+One byte context tree a language, of variable order up to 4: the count of each
+byte after each context of four bytes to none, over all 256 byte values.  A byte
+that a context has seen costs ``-log2(c / (n + d))`` bits there; one it has not
+seen costs an escape, ``-log2(d / (n + d))``, and is coded by the next shorter
+context (method C: d distinct successors in n); below order 0 all bytes are
+equally likely.  The statistics are frozen after training, so the code length of a
+byte depends on it and the four bytes before it alone: trees are unfolded into the
+exact code length of each edge and the escape of each context, in all languages at
+once, and a text's code length is a sum of look-ups over all its bytes.  The
 language of the shortest code wins; the score is its share when code lengths are
 taken as probabilities, ``2 ** -bits``.
 
 Training uses a hash sample of about ``per_language`` labelled documents of each
-language, whole texts.  Counting is distributed; a tree has at most 2 million
-edges a language, whatever the data.
+language, whole texts.  Counting is distributed.  All trees together have at most
+``edges`` edges, an equal share a language: one with more loses those seen fewer
+than 2, 4, 8, ... times (a shorter edge is seen at least as often as a longer one
+that ends in it, so trees stay whole and only become shallower).
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and
 so is every text if nothing can be learned; a tie goes to the first language by
@@ -35,111 +38,174 @@ from pyspark.sql import types as T
 from . import common
 
 UNKNOWN = "und"
-_CODES = 128
+ORDER = 4
+_START = b"\xff" * ORDER  # before the first byte of a text; 0xff is no byte of UTF-8
 _STEP = 1 << 20
 
 
-def _codes(counts: np.ndarray) -> np.ndarray:
-    """Byte -> code: the 126 most frequent bytes have their own, 0 stands for the
-    start of a text and 127 for all other bytes."""
-    table = np.full(256, _CODES - 1, np.uint8)
-    order = np.argsort(-counts, kind="stable")[: _CODES - 2]
-    order = order[counts[order] > 0]
-    table[order] = np.arange(1, len(order) + 1)
-    return table
-
-
-def _trigrams(data: bytes, codes: np.ndarray) -> np.ndarray:
-    """Index of (two bytes before, byte) at each byte of a text."""
-    c = np.zeros(len(data) + 2, np.int32)
-    c[2:] = codes[np.frombuffer(data, np.uint8)]
-    return (c[:-2] * _CODES + c[1:-1]) * _CODES + c[2:]
-
-
-def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for text in common.octets(batch.column("text")):
-            total += np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([common.longs(at), common.longs(total[at])], names=["b", "n"])
-
-
-def _edge_counts(codes: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), common.octets(batch.column("text")), strict=True):
-                tree = trees.setdefault(lang, np.zeros(_CODES**3, np.int32))
-                for i in range(0, len(text), _STEP):
-                    part = _trigrams(text[max(i - 2, 0) : i + _STEP], codes)[min(i, 2) :]
-                    np.add.at(tree, part, 1)
-        for lang, tree in trees.items():
-            at = np.flatnonzero(tree)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), common.longs(at), common.longs(tree[at])], names=["lang", "edge", "n"])
-
-    return run
-
-
-def code_lengths(edges: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits of each (context of two, byte), flat, from one language's tree."""
-    full = np.zeros(_CODES**3, np.float64)
-    full[edges] = counts
-    bits = np.full(_CODES, np.log2(_CODES))
-    for order in (0, 1, 2):
-        tree = full.reshape(-1, _CODES**order, _CODES).sum(axis=0)
-        n, d = tree.sum(axis=1, keepdims=True), (tree > 0).sum(axis=1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = -np.log2(tree / (n + d))
-            escape = np.where(n > 0, -np.log2(d / (n + d)), 0.0)
-        shorter = np.tile(bits.reshape(-1, _CODES), (tree.shape[0] // max(bits.size // _CODES, 1), 1))
-        bits = np.where(tree > 0, seen, escape + shorter)
-    return bits.ravel().astype(np.float32)
+def _parts(text: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """A text in parts of bounded size, each after the four bytes before it."""
+    for i in range(0, len(text), _STEP):
+        yield text[max(i - ORDER, 0) : i].rjust(ORDER, _START[:1]), text[i : i + _STEP]
+
+
+def _keys(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """Each byte of the parts with the four before it, as one number, its own lowest."""
+    data = np.frombuffer(b"".join(x for part in parts for x in part), np.uint8).astype(np.int64)
+    out = data.copy()
+    for k in range(1, ORDER + 1):
+        out[k:] |= data[:-k] << (8 * k)
+    ends = np.cumsum([ORDER + len(own) for _, own in parts])
+    mine = np.ones(len(data), bool)
+    mine[(np.concatenate([[0], ends[:-1]])[:, None] + np.arange(ORDER)).ravel().astype(int)] = False
+    return out[mine]
+
+
+def _at_order(keys: np.ndarray, k: int) -> np.ndarray:
+    """Edges of order k: k bytes of context and a byte, under the mark of their order."""
+    return keys & ((1 << 8 * (k + 1)) - 1) | k << 8 * (ORDER + 1)
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of all orders, ascending, and their counts."""
+    edge, n = np.unique(keys, return_counts=True)
+    edges, counts = [], []
+    for k in range(ORDER + 1):
+        own, back = np.unique(_at_order(edge, k), return_inverse=True)
+        edges.append(own)
+        counts.append(np.bincount(back, n, len(own)).astype(np.int64))
+    return np.concatenate(edges), np.concatenate(counts)
+
+
+def _edge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in common.slices(whole)):
+        by_language: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), common.octets(batch.column("text")), strict=True):
+            by_language.setdefault(lang, []).append(text)
+        for lang, texts in by_language.items():
+            for parts in _packed(texts):
+                edge, n = counted(_keys(parts))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(edge), pa.string()), common.longs(edge), common.longs(n)], names=["lang", "edge", "n"])
+
+
+def _packed(texts: list[bytes]) -> Iterator[list[tuple[bytes, bytes]]]:
+    """Parts of the texts in lists of bounded size."""
+    held: list[tuple[bytes, bytes]] = []
+    size = 0
+    for part in (p for text in texts for p in _parts(text)):
+        if held and size + len(part[1]) > _STEP:
+            yield held
+            held, size = [], 0
+        held.append(part)
+        size += len(part[1])
+    if held:
+        yield held
+
+
+class _Places:
+    """Where each of some different numbers stands among them (open addressing)."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.numbers = numbers
+        self.bits = max(4, int(2 * len(numbers)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        todo = np.arange(len(numbers), dtype=np.int32)
+        at = self._home(numbers)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            left = self.slots[at] != todo
+            todo, at = todo[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def _home(self, numbers: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each, -1 where it is none of them."""
+        out = np.full(len(wanted), -1, np.int32)
+        todo, at = np.arange(len(wanted)), self._home(wanted)
+        while len(todo) and len(self.numbers):
+            place = self.slots[at]
+            found = (place >= 0) & (self.numbers[place] == wanted[todo])
+            out[todo[found]] = place[found]
+            left = (place >= 0) & ~found
+            todo, at = todo[left], (at[left] + 1) & (len(self.slots) - 1)
+        return out
 
 
 class Model:
-    """Frozen trees: byte codes and, a language each, edges and their counts."""
-
-    def __init__(self, codes: np.ndarray, trees: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.codes, self.languages = codes, sorted(trees)
-        self.trees = [trees[x] for x in self.languages]
-        self._table = None
+    """Frozen trees, unfolded: from edges of all orders and their counts, a pair a
+    language, the code length of each edge and the escape of each context."""
+
+    def __init__(self, trees: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.languages = sorted(trees)
+        edges, bits, contexts, escapes = [], [], [], []
+        for k in range(ORDER + 1):
+            own = []
+            for x in self.languages:
+                edge, n = trees[x]
+                here = edge >> 8 * (ORDER + 1) == k
+                order = np.argsort(edge[here])
+                own.append((edge[here][order], n[here][order]))
+            union = np.unique(np.concatenate([e for e, _ in own]))
+            heads = np.unique(union >> 8)
+            escape = np.zeros((len(heads), len(own)))
+            if k:
+                shorter = bits[-1][np.searchsorted(edges[-1], _at_order(union, k - 1))]
+            else:
+                shorter = np.full((len(union), len(own)), 8.0)
+            seen = []
+            for i, (edge, n) in enumerate(own):
+                head, first, kinds = np.unique(edge >> 8, return_index=True, return_counts=True)
+                total = np.add.reduceat(n, first) if len(first) else n
+                escape[np.searchsorted(heads, head), i] = -np.log2(kinds / (total + kinds))
+                seen.append(-np.log2(n / np.repeat(total + kinds, kinds)))
+            length = shorter + escape[np.searchsorted(heads, union >> 8)]
+            for i, (edge, _) in enumerate(own):
+                length[np.searchsorted(union, edge), i] = seen[i]
+            edges.append(union)
+            bits.append(length)
+            contexts.append(heads)
+            escapes.append(escape)
+        self.edges, self.contexts = np.concatenate(edges), np.concatenate(contexts)
+        self.lengths, self.escapes = (np.concatenate(z).astype(np.float32) for z in (bits, escapes))
+        self._places = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_table": None}
-
-    @property
-    def table(self) -> np.ndarray:
-        if self._table is None:
-            self._table = np.stack([code_lengths(*t) for t in self.trees], axis=1)
-        return self._table
+        return {**self.__dict__, "_places": None}
+
+    def _costs(self, keys: np.ndarray) -> np.ndarray:
+        """Code length of each byte in each language."""
+        if self._places is None:
+            self._places = _Places(self.edges), _Places(self.contexts)
+        edges, contexts = self._places
+        out = np.zeros((len(keys), len(self.languages)), np.float32)
+        todo = np.arange(len(keys))
+        for k in range(ORDER, -1, -1):
+            edge = _at_order(keys[todo], k)
+            at = edges.find(edge)
+            out[todo[at >= 0]] += self.lengths[at[at >= 0]]
+            todo, edge = todo[at < 0], edge[at < 0]
+            at = contexts.find(edge >> 8)
+            out[todo[at >= 0]] += self.escapes[at[at >= 0]]
+        out[todo] += 8.0
+        return out
 
     def bits(self, text: bytes) -> np.ndarray:
         """Code length of a text in each language."""
-        total = np.zeros(len(self.languages))
-        for i in range(0, len(text), _STEP):
-            part = _trigrams(text[max(i - 2, 0) : i + _STEP], self.codes)[min(i, 2) :]
-            total += self.table[part].sum(axis=0, dtype=np.float64)
-        return total
+        return self.many([text])[0]
 
     def many(self, texts: list[bytes]) -> np.ndarray:
-        """Code lengths of short texts at once."""
+        """Code lengths of texts."""
         out = np.zeros((len(texts), len(self.languages)))
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) <= _STEP):
-                size += len(texts[j])
-                j += 1
-            if j == i + 1:
-                out[i] = self.bits(texts[i])
-            else:
-                full = [k for k in range(i, j) if texts[k]]
-                index = np.concatenate([_trigrams(texts[k], self.codes) for k in full]) if full else np.zeros(0, np.int32)
-                starts = np.cumsum([0] + [len(texts[k]) for k in full])[:-1]
-                if full:
-                    out[full] = np.add.reduceat(self.table[index].astype(np.float64), starts, axis=0)
-            i = j
+        owner = [i for i, text in enumerate(texts) for _ in range(0, len(text), _STEP)]
+        done = 0
+        for parts in _packed(texts):
+            starts = np.cumsum([0] + [len(own) for _, own in parts])[:-1]
+            sums = np.add.reduceat(self._costs(_keys(parts)), starts, axis=0, dtype=np.float64)
+            np.add.at(out, owner[done : done + len(parts)], sums)
+            done += len(parts)
         return out
 
 
@@ -150,24 +216,29 @@ def _sampled(labelled: DataFrame, per_language: int) -> tuple[DataFrame, list[st
     share = F.lit(0.0)
     for lang, n in sorted(number.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text"), sorted(number)
+    return rows.where(F.pmod(F.xxhash64("i", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text"), sorted(number)
 
 
-def train(labelled: DataFrame, per_language: int = 2000) -> Model | None:
+def train(labelled: DataFrame, per_language: int = 2000, edges: int = 1 << 19) -> Model | None:
     """A model from (doc_id, text, lang) rows; None if there are none to learn from."""
     some, languages = _sampled(labelled, per_language)
     if not languages:
         return None
-    counts = np.zeros(256, np.int64)
-    for r in some.select("text").mapInArrow(_byte_counts, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        counts[r["b"]] = r["n"]
-    codes = _codes(counts)
-    edges = some.mapInArrow(_edge_counts(codes), "lang string, edge long, n long").groupBy("lang", "edge").agg(F.sum("n").alias("n"))
-    table = edges.toArrow()  # at most 128**3 edges a language
+    counts = some.mapInArrow(_edge_counts, "lang string, edge long, n long").groupBy("lang", "edge").agg(F.sum("n").alias("n"))
+    counts = common.settle(counts, f"{common.scratch(labelled.sparkSession, 'language')}/edges")
+    power = F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int")
+    sizes: dict[str, dict[int, int]] = {}
+    for r in counts.groupBy("lang", power.alias("power")).agg(F.count(F.lit(1)).alias("edges")).collect():
+        sizes.setdefault(r["lang"], {})[r["power"]] = r["edges"]
+    least = F.lit(0)
+    for lang, have in sorted(sizes.items()):
+        cut = next(p for p in range(65) if sum(n for q, n in have.items() if q >= p) <= edges // len(languages))
+        least = F.when(F.col("lang") == lang, F.lit(cut)).otherwise(least)
+    table = counts.where(power >= least).toArrow()  # ``edges`` rows at most
     lang = np.array(table.column("lang").to_pylist(), dtype=object)
     edge, n = table.column("edge").to_numpy(), table.column("n").to_numpy()
-    trees = {x: (edge[lang == x].astype(np.int32), n[lang == x]) for x in languages if (lang == x).any()}
-    return Model(codes, trees) if trees else None
+    trees = {x: (edge[lang == x], n[lang == x]) for x in languages if (lang == x).any()}
+    return Model(trees) if trees else None
 
 
 _models: dict[int, Model] = {}

@@ -364,17 +364,45 @@ def test_language_held_out_accuracy(spark, documents):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_held_out_accuracy_of_short_texts(spark, documents):
+    model = language_id.train(documents.where(~language_id.held_out(documents["doc_id"])))
+    rows = [r for r in documents.select("doc_id", "text", "lang").where("lang is not null and text is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    right = {}
+    for words in (3, 6, 12):
+        cut = [(" ".join(w[i : i + words]), r.lang) for r in rows for w in [r.text.split()] for i in range(0, min(len(w), 240) - words + 1, words)]
+        best = model.many([t.encode() for t, _ in cut]).argmin(axis=1)
+        right[words] = sum(model.languages[b] == lang for b, (_, lang) in zip(best, cut, strict=True)) / len(cut)
+    print(right)
+    assert right[3] >= 0.75 and right[6] >= 0.85 and right[12] >= 0.9
+
+
+def test_language_trees_stay_within_their_edges(documents):
+    known = documents.where(~language_id.held_out(documents["doc_id"]))
+    model = language_id.train(known, edges=4000)
+    assert 256 < len(model.edges) <= 4000
+    text = "été à l'école ñ \U0001f600".encode()
+    assert np.isfinite(model.bits(text)).all() and (model.bits(text) > 0).all()
+
+
+def test_language_long_texts_cost_the_sum_of_their_bytes(monkeypatch):
+    rng = random.Random(3)
+    data = bytes(rng.choice(b"abc ") for _ in range(5000))
+    model = language_id.Model({"x": language_id.counted(language_id._keys([(language_id._START, data)]))})
+    text = data[:700] + b"zzz" + data[100:900]
+    whole = model.many([text, b"", b"ab", text])
+    monkeypatch.setattr(language_id, "_STEP", 64)
+    assert np.allclose(model.many([text, b"", b"ab", text]), whole, rtol=1e-5)
+
+
 def test_language_code_lengths_are_ppm():
-    data = b"abracadabra abrac"
-    codes = language_id._codes(np.bincount(np.frombuffer(data, np.uint8), minlength=256))
-    edge, n = np.unique(language_id._trigrams(data, codes), return_counts=True)
-    model = language_id.Model(codes, {"x": (edge, n)})
+    data = b"abracadabra abrac abrak dabra"
+    model = language_id.Model({"x": language_id.counted(language_id._keys([(language_id._START, data)]))})
 
     def cost(history, symbol, order):
         if order < 0:
-            return math.log2(128)
-        context = ([None, None, *data])
-        seen = Counter(context[i + 2] for i in range(len(data)) if order == 0 or (context[i + 2 - order : i + 2] == history[len(history) - order :]))
+            return 8.0
+        context = [None] * 4 + [*data]
+        seen = Counter(context[i + 4] for i in range(len(data)) if context[i + 4 - order : i + 4] == history[len(history) - order :])
         total, kinds = sum(seen.values()), len(seen)
         if not total:
             return cost(history, symbol, order - 1)
@@ -382,9 +410,9 @@ def test_language_code_lengths_are_ppm():
             return -math.log2(seen[symbol] / (total + kinds))
         return -math.log2(kinds / (total + kinds)) + cost(history, symbol, order - 1)
 
-    text = b"cab abra"
-    past = [None, None, *text]
-    want = sum(cost(past[i : i + 2], text[i], 2) for i in range(len(text)))
+    text = b"cab abra dabrac zab"
+    past = [None] * 4 + [*text]
+    want = sum(cost(past[i : i + 4], text[i], 4) for i in range(len(text)))
     assert math.isclose(model.bits(text)[0], want, rel_tol=1e-5)
     assert np.allclose(model.many([text, b"", text + b" x", b"abr"]), [model.bits(t) for t in (text, b"", text + b" x", b"abr")])
 

@@ -34,6 +34,71 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def plain_print(text, width=5, words=4):
+    """The wide fingerprint as one number, its first word lowest."""
+    found = brute.WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not found:
+        return 0
+    shingles = [" ".join(found[i : i + width]) for i in range(max(len(found) - width + 1, 1))]
+    most, out = 2**64 - 1, 0
+    for k in range(words):
+        ones = np.zeros(64, int)
+        for s in shingles:
+            z = xxhash.xxh64_intdigest(s.encode(), 42)
+            if k:
+                z = (z + k * 0x9E3779B97F4A7C15) & most
+                z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & most
+                z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & most
+                z ^= z >> 31
+            ones += [z >> b & 1 for b in range(64)]
+        out |= sum(1 << (64 * k + b) for b in range(64) if 2 * ones[b] > len(shingles))
+    return out
+
+
+def near(a, b):
+    return (a ^ b).bit_count() <= 44
+
+
+def meet(a, b):
+    """Near, and some part of 22 bits differs in one bit at most: these must be linked."""
+    return near(a, b) and any(((a ^ b) >> 22 * i & 0x3FFFFF).bit_count() <= 1 for i in range(11))
+
+
+def check_one_of_each(texts, kept):
+    """``texts`` by id, the ids kept of them."""
+    prints = {i: plain_print(t) for i, t in texts.items()}
+    must = brute.components(sorted(prints), lambda a, b: meet(prints[a], prints[b]))
+    may = brute.components(sorted(prints), lambda a, b: near(prints[a], prints[b]))
+    assert all(n == 1 for n in Counter(must[i] for i in kept).values())
+    assert set(may.values()) <= set(kept) <= set(must.values())
+
+
+def jaccard(a, b):
+    one, two = (Counter(zip(*(t.lower().split()[i:] for i in range(5)), strict=False)) for t in (a, b))
+    return sum((one & two).values()) / max(sum((one | two).values()), 1)
+
+
+def test_one_of_each_against_brute_force_and_planted_copies(spark, documents):
+    rng = random.Random(11)
+    clean = {}
+    for r in documents.orderBy("doc_id").collect():  # whole texts, each unlike those before it
+        if 150 <= len((r.text or "").split()) <= 900 and all(jaccard(r.text, t) < 0.3 for t in clean.values()):
+            clean[r.doc_id] = r.text
+    assert len(clean) > 20
+    texts, planted = dict(clean), {}
+    for i, text in clean.items():
+        for share in (0.005, 0.01, 0.015, 0.02):
+            words = [w if rng.random() > share else f"edit{rng.randrange(10**6)}" for w in text.split()]
+            planted[10**6 + len(planted)] = (i, " ".join(words))
+    texts |= {k: t for k, (_, t) in planted.items()}
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("doc_id").collect()}
+    check_one_of_each(texts, kept)
+    assert set(clean) <= kept
+    alike = {k: jaccard(t, clean[i]) for k, (i, t) in planted.items()}
+    assert sum(k not in kept for k, j in alike.items() if j >= 0.9) >= 0.98 * sum(j >= 0.9 for j in alike.values())
+    assert sum(k not in kept for k, j in alike.items() if j >= 0.8) >= 0.93 * sum(j >= 0.8 for j in alike.values())
+
+
 def test_simhash_against_brute_force(spark, small, documents):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op5_simhash_dedup(spark, small).collect()}
     prints = {r.doc_id: plain_fingerprint(r.text) for r in documents.collect()}
@@ -530,6 +595,26 @@ def test_stages_keep_columns_of_any_name(odd):
         assert all(r[c] == c for r in out.collect() for c in more.columns[len(odd.columns) :])
 
 
+def test_wide_prints_of_crowded_anchors(spark, tmp_path):
+    rng = random.Random(21)
+    prints = set()
+    for _ in range(6):  # groups around a print, some bits away, so anchors are crowded
+        base = rng.getrandbits(256)
+        for _ in range(60):
+            y = base
+            for b in rng.sample(range(256), rng.choice([1, 5, 20, 30])):
+                y ^= 1 << b
+            prints.add(y)
+    split = [[int(np.uint64(p >> 64 * i & (2**64 - 1)).view(np.int64)) for i in range(4)] for p in sorted(prints)]
+    df = spark.createDataFrame([(*w, i) for i, w in enumerate(split)], simhash.SIMILAR.schema)
+    whole = sorted(prints)
+    want = brute.components(range(len(whole)), lambda a, b: meet(whole[a], whole[b]))
+    for crowd in (20_000, 10):
+        found = simhash.linked_fingerprints(df, str(tmp_path / f"w{crowd}"), crowd, simhash.SIMILAR)
+        got = {i: i for i in range(len(whole))} | dict(rows(found))
+        assert got == want
+
+
 def test_simhash_parts_of_a_crowded_anchor_are_small(spark):
     rng = random.Random(9)
     base = rng.getrandbits(64) & ~0x3FFFFF

@@ -71,12 +71,12 @@ class Layout(NamedTuple):
 EXACT = Layout(1, 4, ((0, True), (22, True), (44, False)), 3)
 SIMILAR = Layout(4, 44, tuple((22 * i, True) for i in range(11)), 4)
 _PAIRS = 1 << 21
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The ``k``-th further 64-bit hash of 64-bit hashes (splitmix64's finalizer)."""
-    z = h + np.uint64(k) * _STEP
+    z = h + np.uint64(k * _STEP & 0xFFFFFFFFFFFFFFFF)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
@@ -205,7 +205,7 @@ def _replicated(split: dict[int, int], layout: Layout = EXACT):
                     at = np.minimum(np.searchsorted(crowded, keys), len(crowded) - 1)
                     n = np.where(crowded[at] == keys, blocks[at], 1)
                 ident = some_rows.column(layout.columns[-1]).to_numpy()
-                own = ((ident[index].view(np.uint64) * _STEP) >> np.uint64(33)).astype(np.int64) % n
+                own = ((ident[index].view(np.uint64) * np.uint64(_STEP)) >> np.uint64(33)).astype(np.int64) % n
                 for resident in (True, False):
                     # a resident's block meets each block of visitors; a visitor's block each of residents
                     some = np.flatnonzero(home if resident else np.ones(len(keys), bool))

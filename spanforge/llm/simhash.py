@@ -18,9 +18,9 @@ on the third: no link is lost.
 
 ``SIMILAR``: 44 of 256 bits, eleven coded parts.  Shingle counts with Jaccard
 similarity j have cosine about 2j / (1 + j) and differ in the share arccos / pi of
-the bits: 39 of 256 at 0.8, 49 at 0.7, 128 if unrelated.  A pair at 0.8 exactly meets
-at some anchor in about 8 of 10 cases and is within the bits in about 8 of 10; at 0.9
-both hold in over 98 of 100.  Which pairs link depends on the prints alone.
+the bits: 39 of 256 at 0.8, 49 at 0.7, 128 if unrelated, a text that repeats a few
+lines aside.  Not every pair within the bits meets at an anchor: the README gives the
+shares of edited copies that link.  Which pairs link depends on the prints alone.
 
 Equal fingerprints are one row throughout.  An anchor with more than ``crowd`` rows
 is cut into blocks, and each pair of a block of residents and one of visitors is a

@@ -15,6 +15,7 @@ from . import common
 from .embed_dedup import embedding_dedup
 from .language_id import held_out, identify
 from .license_scan import license_scan
+from .main_text import extracted
 from .media import media_columns
 from .mixing import mix, position
 from .packing import pack
@@ -22,6 +23,8 @@ from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .variants import spelling_variants
+from .vector_codes import vector_codes
 
 TOKENIZERS = os.environ.get("SPANFORGE_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -78,8 +81,20 @@ def op10_license_scan(spark, sf_dir):
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_main_text(spark, sf_dir):
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3_media_columns, op4_mix_sources, op5_simhash_dedup, op6_best_fit_packing, op7_embedding_dedup, op8_substring_dedup, op9_language_id, op10_license_scan)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3_media_columns, op4_mix_sources, op5_simhash_dedup, op6_best_fit_packing, op7_embedding_dedup, op8_substring_dedup, op9_language_id, op10_license_scan, op11_vector_codes, op12_main_text, op13_spelling_variants)}
 
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -128,6 +143,33 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n
 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
 """
 
+_ROUND = """
+near{k} AS (
+  SELECT id, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist, any_value(x) AS x FROM (
+    SELECT q.id, q.p, q.x, b.e, CAST(list_sum(list_transform(list_zip(q.x, b.c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS dist FROM parts q JOIN book{k} b ON q.p = b.p)
+  GROUP BY id, p)"""
+_AVERAGE = """
+mean{k} AS (
+  SELECT p, e, list(m ORDER BY j) AS c FROM (
+    SELECT p, e, j, CAST(floor(sum(x[j]) / count(*)) AS BIGINT) AS m FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS j FROM near{k}) GROUP BY p, e, j) GROUP BY p, e),
+book{next} AS (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.e = m.e)"""
+_OP11 = f"""
+WITH sound AS (
+  SELECT row_number() OVER (ORDER BY vec_id ASC NULLS LAST, embedding) AS id, vec_id, label, [CAST(floor(256 * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT id, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM (SELECT id, v, unnest(range(16)) AS p FROM sound)),
+book0 AS (
+  SELECT p, id - 1 AS e, x AS c FROM parts WHERE id <= 64),{_ROUND.format(k=0)},{_AVERAGE.format(k=0, next=1)},{_ROUND.format(k=1)},{_AVERAGE.format(k=1, next=2)},{_ROUND.format(k=2)},
+coded AS (
+  SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM near2 GROUP BY id),
+labelled AS (
+  SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded JOIN sound USING (id) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM sound JOIN coded USING (id) JOIN labelled ON sound.label IS NOT DISTINCT FROM labelled.label
+"""
+
 _OP7 = """
 WITH v AS (
   SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
@@ -145,4 +187,4 @@ FROM v JOIN reach ON v.vec_id = reach.a LEFT JOIN (SELECT a, count(*) AS n FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _OP4, "op7_embedding_dedup": _OP7, "op8_substring_dedup": _OP8}
+    return {"op4_mix_sources": _OP4, "op7_embedding_dedup": _OP7, "op8_substring_dedup": _OP8, "op11_vector_codes": _OP11}

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..operators import evals, judging, stats
-from ..sources import catalog
+from ..sources import catalog, runs
 from ..sources.model import FakeClient
 from .registry import query
+from .session import scratch_folder
 
 
 def _final(t, sign: str = ""):
@@ -33,10 +33,8 @@ def _final(t, sign: str = ""):
 
 
 def _folder(df, name: str) -> str:
-    """A new folder in the shared one; runs stay until it is cleaned."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; it goes when Python ends."""
+    return scratch_folder(df.sparkSession, name)
 
 
 _FINAL = "(SELECT 'v' || user_id AS video_id, 'q' || lpad(event_id::VARCHAR, 6, '0') AS query_id, event_id AS i, ['explicit_event', 'emotion_state', 'evidence_cue'][event_id % 3 + 1] AS query_type, 'When: ' || event_type AS first, CASE WHEN event_id % 4 <> 0 THEN event_type || ' «{}» ' || event_id ELSE '' END AS final, CASE WHEN event_id % 2 = 0 THEN 'accepted' ELSE 'discarded' END AS final_status FROM events)"
@@ -52,22 +50,43 @@ def run_round_trip(t):
     return back.select("video_id", "query_id", "query_type", "current_query_text", "final_status", "rewrite_count", F.element_at("verification_rounds.decision", 1).alias("decision"), F.size("segment_ids").alias("n_segments"))
 
 
-@query(f"SELECT query_id, CASE WHEN i % 5 = 0 THEN CASE WHEN i % 4 <> 0 THEN split_part(final, ' ', 1) || ' «b» ' || i ELSE '' END ELSE final END AS final_query_text FROM {_FINAL.format('a')}")
+_LATER = f"""WITH f AS (SELECT *, video_id IN (SELECT DISTINCT 'v' || user_id FROM events WHERE user_id % 3 = 0 AND event_id % 5 <> 0) AS taken FROM {_FINAL.format('a')})
+SELECT video_id, query_id, CASE WHEN taken AND final <> '' THEN replace(final, '«a»', '«b»') ELSE final END AS final_query_text FROM f WHERE NOT taken OR i % 5 <> 0"""
+
+
+def _two_runs(t):
+    """A run, and a later one of some of its videos that has lost rows of them."""
+    first, second = _final(t, "a"), _final(t, "b")
+    number = lambda c: F.substring(c, 2, 99).cast("long")
+    return first, second.where((number(F.col("query_id")) % 5 != 0) & (number(F.col("video_id")) % 3 == 0))
+
+
+@query(_LATER)
 def runs_merged(t):
-    """Two runs on disk; a later run's row stands for an earlier one's."""
-    first, second = _final(t, "a"), _final(t, "b").where("cast(substr(query_id, 2) as int) % 5 = 0")
+    """Two runs on disk; the later one's videos stand as it has them."""
+    first, second = _two_runs(t)
     root = _folder(first, "runs")
     for name, df in (("a", first), ("b", second)):
         catalog.write_run({"final": df}, f"{root}/{name}")
-    return catalog.merged_runs(first.sparkSession, [f"{root}/a", f"{root}/b"], "final", ["video_id", "query_id"]).select("query_id", "final_query_text")
+    return catalog.merged_runs(first.sparkSession, [f"{root}/a", f"{root}/b"], "final").select("video_id", "query_id", "final_query_text")
+
+
+@query(_LATER)
+def videos_replaced(t):
+    """The same runs put into one store, a partition a video."""
+    first, second = _two_runs(t)
+    store = runs.VideoStore(first.sparkSession, _folder(first, "store"))
+    for df in (first, second):
+        store.replace({"final": df})
+    return store.table("final").select("video_id", "query_id", "final_query_text")
 
 
 @query(f"SELECT query_id, query_type, final AS final_query_text, (i % 50)::INTEGER || '-' || (i % 50 + 5)::INTEGER || 's' AS time_range FROM {_FINAL.format('')} WHERE final_status = 'accepted' AND i % 4 <> 0")
 def review_rows(t):
     from ..sources import records
 
-    sheet = records.review_sheet(catalog.final_rows(_final(t))).where("final_query_text <> ''")
-    return sheet.select("query_id", "query_type", "final_query_text", "time_range")
+    sheet = records.review_sheet(catalog.final_rows(_final(t))).where("final_query <> ''")
+    return sheet.select("query_id", "query_type", F.col("final_query").alias("final_query_text"), "time_range")
 
 
 _ORD = "list_sum([unicode(c) FOR c IN string_split({}, '')])::BIGINT"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,3 +27,35 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(target)
     context._spanforge_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a local session
+    gets one of its own and any other an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = os.path.join(tempfile.gettempdir(), "checkpoints")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, dropped when Python ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _drop_all() -> None:
+    for spark, path in _made:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # its session has ended: the folder is the cluster's to clean
+            continue

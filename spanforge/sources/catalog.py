@@ -7,7 +7,7 @@ import time
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ ROUNDS = T.ArrayType(T.StructType([_F("round_index", T.IntegerType()), _F("decis
 REWRITE = T.StructType([_F("video_id", T.StringType()), _F("round_index", T.IntegerType()), _F("rewrites", T.ArrayType(T.StructType([_F(c, T.StringType()) for c in ("query_id", "original_query_text", "rewritten_query_text", "query_type", "rewrite_reason")])))])
 FINAL = T.StructType(
     [_F(c, T.StringType()) for c in ("video_id", "query_id", "query_type", "initial_query_text", "final_query_text", "grounding_event_description", "target_person_or_group")]
+    + [_F("approximate_grounding_time", T.StringType()), _F("expected_evidence", T.ArrayType(T.StringType())), _F("grounding_evidence", records.EVIDENCE)]
     + [_F("time_range", T.ArrayType(T.DoubleType())), _F("segment_ids", T.ArrayType(T.StringType())), _F("source_caption_ids", T.ArrayType(T.StringType())), _F("gen_time_range", T.ArrayType(T.DoubleType())), _F("gen_segment_ids", T.ArrayType(T.StringType()))]
     + [_F("rewrite_count", T.IntegerType()), _F("verification_rounds", ROUNDS), _F("final_status", T.StringType())]
 )
@@ -65,6 +66,25 @@ def rewrites_by_round(rewrites: DataFrame) -> DataFrame:
     return rewrites.groupBy("video_id", "round_index").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rewrites"))
 
 
+def nested(rows: DataFrame, field: str, order: list[str], videos: DataFrame | None = None, *by: str) -> DataFrame:
+    """(video_id, [by,] field[]): the rows of each video in order; with ``videos`` those
+    that have none keep a row."""
+    rest = [c for c in rows.columns if c not in order]
+    packed = F.sort_array(F.collect_list(F.struct(*order, F.struct(*rest).alias("_rest"))))
+    back = F.transform(packed, lambda x: F.struct(*[(x[c] if c in order else x["_rest"][c]).alias(c) for c in rows.columns]))
+    g = rows.groupBy("video_id", *by).agg(back.alias(field))
+    if videos is None:
+        return g
+    every = videos.select("video_id").distinct().join(g, "video_id", "full")
+    return every.withColumn(field, F.coalesce(field, F.array().cast(g.schema[field].dataType)))
+
+
+def unnested(rows: DataFrame, field: str) -> DataFrame:
+    """The rows of ``nested``, with the video of their line where they lack their own."""
+    each = rows.select(F.col("video_id").alias("_video"), F.inline(field))
+    return each.withColumn("video_id", F.coalesce("video_id", "_video")).drop("_video")
+
+
 def final_rows(traces: DataFrame) -> DataFrame:
     """The final projection of all traces, discarded ones too."""
     names = {"initial_text": "initial_query_text", "text": "final_query_text", "rounds": "verification_rounds"}
@@ -72,36 +92,79 @@ def final_rows(traces: DataFrame) -> DataFrame:
 
 
 def traces_of(final: DataFrame) -> DataFrame:
-    """Traces from final rows, without what those do not keep (time range, evidence,
-    generated span); an empty final text falls back to the initial one."""
-    lost = [F.lit(None).cast(FINAL[c].dataType).alias(c) for c in ("time_range", "source_caption_ids", "gen_time_range", "gen_segment_ids")]
+    """Traces from final rows, without what a trace does not take back (time range,
+    grounding evidence, sources, generated span); an empty final text falls back to the
+    initial one."""
+    none = ("time_range", "grounding_evidence", "source_caption_ids", "gen_time_range", "gen_segment_ids")
+    lost = [F.lit(None).cast(FINAL[c].dataType).alias(c) for c in none]
     text = F.coalesce(F.when(F.length("final_query_text") > 0, F.col("final_query_text")), F.col("initial_query_text"))
-    kept = [c for c in final.columns if c not in ("time_range", "source_caption_ids", "gen_time_range", "gen_segment_ids")]
+    kept = [c for c in final.columns if c not in none]
     return final.select(*kept, *lost, text.alias("current_query_text"))
 
 
-def write_run(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as JSON lines under its name, and the review sheet beside them."""
+#: Tables kept nested: field, order within it, and what beside the video makes a line.
+NESTED = {"queries": ("queries", ["query_id"], ()), "verdicts": ("results", ["query_id"], ("round_index",))}
+
+
+def write_run(tables: dict[str, DataFrame], folder: str, statistics: dict | None = None, prompts: dict[str, str] | None = None) -> None:
+    """Each table as JSON lines under its name, queries nested by video (a video of the
+    segments without any keeps a line) and verdicts by video and round; the review
+    sheet, statistics and prompts (file name to text) with their versions beside them."""
     for name, df in tables.items():
-        rows = rewrites_by_round(df) if name == "rewrites" and "rewrites" not in df.columns else final_rows(df) if name == "final" else df
-        records.write_jsonl(conformed(rows, SCHEMAS[name]), f"{folder}/{FILES[name]}")
+        if name == "rewrites":
+            rows = conformed(rewrites_by_round(df) if "rewrites" not in df.columns else df, REWRITE)
+        elif name in NESTED:
+            field, order, by = NESTED[name]
+            rows = nested(conformed(df, SCHEMAS[name]), field, order, tables.get("segments") if name == "queries" else None, *by)
+        else:
+            rows = conformed(final_rows(df) if name == "final" else df, SCHEMAS[name])
+        records.write_jsonl(rows, f"{folder}/{FILES[name]}")
     if "final" in tables:
         records.write_csv(records.review_sheet(final_rows(tables["final"])), f"{folder}/human_review_sheet.csv")
+    spark = next(iter(tables.values())).sparkSession
+    if statistics is not None:
+        write_document(spark, f"{folder}/pipeline_stats.json", statistics)
+    if prompts is not None:
+        from .prompts import version
 
-
-def read_run(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
-    """Tables of a run, typed; a table that was not written is empty."""
-    return {n: records.read_jsonl(spark, f"{folder}/{FILES[n]}", SCHEMAS[n]) for n in names or FILES}
+        for file, text in prompts.items():
+            write_text(spark, f"{folder}/prompts_used/{file}", text)
+        write_document(spark, f"{folder}/prompts_used/prompts_manifest.json", {file: version(text) or file for file, text in prompts.items()})
 
 
-def merged_runs(spark: SparkSession, folders: list[str], name: str, key: list[str]) -> DataFrame:
-    """One table of several runs; of rows with equal keys the last folder's stays."""
+def read_run(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """Tables of a run, typed and flat; a table that was not written is empty. Of several
+    lines of one video's queries the last stands."""
+    out = {}
+    for n in names or FILES:
+        path = f"{folder}/{FILES[n]}"
+        if n == "queries":
+            out[n] = records.read_queries_by_video(spark, path) if records.exists(spark, path) else spark.createDataFrame([], records.QUERY)
+        elif n in NESTED:
+            field, _, by = NESTED[n]
+            lines = T.StructType([_F("video_id", T.StringType()), *[_F(c, T.IntegerType()) for c in by], _F(field, T.ArrayType(SCHEMAS[n]))])
+            out[n] = unnested(records.read_jsonl(spark, path, lines), field)
+        else:
+            out[n] = records.read_jsonl(spark, path, SCHEMAS[n])
+    return out
+
+
+def merged_runs(spark: SparkSession, folders: list[str], name: str) -> DataFrame:
+    """One table of several runs. The last run that holds a video has all its rows: what
+    that run no longer has is gone."""
     rows = None
     for k, folder in enumerate(folders):
         own = read_run(spark, folder, name)[name].withColumn("_run", F.lit(k))
         rows = own if rows is None else rows.unionByName(own)
-    last = Window.partitionBy(*key).orderBy(F.desc("_run"))
-    return rows.withColumn("_last", F.row_number().over(last)).where("_last = 1").drop("_run", "_last")
+    last = rows.groupBy(F.col("video_id").alias("_video")).agg(F.max("_run").alias("_last"))
+    return rows.join(last, F.col("video_id").eqNullSafe(F.col("_video")) & (F.col("_run") == F.col("_last")), "left_semi").drop("_run")
+
+
+def merged(spark: SparkSession, folders: list[str], into: str) -> dict[str, DataFrame]:
+    """All tables of several runs, merged video by video and written as one run."""
+    tables = {n: merged_runs(spark, folders, n) for n in FILES}
+    write_run(tables, into)
+    return read_run(spark, into)
 
 
 def scan_models(spark: SparkSession, folders: dict[str, str], name: str) -> DataFrame:
@@ -138,20 +201,29 @@ def file_of(listing: DataFrame, ids: DataFrame, extensions=("mp4", "mkv", "mov",
     return ids.select("video_id").distinct().join(best, "video_id", "left")
 
 
-def write_document(spark: SparkSession, path: str, value: dict) -> None:
-    """One JSON document (statistics, usage, metadata): written beside its place and
-    then renamed, so a reader sees the old or the new one, never a part."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    target, part = fs_path(path), fs_path(f"{path}.{uuid.uuid4().hex}.tmp")
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, written beside its place and renamed over it in one step: a reader sees
+    the old or the new one, never a part and never neither."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    target, part = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    conf = spark._jsc.hadoopConfiguration()
+    system = target.getFileSystem(conf)
     out = system.create(part, True)
-    out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False).encode()))
-    out.hsync()
-    out.close()
-    if system.exists(target):
-        system.delete(target, False)
-    if not system.rename(part, target):
-        raise OSError(f"could not write {path}")
+    try:
+        out.write(bytearray(text.encode()))
+        out.hsync()
+        out.close()
+        how = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        fs.FileContext.getFileContext(system.getUri(), conf).rename(system.makeQualified(part), system.makeQualified(target), how)
+    except BaseException:
+        system.delete(part, False)
+        raise
+
+
+def write_document(spark: SparkSession, path: str, value: dict) -> None:
+    """One JSON document (statistics, usage, metadata), replaced in one step."""
+    write_text(spark, path, json.dumps(value, indent=2, ensure_ascii=False))
 
 
 def read_document(spark: SparkSession, path: str) -> dict:

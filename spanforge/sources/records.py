@@ -11,7 +11,8 @@ _F = T.StructField
 SEGMENT = T.StructType([_F("video_id", _S), _F("segment_id", _S), _F("index", _I), _F("start_time", _D), _F("end_time", _D), _F("clip_path", _S)])
 CAPTION = T.StructType([_F("video_id", _S), _F("segment_id", _S), _F("time_range", _A(_D)), _F("visual_description", _S), _F("audio_description", _S), _F("confidence", _S), _F("evidence_strength", _S)])
 EVENT = T.StructType([_F("video_id", _S), _F("event_id", _S), _F("emotion_label", _S), _F("event_description", _S), _F("time_range", _A(_D)), _F("target_person_or_group", _S), _F("visual_evidence", _A(_S)), _F("audio_evidence", _A(_S)), _F("confidence", _S), _F("evidence_strength", _S), _F("segment_ids", _A(_S))])
-QUERY = T.StructType([_F("video_id", _S), _F("query_id", _S), _F("query_type", _S), _F("query_text", _S), _F("grounding_event_description", _S), _F("target_person_or_group", _S), _F("expected_evidence", _A(_S)), _F("why_grounded", _S), _F("time_range", _A(_D)), _F("segment_ids", _A(_S)), _F("source_caption_ids", _A(_S)), _F("gen_time_range", _A(_D)), _F("gen_segment_ids", _A(_S))])
+EVIDENCE = T.StructType([_F("visual_evidence", _A(_S)), _F("audio_evidence", _A(_S))])
+QUERY = T.StructType([_F("video_id", _S), _F("query_id", _S), _F("query_type", _S), _F("query_text", _S), _F("grounding_event_description", _S), _F("target_person_or_group", _S), _F("expected_evidence", _A(_S)), _F("why_grounded", _S), _F("time_range", _A(_D)), _F("segment_ids", _A(_S)), _F("source_caption_ids", _A(_S)), _F("gen_time_range", _A(_D)), _F("gen_segment_ids", _A(_S)), _F("approximate_grounding_time", _S), _F("grounding_evidence", EVIDENCE)])
 VERDICT = T.StructType([_F("video_id", _S), _F("query_id", _S), _F("round_index", _I), _F("decision", _S), _F("emotion_relevance_pass", T.BooleanType()), _F("answerability_pass", T.BooleanType()), _F("query_quality_pass", T.BooleanType()), _F("failure_reason", _S), _F("suggested_revision", _S)])
 GOLD = T.StructType([_F("query_id", _S), _F("video_id", _S), _F("duration", _D), _F("query_text", _S), _F("query_type", _S), _F("gold_ranges", _A(_A(_D)))])
 PREDICTION = T.StructType([_F("query_id", _S), _F("pred", _A(_D)), _F("raw", _S)])
@@ -42,7 +43,8 @@ def read_queries_by_video(spark: SparkSession, path: str) -> DataFrame:
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = lines.select("video_id", "queries", place.alias("place"))
     last = lines.groupBy("video_id").agg(F.max_by("queries", "place").alias("queries"))
-    return last.select(F.inline("queries"))
+    each = last.select(F.col("video_id").alias("_video"), F.inline("queries"))
+    return each.withColumn("video_id", F.coalesce("video_id", "_video")).drop("_video")
 
 
 def repaired(segments: DataFrame, known: list[str]) -> DataFrame:
@@ -104,8 +106,9 @@ def review_sheet(traces: DataFrame) -> DataFrame:
     """Accepted queries by video and id, with empty columns for a reviewer."""
     from ..functions.text import time_label
 
-    kept = traces.where("final_status = 'accepted'").select("video_id", "query_id", "query_type", "final_query_text", time_label(F.col("time_range")).alias("time_range"))
-    return kept.select("*", *[F.lit("").alias(c) for c in ("reviewer", "judgement", "comment")]).orderBy("video_id", "query_id")
+    kept = traces.where("final_status = 'accepted'").select("video_id", "query_id", "query_type", F.col("final_query_text").alias("final_query"), time_label(F.col("time_range")).alias("time_range"))
+    # The columns that a reviewer fills in.
+    return kept.select("*", *[F.lit("").alias(c) for c in ("human_decision", "revised_query", "human_notes")]).orderBy("video_id", "query_id")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

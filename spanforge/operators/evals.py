@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,12 +48,17 @@ def accuracy(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     return one.select(*[F.round(n, 6).alias(n) for n in pairs], F.round(sum(F.col(n) for n in pairs) / len(pairs), 6).alias("mean"))
 
 
-AUDIO_CUES = ("voice", "sound", "music", "tone", "shout", "laugh", "cry", "scream", "whisper", "speech")
+# Words by which a query speaks of something heard.
+AUDIO_CUES = ("tone", "voice", "says", "laugh", "cry", "gasp", "scream", "sound", "sing", "whisper")
+
+
+#: What may stand behind a cue within its word.
+CUE_ENDS = "(?:s|d|ed|ing)?"
 
 
 def audio_cue(query_text: Column, words: tuple[str, ...] = AUDIO_CUES) -> Column:
-    """Whether a query speaks of something heard: a word that begins with a cue."""
-    return F.coalesce(query_text.rlike(f"(?i)(?:^|[^a-z])(?:{'|'.join(words)})"), F.lit(False))
+    """Whether a query speaks of something heard: one of the words, or one with an ending."""
+    return F.coalesce(query_text.rlike(f"(?i)(?:^|[^a-z])(?:{'|'.join(words)}){CUE_ENDS}(?:$|[^a-z])"), F.lit(False))
 
 
 def too_narrow(start: Column, end: Column, gold_start: Column, gold_end: Column) -> Column:
@@ -91,36 +94,89 @@ def similar_span(pairs: DataFrame, key: str, least: float, gap: float = 0.0) ->
     return spans_.groupBy(key).agg(F.max_by(F.struct("start", "end"), F.struct("s", F.negative("start").alias("n"))).alias("x")).select(key, "x.*")
 
 
-def _resampled(draws: int):
-    """Sums of weights and weighted values of each draw, one row a task and draw."""
+_ROWS = 512  # rows that are drawn for at once
+
+
+def _share(bounds: np.ndarray, part: int, total: np.ndarray, seed: int) -> np.ndarray:
+    """How many of a resample's draws fall into part ``part`` of the rows, by halving the
+    parts: each halving is a binomial draw seeded by its place alone, so every task that
+    passes it sees the same. ``bounds``: rows before each part, and all."""
+    lo, hi = 0, len(bounds) - 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        here, left = bounds[hi] - bounds[lo], bounds[mid] - bounds[lo]
+        chosen = np.random.default_rng([seed, lo, hi]).binomial(total, left / here if here else 0.0)
+        total, lo, hi = (chosen, lo, mid) if part < mid else (total - chosen, mid, hi)
+    return total
+
+
+def _weights(size: int, total: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """(rows, resamples): multinomial counts of ``total`` draws from ``size`` equal rows."""
+    draws = np.repeat(np.arange(len(total)), total)
+    cells = rng.integers(0, size, len(draws)) * len(total) + draws
+    return np.bincount(cells, minlength=size * len(total)).reshape(size, len(total))
+
+
+def _resampled(draws: int, bounds: np.ndarray, seed: int):
+    """Sums of weights and weighted values of each resample, one row a task and resample."""
 
     def run(batches):
-        weights, values = np.zeros(draws), np.zeros(draws)
-        rep = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        left = int(bounds[part + 1] - bounds[part])
+        total = _share(bounds, part, np.full(draws, bounds[-1]), seed)
+        rng = np.random.default_rng([seed, 1 << 40, part])
+        weights, values = np.zeros(draws, np.int64), np.zeros(draws)
         for batch in batches:
-            h, v = batch.column("h").to_numpy().view(np.uint64), batch.column("v").to_numpy(zero_copy_only=False)
-            for i in range(0, len(h), 512):
-                z = h[i : i + 512, None] + rep  # a fixed stream for each key
-                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
-                w = np.searchsorted(_POISSON, u)
+            v = batch.column("v").to_numpy(zero_copy_only=False)
+            for i in range(0, len(v), _ROWS):
+                some = v[i : i + _ROWS]
+                own = total if len(some) == left else rng.binomial(total, len(some) / left)
+                w = _weights(len(some), own, rng)
                 weights += w.sum(axis=0)
-                values += v[i : i + 512] @ w
+                values += some @ w
+                total, left = total - own, left - len(some)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(weights), pa.array(values)], names=["rep", "w", "x"])
 
     return run
 
 
-#: The distribution function of Poisson(1).
-_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+def resamples(rows: DataFrame, value: str, key: str, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """(rep, w, x): for each of ``draws`` resamples the number of rows drawn, which is the
+    number of rows there are, and the sum of their values. The draws are shared out over
+    the partitions by halving, and within one over its rows, in the order of ``key``'s
+    hash; no row moves or multiplies. Rows of a null value are not drawn from."""
+    from .stages import settled
+
+    own = rows.where(F.col(value).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(value).cast("double").alias("v"))
+    own = settled(own.sortWithinPartitions("h", "v").select("v"))  # one fixed layout for both passes
+    sizes = dict(own.groupBy(F.spark_partition_id().alias("p")).count().toLocalIterator())
+    if not sizes:
+        return rows.sparkSession.createDataFrame([], "rep long, w long, x double")
+    parts = max(sizes) + 1
+    bounds = np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(parts)])]).astype(np.int64)
+    inside = own.where(F.spark_partition_id() < parts)
+    sums = inside.mapInArrow(_guarded(_resampled(draws, bounds, seed), parts), "rep long, w long, x double")
+    return sums.groupBy("rep").agg(F.sum("w").alias("w"), F.sum("x").alias("x"))
+
+
+def _guarded(run, parts: int):
+    """``run`` for the partitions that hold rows; others follow the last of them."""
+
+    def some(batches):
+        from pyspark import TaskContext
 
+        if TaskContext.get().partitionId() < parts:
+            yield from run(batches)
 
-def bootstrap(rows: DataFrame, value: str, key: str, draws: int = 1000, low: int = 25, high: int = 975) -> DataFrame:
-    """Percentile interval of the mean over ``draws`` resamples (Poisson weights drawn
-    from a hash of key and draw: no row moves or multiplies; a task gives ``draws`` rows)."""
-    sums = rows.where(F.col(value).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(value).cast("double").alias("v")).mapInArrow(_resampled(draws), "rep long, w double, x double")
-    means = sums.groupBy("rep").agg(F.try_divide(F.sum("x"), F.sum("w")).alias("m"))
+    return some
+
+
+def bootstrap(rows: DataFrame, value: str, key: str, draws: int = 1000, low: int = 25, high: int = 975, seed: int = 0) -> DataFrame:
+    """Percentile interval of the mean over ``draws`` resamples of all rows, each of exactly
+    as many draws with replacement as there are rows. Null without rows."""
+    means = resamples(rows, value, key, draws, seed).groupBy("rep").agg(F.try_divide(F.sum("x"), F.sum("w")).alias("m"))
     s = F.sort_array(F.collect_list("m"))
     return means.agg(F.try_element_at(s, F.lit(low + 1)).alias("lo"), F.try_element_at(s, F.lit(high + 1)).alias("hi"))
 
@@ -145,9 +201,13 @@ def decision_metrics(rows: DataFrame, gold: str, pred: str) -> DataFrame:
     )
 
 
-def format_failures(results: DataFrame, reason: str = "invalid format") -> DataFrame:
-    """Share of rows whose reason is exactly the format failure, and of those that
-    contain it or a failed call."""
+# Fixed value: the reason of a query that got no verdict.
+NO_VERDICT = "verification output missing or invalid format"
+
+
+def format_failures(results: DataFrame, reason: str = NO_VERDICT) -> DataFrame:
+    """Share of rows whose reason is exactly that of a verdict that is missing, and of
+    those that contain it or a failed call."""
     r = F.coalesce(F.col("failure_reason"), F.lit(""))
     return results.agg(ratio(F.count_if(r == reason), F.count(F.lit(1))).alias("json_err"), ratio(F.count_if(r.contains(reason) | r.contains("call failed")), F.count(F.lit(1))).alias("any_err"))
 

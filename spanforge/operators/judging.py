@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text, verdicts
 from ..sources.model import Client, model_stage
 from . import ranking
+from .evals import NO_VERDICT
 from .stages import settled
 
 CAPTION_PROMPT = "judge caption {video_id} {segment_id} {time_range}\nVisual: {visual_description}\nAudio: {audio_description}"
 EVENT_PROMPT = "judge event {video_id} {event_id} {time_range} {emotion_label}\n{event_description}\n{visual_evidence}\n{audio_evidence}"
-# Fixed value: the reason of a query that got no verdict.
-NO_VERDICT = "verification output missing or invalid format"
 
 
 def _prompt(rows: DataFrame, template: str, names: list[str]):
@@ -152,4 +151,4 @@ def raw_record(rows: DataFrame) -> DataFrame:
 
 def without_bookkeeping(rows: DataFrame) -> DataFrame:
     """Rows less the columns that refining left behind."""
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+    return rows.drop("_orig", "_dropped", "_reverted")

@@ -180,7 +180,7 @@ def binary_accuracy(t):
     return evals.accuracy(t("labels").withColumn("odd", F.col("doc_id") % 2), {"quality": ("quality", "toxic"), "toxic": ("toxic", "odd")})
 
 
-@query("SELECT lang, regexp_matches(coalesce(text, ''), '(?i)(?:^|[^a-z])(?:" + "|".join(evals.AUDIO_CUES) + ")') AS heard, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL")
+@query("SELECT lang, regexp_matches(coalesce(text, ''), '(?i)(?:^|[^a-z])(?:" + "|".join(evals.AUDIO_CUES) + ")" + evals.CUE_ENDS + "(?:$|[^a-z])') AS heard, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL")
 def audio_cue_split(t):
     return t("documents").groupBy("lang", evals.audio_cue(F.col("text")).alias("heard")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 

@@ -19,6 +19,12 @@ class Client(Protocol):
     def ask(self, prompt: str, media: list[str]) -> str: ...
 
 
+class ManyClient(Protocol):
+    """Answers a batch of (prompt, media) in order, all of it or none."""
+
+    def ask_many(self, items: list[tuple[str, list[str]]]) -> list[str]: ...
+
+
 class FakeClient:
     """A pure function of the prompt, for tests."""
 
@@ -49,7 +55,7 @@ def retry_delay(attempt: int, most: float = 60) -> float:
 
 def model_stage(work: DataFrame, client: Callable[[], Client], attempts: int = 3, threads: int = 4, pause: Callable[[int], float] = retry_delay, accept: Callable[[str], bool] | None = None) -> DataFrame:
     """(key, prompt, media) -> (key, raw, error, attempts). The client is built once a
-    task; prompts run in a pool and fail one by one. ``accept`` may ask for another
+    task and closed with it if it can be; prompts run in a pool and fail one by one. ``accept`` may ask for another
     draw; the last one stays. Write the result before using it twice: a model need not
     answer alike when a task is run again."""
 
@@ -69,9 +75,91 @@ def model_stage(work: DataFrame, client: Callable[[], Client], attempts: int = 3
                         time.sleep(pause(k))
             return row["key"], raw, error, k
 
-        with ThreadPoolExecutor(threads) as pool:
-            for batch in batches:
-                done = list(pool.map(one, batch.select(["key", "prompt", "media"]).to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["key", "raw", "error", "attempts"])
+        try:
+            with ThreadPoolExecutor(threads) as pool:
+                for batch in batches:
+                    done = list(pool.map(one, batch.select(["key", "prompt", "media"]).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["key", "raw", "error", "attempts"])
+        finally:
+            close = getattr(own, "close", None)
+            if close:
+                close()
 
     return work.select("key", "prompt", "media").mapInArrow(run, "key string, raw string, error string, attempts int")
+
+
+_ANSWERED = pa.schema([("key", pa.string()), ("raw", pa.string()), ("error", pa.string()), ("calls", pa.int32())])
+
+
+def _size(item: tuple[str, list[str]]) -> int:
+    return len(item[0].encode()) + sum(len(m.encode()) for m in item[1])
+
+
+def asked(client: ManyClient, items: list[tuple[str, list[str]]]) -> list[tuple[str | None, str | None, int]]:
+    """(reply, error, calls that it was in) of each item. A batch that fails, or comes back
+    with another number of replies, is halved until what fails is alone: a bad item among n
+    costs about 2 log2(n) further calls, and no other item its answer."""
+    out: list[tuple[str | None, str | None, int]] = [(None, None, 0)] * len(items)
+    todo = [(0, len(items), 1)]
+    while todo:
+        lo, hi, calls = todo.pop()
+        try:
+            replies = client.ask_many(items[lo:hi])
+            if len(replies) != hi - lo:
+                raise ValueError(f"{len(replies)} replies to {hi - lo} prompts")
+            out[lo:hi] = [(r, None, calls) for r in replies]
+        except Exception as problem:  # any failure of a client is its items' own
+            if hi - lo == 1:
+                out[lo] = (None, f"{type(problem).__name__}: {problem}", calls)
+            else:
+                mid = (lo + hi) // 2
+                todo += [(mid, hi, calls + 1), (lo, mid, calls + 1)]
+    return out
+
+
+def batches_of(rows: Iterator[dict], most: int, most_bytes: int) -> Iterator[list[dict]]:
+    """Consecutive rows in bins of at most ``most`` rows and ``most_bytes`` bytes of prompt
+    and media names; a row beyond that is a bin of its own."""
+    held, size = [], 0
+    for row in rows:
+        own = _size((row["prompt"], row["media"] or []))
+        if held and (len(held) == most or size + own > most_bytes):
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += own
+    if held:
+        yield held
+
+
+def batched_stage(work: DataFrame, client: Callable[[], ManyClient], most: int = 16, most_bytes: int = 1 << 20) -> DataFrame:
+    """(key, prompt, media) -> (key, raw, error, calls): prompts are asked in batches bounded
+    by number and by bytes, formed within a task whatever batches Arrow brings them in. A
+    null prompt is an error and never asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = client()
+        lost: list[str] = []
+
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                for row in batch.select(["key", "prompt", "media"]).to_pylist():
+                    if row["prompt"] is None:
+                        lost.append(row["key"])
+                    else:
+                        yield row
+
+        try:
+            for bin_ in batches_of(rows(), most, most_bytes):
+                got = asked(own, [(r["prompt"], r["media"] or []) for r in bin_])
+                columns = [[r["key"] for r in bin_], *zip(*got, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ANSWERED, strict=True)], schema=_ANSWERED)
+            if lost:
+                n = len(lost)
+                yield pa.RecordBatch.from_arrays([pa.array(lost), pa.nulls(n, pa.string()), pa.array(["no prompt"] * n), pa.array([0] * n, pa.int32())], schema=_ANSWERED)
+        finally:
+            close = getattr(own, "close", None)
+            if close:
+                close()
+
+    return work.select("key", "prompt", "media").mapInArrow(run, "key string, raw string, error string, calls int")

@@ -83,13 +83,11 @@ def pick(files: DataFrame, ids: list[str] | None = None, n: int | None = None) -
 
 
 def cache_state(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds ``reason``: not_found, json_parse_error, missing_required_fields, or null."""
-    from ..functions.json_text import missing_fields
+    """Adds ``reason``: not_found, json_parse_error, missing_required_fields,
+    schema_validation_error, or null for a caption that can be used."""
+    from ..functions import schema
 
-    parsed = F.from_json(raw, CAPTION)
-    readable = F.try_parse_json(raw).isNotNull()
-    reason = F.when(F.col(raw).isNull(), "not_found").when(~readable, "json_parse_error").when(F.size(missing_fields(parsed)) > 0, "missing_required_fields")
-    return rows.withColumn("reason", reason)
+    return rows.withColumn("reason", schema.checked(F.col(raw), schema.CAPTION)["reason"])
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> None:

@@ -196,7 +196,7 @@ def test_scores(spark):
     rows = spark.range(2000).select("id", (F.col("id") % 2).cast("double").alias("x"))
     ci = evals.bootstrap(rows, "x", "id", draws=200, low=5, high=195).first()
     assert 0.45 < ci.lo < 0.5 < ci.hi < 0.55
-    r = spark.createDataFrame([("invalid format",), ("x: call failed",), (None,), ("",)], "failure_reason string")
+    r = spark.createDataFrame([(evals.NO_VERDICT,), ("x: call failed",), (None,), ("invalid format",)], "failure_reason string")
     assert tuple(evals.format_failures(r).first()) == (0.25, 0.5)
 
 

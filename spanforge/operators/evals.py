@@ -267,3 +267,33 @@ def cue_confusion(checked: DataFrame, label: str, bad: str = "HALLUC", good: str
     """One row: tp, fn (bad cues flagged or not), fp, tn (good ones)."""
     b, g, f = F.col(label) == bad, F.col(label) == good, F.col("flagged")
     return checked.agg(*[F.count_if(c).alias(n) for n, c in (("tp", b & f), ("fn", b & ~f), ("fp", g & f), ("tn", g & ~f))])
+
+
+# The columns of a table of verification metrics, in its order.
+METRICS = ("label", "n", "dec_acc", "dim_acc_avg", "rel_acc", "ans_acc", "qual_acc", "accept_f1", "false_pass", "json_err", "rel_prec", "rel_recall", "rel_f1", "ans_prec", "ans_recall", "ans_f1", "qual_prec", "qual_recall", "qual_f1")
+_DIMENSIONS = {"rel": ("gold_emotion_relevant", "emotion_relevance_pass"), "ans": ("gold_answerability", "answerability_pass"), "qual": ("gold_query_quality", "query_quality_pass")}
+
+
+def verification_metrics(results: DataFrame, gold: DataFrame, reason: str = NO_VERDICT) -> DataFrame:
+    """A row of METRICS for each label of ``results`` (label, query_id, decision, the three
+    passes, failure_reason) against ``gold`` (query_id, gold_decision and the three golds),
+    sorted by label. Of several results of one query and label any one counts; a gold row
+    without a decision does not count; a null pass is no pass. Rates of nothing are 0."""
+    n = F.count(F.lit(1))
+    passes = [p for _, p in _DIMENSIONS.values()]
+    one = results.groupBy("label", "query_id").agg(F.max(F.struct("decision", *passes)).alias("r")).select("label", "query_id", "r.*")
+    golds = [g for g, _ in _DIMENSIONS.values()]
+    pairs = one.join(gold.where("gold_decision IS NOT NULL").select("query_id", "gold_decision", *golds), "query_id")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    g, d = F.col("gold_decision") == "pass", F.coalesce(F.col("decision") == "pass", F.lit(False))
+    tp, fp, fn = F.count_if(g & d), F.count_if(~g & d), F.count_if(g & ~d)
+    columns = [n.alias("n"), ratio(F.count_if(F.col("gold_decision") == F.col("decision")), n).alias("dec_acc"), ratio(2 * tp, 2 * tp + fp + fn).alias("accept_f1"), ratio(fp, F.count_if(~g)).alias("false_pass")]
+    for name, (of, said) in _DIMENSIONS.items():
+        a, b = is_(of), is_(said)
+        t, p, m = F.count_if(a & b), F.count_if(~a & b), F.count_if(a & ~b)
+        columns += [ratio(F.count_if(a == b), n).alias(f"{name}_acc"), ratio(t, t + p).alias(f"{name}_prec"), ratio(t, t + m).alias(f"{name}_recall"), ratio(2 * t, 2 * t + p + m).alias(f"{name}_f1")]
+    failed = results.groupBy("label").agg(ratio(F.count_if(F.coalesce("failure_reason", F.lit("")) == reason), n).alias("json_err"))
+    rows = failed.join(pairs.groupBy("label").agg(*columns), "label", "left")
+    rows = rows.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c not in ("label",) and c in rows.columns else F.col(c) for c in rows.columns])
+    average = ((F.col("rel_acc") + F.col("ans_acc") + F.col("qual_acc")) / 3).alias("dim_acc_avg")
+    return rows.withColumn("dim_acc_avg", average).select(*METRICS).orderBy("label")

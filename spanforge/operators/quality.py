@@ -2,58 +2,76 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domains
-from ..functions.text import leading_phrase, word_overlap, words
+from ..functions.text import leading_phrase, words
 
 
 def similar_pairs(rows: DataFrame, key: str, ident: str, text: str, least: float = 0.7) -> DataFrame:
-    """Pairs of rows of one key, by order of ``ident``, whose words overlap enough.
+    """(key, a, b, pairs, overlap): classes of rows of one key whose words overlap enough.
+
+    Rows of one set of words are a class, named by its smallest ``ident``, so equal texts
+    come out as one row (a = b, overlap 1) however many there are; ``pairs`` is how many
+    pairs of rows a row stands for. Texts without words are alike to nothing.
 
     Two sets with ``least`` of the larger in common share a word among the first
-    ``n - ceil(least n) + 1`` of each, in any one order of words: rows meet there only,
-    rarest words of the key first, so a common word brings no rows together."""
-    given = rows.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.col(text).alias("text"), F.array_distinct(words(F.col(text))).alias("w"))
-    each = given.select("k", "i", F.size("w").alias("n"), F.explode("w").alias("word"))
+    ``n - ceil(least n) + 1`` of each, in any one order of words: classes meet there only,
+    rarest words of the key first, so a common word brings none together."""
+    sets = rows.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.array_sort(F.array_distinct(words(F.col(text)))).alias("w")).where("size(w) > 0")
+    classes = sets.groupBy("k", "w").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("m"))
+    each = classes.select("k", "i", F.size("w").alias("n"), F.explode("w").alias("word"))
     counts = each.groupBy("k", "word").agg(F.count(F.lit(1)).alias("c"))
     first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
     ordered = each.join(counts, ["k", "word"]).groupBy("k", "i", "n").agg(F.sort_array(F.collect_list(F.struct("c", "word"))).alias("s"))
     heads = ordered.select("k", "i", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("x")).select("k", "i", "x.word")
     met = heads.join(heads.withColumnRenamed("i", "j"), ["k", "word"]).where("i < j").select("k", "i", "j").distinct()
-    a = given.select("k", "i", F.col("text").alias("text_a"))
-    b = given.select("k", F.col("i").alias("j"), F.col("text").alias("text_b"))
-    pairs = met.join(a, ["k", "i"]).join(b, ["k", "j"]).withColumn("overlap", word_overlap(F.col("text_a"), F.col("text_b"))).where(F.col("overlap") >= least)
-    return pairs.select(F.col("k").alias(key), F.col("i").alias("a"), F.col("j").alias("b"), "text_a", "text_b", "overlap")
+    a, b = (classes.select("k", F.col("i").alias(c), F.col("w").alias(f"w{c}"), F.col("m").alias(f"m{c}")) for c in ("i", "j"))
+    both = met.join(a, ["k", "i"]).join(b, ["k", "j"])
+    both = both.withColumn("overlap", F.size(F.array_intersect("wi", "wj")) / F.greatest(F.size("wi"), F.size("wj"))).where(F.col("overlap") >= least)
+    apart = both.select(F.col("k").alias(key), F.col("i").alias("a"), F.col("j").alias("b"), (F.col("mi") * F.col("mj")).alias("pairs"), "overlap")
+    own = classes.where("m > 1").select(F.col("k").alias(key), F.col("i").alias("a"), F.col("i").alias("b"), F.expr("m * (m - 1) div 2").alias("pairs"), F.lit(1.0).alias("overlap"))
+    return apart.unionByName(own)
 
 
 def violations(traces: DataFrame, most: int = 8, fewest: int = 3, most_alike: int = 3) -> DataFrame:
     """(video_id, severity, kind, subject, n) over (video_id, query_id, query_type,
-    final_status, final_query_text). Errors sort before warnings."""
-    accepted = traces.where("final_status = 'accepted'")
-    per_video = traces.groupBy("video_id").agg(F.count_if(F.col("final_status") == "accepted").alias("n"), F.count_distinct(F.when(F.col("final_status") == "accepted", F.col("query_type"))).alias("types"), F.min(F.when(F.col("final_status") == "accepted", F.col("query_type"))).alias("type"))
-
-    def out(df: DataFrame, severity: str, kind: str, subject, n) -> DataFrame:
-        return df.select("video_id", F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), subject.cast("string").alias("subject"), n.cast("long").alias("n"))
-
-    one, nothing = F.lit(1), F.lit(None)
-    by_text = accepted.groupBy("video_id", "final_query_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    by_phrase = accepted.groupBy("video_id", leading_phrase(F.col("final_query_text")).alias("phrase")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_alike)
-    both = accepted.select("video_id", "query_id").intersect(traces.where("final_status = 'discarded'").select("video_id", "query_id"))
-    alike = similar_pairs(accepted, "video_id", "query_id", "final_query_text")
-    parts = [
-        out(traces.where(~F.coalesce(F.col("final_status").isin(*domains.STATUSES), F.lit(False))), "error", "status", F.col("query_id"), one),
-        out(traces.where(~F.coalesce(F.col("query_type").isin(*domains.QUERY_TYPES), F.lit(False))), "error", "type", F.col("query_id"), one),
-        out(accepted.where(F.length(F.trim(F.coalesce("final_query_text", F.lit("")))) == 0), "error", "empty_text", F.col("query_id"), one),
-        out(per_video.where(F.col("n") > most), "error", "too_many", nothing, F.col("n")),
-        out(by_text, "error", "duplicate_text", F.left("final_query_text", F.lit(80)), F.col("n") - 1),
-        out(both, "error", "conflicting_status", F.col("query_id"), one),
-        out(per_video.where(F.col("n") < fewest), "warning", "few", nothing, F.col("n")),
-        out(per_video.where("types = 1"), "warning", "one_type", F.col("type"), F.col("n")),
-        out(by_phrase, "warning", "same_start", F.col("phrase"), F.col("n")),
-        out(alike, "warning", "similar", F.concat_ws("|", "a", "b"), one),
+    final_status, final_query_text). Errors sort before warnings. All kinds come from one
+    scan and one grouping by what each row is counted under, but for ``similar``, which
+    has a row for each pair of classes of texts, n being the pairs of queries."""
+    status, kind_of, said = F.col("final_status"), F.col("query_type"), F.col("final_query_text")
+    accepted = F.coalesce(status == "accepted", F.lit(False))
+    known = lambda c, domain: F.coalesce(c.isin(*domain), F.lit(False))
+    under = lambda kind, subject, when: F.when(when, F.struct(F.lit(kind).alias("kind"), subject.cast("string").alias("subject")))
+    ident = F.col("query_id")
+    places = [
+        under("status", ident, ~known(status, domains.STATUSES)),
+        under("type", ident, ~known(kind_of, domains.QUERY_TYPES)),
+        under("empty_text", ident, accepted & (F.length(F.trim(F.coalesce(said, F.lit("")))) == 0)),
+        under("duplicate_text", said, accepted),
+        under("conflicting_status", ident, known(status, domains.STATUSES)),
+        under("same_start", leading_phrase(said), accepted),
+        under("video", F.lit(None), F.lit(True)),
+    ]
+    each = traces.select("video_id", accepted.alias("a"), F.coalesce(status == "discarded", F.lit(False)).alias("d"), F.when(accepted, kind_of).alias("t"), F.explode(F.array_compact(F.array(*places))).alias("p"))
+    g = each.groupBy("video_id", "p.kind", "p.subject").agg(F.count(F.lit(1)).alias("rows"), F.count_if("a").alias("n"), F.count_if("d").alias("gone"), F.min("t").alias("low"), F.max("t").alias("high"))
+
+    def found(severity: str, kind: str, when, subject, n, times=None):
+        row = F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), subject.cast("string").alias("subject"), n.cast("long").alias("n"))
+        return F.when(when, F.array_repeat(row, times.cast("int") if times is not None else F.lit(1)))
+
+    is_, n, one, nothing, subject = (lambda k: F.col("kind") == k), F.col("n"), F.lit(1), F.lit(None), F.col("subject")
+    per_row = [found("error", k, is_(k), subject, one, F.col("rows")) for k in ("status", "type", "empty_text")]
+    told = [
+        *per_row,
+        found("error", "too_many", is_("video") & (n > most), nothing, n),
+        found("error", "duplicate_text", is_("duplicate_text") & (n > 1), F.left(subject, F.lit(80)), n - 1),
+        found("error", "conflicting_status", is_("conflicting_status") & (n > 0) & (F.col("gone") > 0), subject, one),
+        found("warning", "few", is_("video") & (n < fewest), nothing, n),
+        found("warning", "one_type", is_("video") & (F.col("low") == F.col("high")), F.col("low"), n),
+        found("warning", "same_start", is_("same_start") & (n > most_alike), subject, n),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    rows = g.select("video_id", F.inline(F.flatten(F.array_compact(F.array(*told)))))
+    alike = similar_pairs(traces.where(accepted), "video_id", "query_id", "final_query_text")
+    return rows.unionByName(alike.select("video_id", F.lit("warning").alias("severity"), F.lit("similar").alias("kind"), F.concat_ws("|", "a", "b").alias("subject"), F.col("pairs").cast("long").alias("n")))

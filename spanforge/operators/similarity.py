@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Unit vectors of ``width`` components, zeros behind a shorter one's end. They are
+    scaled by their largest component first, so no square overflows or vanishes."""
     lists = column.combine_chunks()
-    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    size = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    x = np.zeros((len(lists), width))
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    x[np.repeat(np.arange(len(size)), size), at] = lists.flatten().to_numpy(zero_copy_only=False)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -22,7 +29,9 @@ def _best(k: int):
         ids = group.column("id").to_numpy()
         out: list[list] = [[], [], []]
         if asked.any() and not asked.all():
-            near = np.round(_matrix(group.column("v").filter(pa.array(asked))) @ _matrix(group.column("v").filter(pa.array(~asked))).T, 9)
+            v = group.column("v")
+            width = pc.max(pc.list_value_length(v)).as_py()
+            near = np.round(_matrix(v.filter(pa.array(asked)), width) @ _matrix(v.filter(pa.array(~asked)), width).T, 9)
             own, others = ids[asked], ids[~asked]
             for q, s in zip(own.tolist(), near, strict=True):
                 some = np.flatnonzero(others != q)
@@ -41,7 +50,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, part
     """(query, id, s, rk) over (id long, v array<double>): the ``k`` rows of greatest cosine
     (to nine decimals, ties by id) for each query, itself excepted.  Each pair of a block of
     queries and a part of the rows is one group of bounded size; nothing is broadcast.
-    Vectors that are null, zero or hold a null or a non-finite component are left out."""
+    Vectors that are null, zero or hold a null or a non-finite component are left out; a
+    shorter one counts as filled up with zeros."""
     finite = ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     sound = lambda df: df.where(F.col("id").isNotNull() & F.coalesce(finite & F.exists("v", lambda e: e != 0), F.lit(False)))
     queries, rows = sound(queries), sound(rows)

@@ -333,9 +333,12 @@ def leading_phrase_repeats(t):
 _SETS = f"(SELECT conv_id, turn, list_distinct(string_split({_NORM}, ' ')) AS w FROM conversations WHERE length({_NORM}) > 0)"
 
 
-@query(f"SELECT a.conv_id, a.turn AS a, b.turn AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)), 6) AS overlap FROM {_SETS} a JOIN {_SETS} b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)) >= 0.2")
+_CLASSES = f"(SELECT conv_id, min(turn) AS turn, list_sort(w) AS w, count(*) AS m FROM {_SETS} GROUP BY conv_id, list_sort(w))"
+
+
+@query(f"SELECT a.conv_id, a.turn AS a, b.turn AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)), 6) AS overlap, a.m * b.m AS pairs FROM {_CLASSES} a JOIN {_CLASSES} b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)) >= 0.2 UNION ALL SELECT conv_id, turn, turn, 1.0, m * (m - 1) // 2 FROM {_CLASSES} WHERE m > 1")
 def word_overlap_pairs(t):
-    return quality.similar_pairs(t("conversations"), "conv_id", "turn", "text", 0.2).select("conv_id", "a", "b", F.round("overlap", 6).alias("overlap"))
+    return quality.similar_pairs(t("conversations"), "conv_id", "turn", "text", 0.2).select("conv_id", "a", "b", F.round("overlap", 6).alias("overlap"), "pairs")
 
 
 _MOOD = "array['a happy, low voice', 'She sighs, clearly expressing sadness and anger; then', 'a sad, high pitch and', 'no cue', 'very tense and', 'An upset, ALARMED crowd, showing some fear']"
@@ -445,20 +448,21 @@ def stats_row(t):
 def _traces(t):
     e, i = t("events"), F.col("event_id")
     kinds = F.array(*map(F.lit, (*domains.QUERY_TYPES, "odd")))
-    text_ = F.when(i % 62 == 0, F.lit("")).otherwise(F.concat("event_type", F.lit(" at "), (i % 30).cast("string")))
+    text_ = F.when(i % 62 == 0, F.lit("")).otherwise(F.concat("event_type", F.lit(" at the same place as "), (i % 30).cast("string")))
     rows = e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("query_id"), F.element_at(kinds, (F.when(i % 40 == 0, 4).otherwise(i % 3 + 1)).cast("int")).alias("query_type"), F.when(i % 2 == 0, "accepted").when(i % 97 == 1, "lost").otherwise("discarded").alias("final_status"), text_.alias("final_query_text"))
     return rows.unionByName(rows.where("query_id % 200 = 0").withColumn("final_status", F.lit("discarded")))
 
 
 @query(
-    """WITH e AS (SELECT user_id AS v, event_id AS q, CASE WHEN event_id % 40 = 0 THEN 'odd' ELSE ['explicit_event', 'emotion_state', 'evidence_cue'][event_id % 3 + 1] END AS ty, CASE WHEN event_id % 2 = 0 THEN 'accepted' WHEN event_id % 97 = 1 THEN 'lost' ELSE 'discarded' END AS st, CASE WHEN event_id % 62 = 0 THEN '' ELSE event_type || ' at ' || event_id % 30 END AS x FROM events),
+    """WITH e AS (SELECT user_id AS v, event_id AS q, CASE WHEN event_id % 40 = 0 THEN 'odd' ELSE ['explicit_event', 'emotion_state', 'evidence_cue'][event_id % 3 + 1] END AS ty, CASE WHEN event_id % 2 = 0 THEN 'accepted' WHEN event_id % 97 = 1 THEN 'lost' ELSE 'discarded' END AS st, CASE WHEN event_id % 62 = 0 THEN '' ELSE event_type || ' at the same place as ' || event_id % 30 END AS x FROM events),
 t AS (SELECT * FROM e UNION ALL SELECT v, q, ty, 'discarded', x FROM e WHERE q % 200 = 0),
-a AS (SELECT * FROM t WHERE st = 'accepted'), n AS (SELECT v, count(*) FILTER (WHERE st = 'accepted') AS n, count(DISTINCT CASE WHEN st = 'accepted' THEN ty END) AS k, min(CASE WHEN st = 'accepted' THEN ty END) AS ty FROM t GROUP BY v),
+a AS (SELECT * FROM t WHERE st = 'accepted'), c AS (SELECT v, x, list_distinct(string_split(x, ' ')) AS w, count(*) AS m FROM a WHERE x <> '' GROUP BY v, x), n AS (SELECT v, count(*) FILTER (WHERE st = 'accepted') AS n, count(DISTINCT CASE WHEN st = 'accepted' THEN ty END) AS k, min(CASE WHEN st = 'accepted' THEN ty END) AS ty FROM t GROUP BY v),
 o AS (SELECT 'error' AS severity, 'status' AS kind, v, 1 AS n FROM t WHERE st = 'lost' UNION ALL SELECT 'error', 'type', v, 1 FROM t WHERE ty = 'odd' UNION ALL SELECT 'error', 'empty_text', v, 1 FROM a WHERE x = '' UNION ALL SELECT 'error', 'too_many', v, n FROM n WHERE n > 8
 UNION ALL SELECT 'error', 'duplicate_text', v, count(*) - 1 FROM a GROUP BY v, x HAVING count(*) > 1 UNION ALL SELECT 'error', 'conflicting_status', v, 1 FROM a WHERE q % 200 = 0
 UNION ALL SELECT 'warning', 'few', v, n FROM n WHERE n < 3 UNION ALL SELECT 'warning', 'one_type', v, n FROM n WHERE k = 1
 UNION ALL SELECT 'warning', 'same_start', v, count(*) FROM a GROUP BY v, string_split(x, ' ')[1] HAVING count(*) > 3
-UNION ALL SELECT 'warning', 'similar', a.v, 1 FROM a JOIN a b ON a.v = b.v AND a.q < b.q AND a.x = b.x AND a.x <> '')
+UNION ALL SELECT 'warning', 'similar', v, count(*) * (count(*) - 1) // 2 FROM a WHERE x <> '' GROUP BY v, x HAVING count(*) > 1
+UNION ALL SELECT 'warning', 'similar', p.v, p.m * r.m FROM c p JOIN c r ON p.v = r.v AND p.x < r.x WHERE len(list_intersect(p.w, r.w))::DOUBLE / greatest(len(p.w), len(r.w)) >= 0.7)
 SELECT severity, kind, count(*) AS rows, count(DISTINCT v) AS videos, sum(n)::BIGINT AS n FROM o GROUP BY severity, kind"""
 )
 def violations_by_kind(t):

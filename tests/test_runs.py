@@ -9,7 +9,7 @@ from spanforge.sources import catalog, records
 from spanforge.sources.model import FakeClient
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ["run_round_trip", "runs_merged", "review_rows", "judge_captions_fake", "judge_summary_fake", "verify_batched_fake", "grounding_score", "too_narrow_proposals", "topk_cosine", "recall_at_n", "violations_by_kind", "stats_row", "source_captions", "first_extension"]
+NAMES = ["run_round_trip", "runs_merged", "review_rows", "judge_captions_fake", "judge_summary_fake", "verify_batched_fake", "grounding_score", "too_narrow_proposals", "topk_cosine", "recall_at_n", "violations_by_kind", "stats_row", "source_captions", "first_extension", "videos_replaced", "stage_outputs", "scored_rows", "verification_metrics", "answers_appended", "stream_islands", "checked_documents", "event_rules", "stage_counters", "resample_sizes", "batched_answers_fake", "generation_prompts", "judge_prompt_texts", "clip_prompts", "verified_by_dimension_fake", "reground_table", "extracted_clips", "empty_stages", "similar_spans", "word_overlap_pairs"]
 
 
 def shown(v):
@@ -91,14 +91,30 @@ def test_rewrites_keep_to_what_was_asked(spark):
 def test_similar_pairs_equal_all_pairs(spark):
     rng = np.random.default_rng(2)
     rows = [(int(k % 3), i, " ".join(rng.choice(list("abcdefgh"), size=rng.integers(0, 7)))) for i, k in enumerate(rng.integers(0, 9, 90))]
-    want = set()
+    classes = {}
     for k, i, x in rows:
-        for m, j, y in rows:
-            a, b = set(x.split()), set(y.split())
-            if k == m and i < j and a and b and len(a & b) / max(len(a), len(b)) >= 0.7:
-                want.add((k, i, j))
+        if x:
+            classes.setdefault((k, frozenset(x.split())), []).append(i)
+    want = {(k, min(m), min(m), len(m) * (len(m) - 1) // 2) for (k, _), m in classes.items() if len(m) > 1}
+    for (k, a), m in classes.items():
+        for (j, b), n in classes.items():
+            if k == j and min(m) < min(n) and len(a & b) / max(len(a), len(b)) >= 0.7:
+                want.add((k, min(m), min(n), len(m) * len(n)))
     got = quality.similar_pairs(spark.createDataFrame(rows, "k long, i long, x string"), "k", "i", "x")
-    assert {(r.k, r.a, r.b) for r in got.collect()} == want and got.count() == len(want)
+    assert {(r.k, r.a, r.b, r.pairs) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_equal_texts_are_one_class(spark):
+    rows = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.lit("five words of one text").alias("x"))
+    assert [tuple(r) for r in quality.similar_pairs(rows, "k", "i", "x").collect()] == [(1, 0, 0, 5000 * 4999 // 2, 1.0)]
+
+
+def test_nearest_vectors_of_any_shape(spark):
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [3.0]), (2, [1e200, 1e200]), (3, [1e-200, 0.0, 0.0, 0.0, 0.0]), (4, None), (5, [0.0]), (6, [1.0, None]), (7, [float("nan")]), (8, []), (None, [1.0]), (9, [0.0, 0.0, 0.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = similarity.nearest(df.where("id = 0"), df, 10).orderBy("rk").collect()
+    assert [(r.id, round(r.s, 6)) for r in got] == [(1, 1.0), (3, 1.0), (2, 0.707107), (9, 0.0)]
+    assert similarity.nearest(df.where("id = 4"), df, 3).count() == 0
 
 
 def test_nearest_in_any_blocks(spark):

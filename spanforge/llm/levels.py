@@ -25,6 +25,7 @@ other are only asked for needlessly, so the sample steers the work and not the r
 
 from __future__ import annotations
 
+import copy
 import json
 from collections.abc import Callable, Iterator
 
@@ -95,20 +96,35 @@ class RepeatIndex:
     def __init__(self, spark: SparkSession, root: str, members: Callable[[DataFrame], DataFrame], detail: Callable[[DataFrame, str, int], DataFrame], *, later: bool, fanout: int = 2, dense: int = 20_000):
         self.spark, self.root, self.later, self.fanout, self.dense = spark, root, later, max(fanout, 2), dense
         self._members, self._detail = members, detail
-        self.state = {"batches": 0, "base": 0, "levels": [], "rows": [], "marks": []}
+        self.state = {"step": 0, "batches": 0, "base": 0, "levels": [], "rows": [], "marks": [], "retired": []}
         self._reopened()
 
     def _reopened(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
         if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            kept = [json.loads(r["value"]) for r in self.spark.read.text(f"{self.root}/manifest").collect()]  # one line a batch
-            self.state = max(kept, key=lambda x: x["batches"])
-
-    def _saved(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/{self.state['batches']}.json")
-        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(json.dumps(self.state).encode()))
+            kept = [json.loads(r["value"]) for r in self.spark.read.text(f"{self.root}/manifest").collect()]  # one line a step
+            self.state = max(kept, key=lambda x: x["step"])
+
+    def _commit(self, state: dict) -> None:
+        """Put a new state in place, under a name of its own, and only then drop what it no
+        longer names: whenever this stops, the index is the old one or the new one."""
+        state["step"] += 1
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        target, part = path(f"{self.root}/manifest/{state['step']}.json"), path(f"{self.root}/manifest/_{state['step']}.part")
+        system = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = system.create(part, True)
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
+        if not system.rename(part, target):
+            raise OSError(f"could not write {target}")
+        self.state = state
+        self._swept()
+
+    def _swept(self) -> None:
+        """Drop what steps before this one gave up, and what a stopped ``add`` left."""
+        k = self.state["batches"]
+        for path in [*self.state["retired"], *(f"{self.root}/{name}-{k}" for name in ("rows", "scan", "marks", "detail"))]:
+            common.drop(self.spark, path)
 
     def _runs(self, paths: list[str], src: int) -> list[DataFrame]:
         return [self.spark.read.schema(MEMBER).parquet(p).withColumn("src", F.lit(src)) for p in paths]
@@ -118,9 +134,9 @@ class RepeatIndex:
         paths = self.state["rows"]
         return self.spark.read.schema(self.spark.read.parquet(paths[-1]).schema).parquet(*paths)
 
-    def texts(self) -> DataFrame:
-        """(rid, did, text) of all batches."""
-        frames = [self.spark.read.parquet(p).select("rid", common.row_doc_id().alias("did"), common.row_text().alias("text")) for p in self.state["rows"]]
+    def _texts(self, paths: list[str]) -> DataFrame:
+        """(rid, did, text) of the rows at ``paths``."""
+        frames = [self.spark.read.parquet(p).select("rid", common.row_doc_id().alias("did"), common.row_text().alias("text")) for p in paths]
         out = frames[0]
         for more in frames[1:]:
             out = out.unionAll(more)
@@ -145,8 +161,12 @@ class RepeatIndex:
         return self.spark.createDataFrame(found, "key long, parts int") if found else None
 
     def add(self, docs: DataFrame) -> None:
-        """A new batch of documents (doc_id, text and any other columns)."""
-        spark, state, k = self.spark, self.state, self.state["batches"]
+        """A new batch of documents (doc_id, text and any other columns). It counts once all
+        of it is written; stopped before, it leaves the index as it was and can be added
+        again."""
+        self._swept()
+        spark, state, k = self.spark, copy.deepcopy(self.state), self.state["batches"]
+        state["retired"] = []
         rows = common.numbered(docs, f"{self.root}/rows-{k}", state["base"])
         last, total = rows.agg(F.max("rid"), F.count("rid")).first()
         if last is None:  # an empty batch leaves no trace
@@ -184,7 +204,7 @@ class RepeatIndex:
                 crowded = spark.createDataFrame(crowded, "key long, crowded boolean")
                 asked = asked.join(F.broadcast(crowded), "key", "left").withColumn("single", F.col("single") | F.coalesce("crowded", F.lit(False)))
         asked = asked.groupBy("rid").agg(F.collect_list(F.struct("key", "pab", "single", "done")).alias("items"))
-        known = self.texts().join(asked.hint("shuffle_hash"), "rid")
+        known = self._texts(state["rows"]).join(asked.hint("shuffle_hash"), "rid")
         self._detail(known, f"{self.root}/detail-{k}", state["base"]).write.parquet(f"{self.root}/marks-{k}/parts")
         del asked, known
         common.drop(spark, f"{self.root}/detail-{k}")
@@ -192,24 +212,22 @@ class RepeatIndex:
 
         state["marks"] += [f"{self.root}/marks-{k}/whole", f"{self.root}/marks-{k}/parts"]
         if due is not None:
-            for path in state["levels"][due]:
-                common.drop(spark, path)
+            state["retired"] += state["levels"][due]
             state["levels"][due] = []
-            self._put(due + 1, f"{self.root}/scan-{k}/kind={_MERGED}")
-        self._put(0, f"{self.root}/scan-{k}/kind={_RUN}")
-        for kind in (_MARKED, _ASKED):
-            common.drop(spark, f"{self.root}/scan-{k}/kind={kind}")
+            self._put(state["levels"], due + 1, f"{self.root}/scan-{k}/kind={_MERGED}")
+        self._put(state["levels"], 0, f"{self.root}/scan-{k}/kind={_RUN}")
+        state["retired"] += [f"{self.root}/scan-{k}/kind={kind}" for kind in (_MARKED, _ASKED)]
         state["base"], state["batches"] = ((last >> 33) + 1) << 33, k + 1
-        self._saved()
+        self._commit(state)
 
     def finish(self) -> None:
         """No more batches: the runs go, rows and marks stay."""
-        for path in (p for runs in self.state["levels"] for p in runs):
-            common.drop(self.spark, path)
-        self.state["levels"] = []
+        state = copy.deepcopy(self.state)
+        state["retired"] = [p for runs in state["levels"] for p in runs]
+        state["levels"] = []
+        self._commit(state)
 
-    def _put(self, level: int, path: str) -> None:
-        levels = self.state["levels"]
+    def _put(self, levels: list[list[str]], level: int, path: str) -> None:
         while len(levels) <= level:
             levels.append([])
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -213,7 +213,7 @@ class SubstringIndex(levels.RepeatIndex):
         return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), common.row_text().alias("text"), "starts").mapInArrow(_keep(self.window), _KEPT)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, fanout: int = 2, dense: int = 20_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 3, fanout: int = 2, dense: int = 20_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): ``kept`` is the remaining words joined
     by one space. ``batches``: ranges of doc_id the documents arrive in; ``fanout``:
     runs a level holds before they merge; ``dense``: stretches under one anchor beyond

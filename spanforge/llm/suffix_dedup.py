@@ -251,16 +251,17 @@ class SuffixIndex(levels.RepeatIndex):
         return rows.mapInArrow(_cut(self.window), schema)
 
 
-def _indexed(docs: DataFrame, window: int, batches: int, fanout: int, dense: int) -> SuffixIndex:
+def _indexed(docs: DataFrame, window: int, batches: int, fanout: int, dense: int, finish: bool = True) -> SuffixIndex:
     index = SuffixIndex(docs.sparkSession, common.scratch(docs.sparkSession, "suffix-dedup"), window, fanout, dense)
     batch = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(batches))
     for i in range(batches):
         index.add(docs.where(batch == i))
-    index.finish()
+    if finish:
+        index.finish()
     return index
 
 
-def suffix_dedup(docs: DataFrame, window: int = 400, batches: int = 2, fanout: int = 2, dense: int = 20_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 400, batches: int = 3, fanout: int = 2, dense: int = 20_000) -> DataFrame:
     """(doc_id, spans, n_bytes, kept): removed byte ranges and remaining bytes of
     each document. ``batches``: how many parts the documents arrive in; ``fanout``:
     runs a level holds before they merge; ``dense``: stretches under one suffix head
@@ -271,7 +272,7 @@ def suffix_dedup(docs: DataFrame, window: int = 400, batches: int = 2, fanout: i
     return index.cuts()
 
 
-def without_repeats(docs: DataFrame, window: int = 400, batches: int = 2, fanout: int = 2, dense: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 400, batches: int = 3, fanout: int = 2, dense: int = 20_000) -> DataFrame:
     """The rows of ``docs`` with their text less what repeats; a character cut in
     two by the end of a span goes with it. Documents keep their row, and a null
     text stays null."""

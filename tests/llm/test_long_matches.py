@@ -174,3 +174,69 @@ def test_offsets_of_large_groups_equal_pairwise_ones():
                 if len(y) >= 12 - o and any(j != i and p[:o] == x[:o] and len(p) >= o and q[: 12 - o] == y[: 12 - o] for j, (p, q) in enumerate(parts)):
                     want.append((i, o))
         assert offsets(suffix_dedup._by_offset(left, right, 12)) == offsets(suffix_dedup.repeated_offsets(left, right, 12)) == want
+
+
+class Stopped(RuntimeError):
+    pass
+
+
+def _stops_at(monkeypatch, owner, name, after=0):
+    """``owner.name`` fails from its call ``after`` on."""
+    own, calls = getattr(owner, name), []
+
+    def dies(*a, **b):
+        calls.append(1)
+        if len(calls) > after:
+            raise Stopped(name)
+        return own(*a, **b)
+
+    monkeypatch.setattr(owner, name, dies)
+
+
+STEPS = [("numbered", "common"), ("free_shuffles", "common"), ("_frequent", "index"), ("_detail", "index"), ("_commit", "index"), ("rename", "store"), ("drop", "common")]
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_a_stopped_add_leaves_the_index_whole(spark, documents, tmp_path, monkeypatch, kind):
+    """Every batch is stopped at every step, the index opened anew, and the batch added again."""
+    from spanforge.llm import common
+
+    made = suffix_dedup.SuffixIndex if kind == "bytes" else SubstringIndex
+    some = documents.where("doc_id < 90")
+    rows = [tuple(r) for r in some.select("doc_id", "text").collect()]
+    cuts = sorted(r[0] for r in rows)[:: len(rows) // 4][1:4]
+    parts = [some.where(F.col("doc_id").between(a, b - 1)) for a, b in zip([-1, *cuts], [*cuts, 10**9], strict=True)]
+    root, stops = str(tmp_path / "index"), 0
+    for k, part in enumerate(parts):
+        for name, where in STEPS if k >= 2 else STEPS[k::2]:
+            index = made(spark, root)
+            before = index.state["batches"]
+            assert before == k
+            with monkeypatch.context() as m:
+                if where == "store":
+                    m.setattr(index, "_commit", lambda state, own=index: (_ for _ in ()).throw(Stopped("rename")))
+                else:
+                    # the first drops sweep up; a later one retires old runs, when the manifest stands already
+                    _stops_at(m, common if where == "common" else index, name, after=9 if name == "drop" else 0)
+                try:
+                    index.add(part)
+                except Stopped:
+                    stops += 1
+            if made(spark, root).state["batches"] > k:  # it stopped after the new state was in place
+                break
+        else:
+            made(spark, root).add(part)
+        assert made(spark, root).state["batches"] == k + 1
+    index = made(spark, root)
+    assert stops >= 15 and any(index.state["levels"][1:])  # levels were merged on the way
+    if kind == "bytes":
+        assert removed(index.cuts()) == sorted(brute.repeats(rows, 400), key=str)
+    else:
+        assert kept(index.cuts()) == sorted(brute.earlier_words(rows, 20), key=str)
+    index.finish()
+    assert made(spark, root).state["levels"] == []
+
+
+def test_the_query_merges_levels(documents):
+    index = suffix_dedup._indexed(documents, 400, 3, 2, 20_000, finish=False)
+    assert index.state["batches"] == 3 and [len(x) for x in index.state["levels"]] == [1, 1]

@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from spanforge.sources.committed import store_of
+
 from . import common
 
 WIDTH = 192
@@ -142,83 +144,133 @@ def write_archives(members: DataFrame, path: str) -> None:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
-
-
-def _system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    def __init__(self, path: str, start: int, end: int, marker: bytes):
+        self.path, self.start, self.end, self.marker = path, start, end, marker
 
 
 class ArchiveReader(DataSourceReader):
+    """Reads each byte range by itself. A range finds its first member by the archives'
+    marker; from there on each next header's place is known, and what fails there is a
+    failed member, not something to look past: it is read again by its offset, on a file
+    of its own, and then is an error, or a row with one. The header behind a range's last
+    member is checked by that range, as the next one could not know of it."""
+
     def __init__(self, options):
         self.path = options["path"]
         self.range_bytes = int(options.get("rangebytes", 32 << 20))
         self.batch_bytes = int(options.get("batchbytes", 8 << 20))
         self.retries = int(options.get("retries", 3))
+        self.pause = float(options.get("pause", 0.05))
         self.on_error = options.get("onerror", "fail")
 
     def partitions(self) -> list[_Range]:
         from pyarrow import fs
 
-        system, root = _system(self.path)
+        system, root = store_of(self.path)
         files = system.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((f.path, f.size) for f in files if f.is_file and f.size and not f.base_name.startswith(("_", ".")))
         step = max(self.range_bytes // BLOCK, 1) * BLOCK
-        return [_Range(p, a, min(a + step, n)) for p, n in files for a in range(0, n, step)] or [_Range("", 0, 0)]
-
-    def _again(self, path: str, offset: int) -> tuple[str, bytes]:
-        """One member by its offset, on a file of its own."""
-        system, _ = _system(self.path)
-        with system.open_input_file(path) as f:
-            f.seek(offset)
-            head = _read_header(f.read(BLOCK))
+        if not files:
+            return [_Range("", 0, 0, b"")]
+        markers = self._markers(system, [p for p, _ in files])
+        return [_Range(p, a, min(a + step, n), markers[p.rpartition("/")[0]]) for p, n in files for a in range(0, n, step)]
+
+    def _markers(self, system, paths: list[str]) -> dict[str, bytes]:
+        """The marker that the archives of a folder share, from its first sound header."""
+        found: dict[str, bytes] = {}
+        for path in paths:
+            folder = path.rpartition("/")[0]
+            if folder not in found:
+                with system.open_input_file(path) as f:
+                    head = _read_header(f.read(BLOCK))
+                if head is not None:
+                    found[folder] = head[2]
+        for path in paths:
+            if path.rpartition("/")[0] not in found:
+                raise OSError(f"{path} is no archive")
+        return found
+
+    def _open(self, path: str):
+        return store_of(self.path)[0].open_input_file(path)
+
+    def _header_at(self, f, at: int, marker: bytes) -> tuple[str, int] | None:
+        f.seek(at)
+        head = _read_header(f.read(BLOCK), marker)
+        return None if head is None else head[:2]
+
+    def _tried(self, f, path: str, work):
+        """``work(file)``, again on a file of its own if it fails; (result, error)."""
+        error = None
+        for k in range(self.retries + 1):
+            try:
+                if not k:
+                    return work(f), None
+                time.sleep(self.pause * 2**k)
+                with self._open(path) as own:
+                    return work(own), None
+            except (OSError, ValueError, zlib.error) as problem:
+                error = f"{type(problem).__name__}: {problem}"
+        return None, error
+
+    def _known_header(self, at: int, marker: bytes):
+        def work(f) -> tuple[str, int]:
+            head = self._header_at(f, at, marker)
             if head is None:
-                raise OSError(f"no member header at {offset}")
-            media = f.read(head[1])
-            if len(media) < head[1]:
-                raise OSError(f"member at {offset} is cut short")
-            return head[0], media
+                raise OSError(f"no member header at {at}")
+            return head
+
+        return work
+
+    def _body(self, at: int, size: int):
+        def work(f) -> bytes:
+            f.seek(at + BLOCK)
+            media = f.read(size)
+            if len(media) < size:
+                raise OSError(f"member at {at} is cut short")
+            if media[:8] == _PNG:
+                decode_png(media)
+            return media
+
+        return work
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("member", pa.string()), ("media", pa.binary()), ("error", pa.string())])
         rows = common.Rows(schema, self.batch_bytes)
+
+        def failed(at: int, name: str | None, error: str) -> None:
+            if self.on_error != "row":
+                raise OSError(f"{part.path} at {at}: {error}")
+            rows.add(part.path, at, name, None, error, size=200)
+
         if part.path:
-            system, _ = _system(self.path)
-            with system.open_input_file(part.path) as f:
-                first = _read_header(f.read(BLOCK))
-                if first is None:
-                    raise OSError(f"{part.path} is no archive")
-                at, size, marker = part.start, f.size(), first[2]
+            with self._open(part.path) as f:
+                at, size, sure = part.start, f.size(), part.start == 0
                 while at < part.end:
-                    f.seek(at)
-                    head = _read_header(f.read(BLOCK), marker)
-                    if head is None:  # inside a member that another range owns
+                    if sure:
+                        head, error = self._tried(f, part.path, self._known_header(at, part.marker))
+                        if error:
+                            failed(at, None, error)
+                            sure = False
+                    else:
+                        head, error = self._tried(f, part.path, lambda x, at=at: self._header_at(x, at, part.marker))
+                        if error:  # what is lost here nobody can tell
+                            raise OSError(f"{part.path} at {at}: {error}")
+                    if head is None:
                         at += BLOCK
                         continue
-                    name, media, error = head[0], f.read(head[1]), None
-                    for k in range(self.retries + 1):
-                        try:
-                            if k:
-                                time.sleep(0.05 * 2**k)
-                                name, media = self._again(part.path, at)
-                            if len(media) < head[1]:
-                                raise OSError(f"member at {at} is cut short")
-                            if media[:8] == _PNG:
-                                decode_png(media)
-                            error = None
-                            break
-                        except (OSError, ValueError, zlib.error) as problem:
-                            error = f"{type(problem).__name__}: {problem}"
-                    if error and self.on_error != "row":
-                        raise OSError(f"{part.path} at {at}: {error}")
-                    rows.add(part.path, at, name, None if error else media, error, size=len(media) + 200)
+                    sure = True
+                    name, length = head
+                    media, error = self._tried(f, part.path, self._body(at, length))
+                    if error:
+                        failed(at, name, error)
+                    else:
+                        rows.add(part.path, at, name, media, None, size=len(media) + 200)
                     yield from rows.take()
-                    at += -(-(BLOCK + head[1] + 1) // BLOCK) * BLOCK
-                    if at > size:
-                        break
+                    at += -(-(BLOCK + length + 1) // BLOCK) * BLOCK
+                if sure and part.end <= at < size:
+                    _, error = self._tried(f, part.path, self._known_header(at, part.marker))
+                    if error:
+                        failed(at, None, error)
         yield from rows.take(0)
 
 
@@ -282,9 +334,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_columns(docs: DataFrame, **options) -> DataFrame:
     """Store each text as an image in archives, read the archives back and describe
     each member: (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature)."""
+    media_bytes, media_sha256, feature). Raises if it read another number of members
+    than it wrote."""
     spark = docs.sparkSession
-    path = f"{common.scratch(spark, 'media')}/archives"
+    root = common.scratch(spark, "media")
+    path = f"{root}/archives"
     write_archives(common.identified(docs).select("did", "text").mapInArrow(_as_images, "member string, media binary"), path)
     described = read_archives(spark, path, **options).select("member", "media").mapInArrow(_digests, _DIGEST)
+    described = common.settle(described, f"{root}/described")
+    written, read = docs.count(), described.count()
+    if written != read:
+        raise OSError(f"{read} members read of {written} written")
+    common.drop(spark, path)
     return described.select(common.doc_id_back().alias("doc_id"), *[f.name for f in _DIGEST if f.name != "did"])

@@ -341,6 +341,21 @@ def test_unicode_white_space():
 # --- media -----------------------------------------------------------------
 
 
+def plain_feature(payload):
+    """The features, sample by sample."""
+    total, squares, bins, changes, before = 0, 0, [0] * 16, 0, None
+    for x in payload:
+        total += x
+        squares += x * x
+        bins[x // 16] += 1
+    for x in payload:
+        above = x * len(payload) > total
+        changes += before is not None and above != before
+        before = above
+    n = len(payload)
+    return f"min={min(payload)};max={max(payload)};mean={total * 1000 // n};square={squares * 1000 // n};changes={changes};bins={','.join(map(str, bins))}"
+
+
 def test_media_round_trip(documents, odd, empty):
     docs = rows(documents.select("doc_id", "text")) + [(r[0], r[1]) for r in ODD]
     got = media.media_columns(documents.unionByName(odd, allowMissingColumns=True), rangeBytes=64 << 10, batchBytes=32 << 10).collect()
@@ -351,6 +366,10 @@ def test_media_round_trip(documents, odd, empty):
         png = media.encode_png(p)
         want[d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(png), hashlib.sha256(png).hexdigest()] += 1
     assert Counter(tuple(r)[:7] for r in got) == want
+    by_hash = {hashlib.sha256((t or "").encode().ljust(max(-(-len((t or "").encode()) // 192), 1) * 192)).hexdigest(): (t or "").encode() for _, t in docs}
+    for r in got:
+        b = by_hash[r.payload_sha256]
+        assert r.feature == plain_feature(b.ljust(max(-(-len(b) // 192), 1) * 192))
     assert media.media_columns(empty).count() == 0
 
 
@@ -362,22 +381,6 @@ def test_media_range_starts_inside_look_alike_members(spark, tmp_path):
     assert sorted((r.member, bytes(r.media)) for r in got.collect()) == sorted(members)
 
 
-def test_media_retries_by_offset_and_reports(spark, tmp_path, monkeypatch):
-    png = media.encode_png(b" " * 192)
-    bad = bytearray(png)
-    bad[45] ^= 1
-    media.write_archives(spark.createDataFrame([("a", png), ("b", bytes(bad)), ("c", png)], "member string, media binary").coalesce(1), str(tmp_path / "a"))
-    got = {r.member: r for r in media.read_archives(spark, str(tmp_path / "a"), onError="row", retries=1).collect()}
-    assert got["b"].error and got["b"].media is None and bytes(got["c"].media) == png
-    with pytest.raises(Exception, match="at "):
-        media.read_archives(spark, str(tmp_path / "a"), retries=0).collect()
-    reader = media.ArchiveReader({"path": str(tmp_path / "a"), "onerror": "row", "retries": 1})
-    monkeypatch.setattr(media.time, "sleep", lambda s: None)
-    monkeypatch.setattr(reader, "_again", lambda path, at: ("b", png))
-    read = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
-    assert [r["error"] for r in read] == [None] * 3
-
-
 def test_png_filters():
     x = np.arange(192 * 3, dtype=np.uint8).reshape(3, 192)
     lines = np.zeros((3, 193), np.uint8)

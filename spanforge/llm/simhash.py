@@ -20,7 +20,7 @@ on the third: no link is lost.
 similarity j have cosine about 2j / (1 + j) and differ in the share arccos / pi of
 the bits: 39 of 256 at 0.8, 49 at 0.7, 128 if unrelated, a text that repeats a few
 lines aside.  Not every pair within the bits meets at an anchor: the README gives the
-shares of edited copies that link.  Which pairs link depends on the prints alone.
+shares of edited copies that link.  ``similar`` confirms such pairs by their shingles.
 
 Equal fingerprints are one row throughout.  An anchor with more than ``crowd`` rows
 is cut into blocks, and each pair of a block of residents and one of visitors is a
@@ -82,11 +82,11 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint_words(text: bytes, width: int = 4, words: int = 1) -> tuple[int, ...]:
-    """The fingerprint of UTF-8 bytes: ``words`` numbers of 0 to 2**64 - 1."""
+def shingle_hashes(text: bytes, width: int = 4) -> np.ndarray:
+    """XXH64 of each ``width``-word shingle of UTF-8 bytes, repeats included."""
     tokens = text.lower().split()  # ASCII case and ASCII white space only
     if not tokens:
-        return (0,) * words
+        return np.zeros(0, np.uint64)
     flat = b" ".join(tokens)
     if len(tokens) <= width:
         digests = [xxhash.xxh64_digest(flat, 42)]
@@ -94,13 +94,23 @@ def fingerprint_words(text: bytes, width: int = 4, words: int = 1) -> tuple[int,
         starts = [0, *accumulate(len(w) + 1 for w in tokens)]
         digest = xxhash.xxh64_digest
         digests = [digest(flat[a : b - 1], 42) for a, b in zip(starts, starts[width:])]  # noqa: B905
+    return np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+
+
+def print_of(hashes: np.ndarray, words: int = 1) -> tuple[int, ...]:
+    """The fingerprint of shingle hashes: ``words`` numbers of 0 to 2**64 - 1."""
     ones = np.zeros((words, 64), np.int64)
-    for i in range(0, len(digests), 1 << 12):
-        h = np.frombuffer(b"".join(digests[i : i + (1 << 12)]), ">u8").astype(np.uint64)
+    for i in range(0, len(hashes), 1 << 12):
+        h = hashes[i : i + (1 << 12)]
         for k in range(words):
             mixed = (_mixed(h, k) if k else h).astype(">u8").view(np.uint8).reshape(-1, 8)
             ones[k] += np.unpackbits(mixed, axis=1).sum(axis=0, dtype=np.int64)
-    return tuple(int.from_bytes(row.tobytes(), "big") for row in np.packbits(2 * ones > len(digests), axis=1))
+    return tuple(int.from_bytes(row.tobytes(), "big") for row in np.packbits(2 * ones > len(hashes), axis=1))
+
+
+def fingerprint_words(text: bytes, width: int = 4, words: int = 1) -> tuple[int, ...]:
+    """The fingerprint of UTF-8 bytes: ``words`` numbers of 0 to 2**64 - 1."""
+    return print_of(shingle_hashes(text, width), words)
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -294,22 +304,3 @@ def simhash_groups(docs: DataFrame, width: int = 4) -> DataFrame:
     root = common.scratch(docs.sparkSession, "simhash")
     prints = common.settle(fingerprints(docs, width), f"{root}/prints")
     return prints.join(_grouped(prints, root), "fp")
-
-
-def one_of_each(docs: DataFrame, width: int = 5, layout: Layout = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` with only one of each near-duplicate group: the one of
-    smallest doc_id (then text hash, then first as read). Columns of any name stay."""
-    root = common.scratch(docs.sparkSession, "simhash")
-    rows = common.numbered(docs, f"{root}/rows")
-    known = rows.select("rid", common.row_doc_id().alias("did"), F.xxhash64(common.row_text()).alias("th"), common.row_text().alias("text"))
-    schema = ", ".join(f"{c} long" for c in layout.columns[: layout.words])
-    prints = known.mapInArrow(_fingerprints(width, layout.words, "rid"), f"rid long, did long, th long, {schema}")
-    # one row a fingerprint: the first document of it, whose number names the node
-    place = F.struct("did", "th", "rid")
-    first = prints.groupBy(*layout.columns[: layout.words]).agg(F.min(place).alias("place"))
-    first = common.settle(first.select("*", F.col("place.rid").alias("node")), f"{root}/first")
-    groups = linked_fingerprints(first, root, layout=layout)
-    own = "node" if layout.words > 1 else "fp"
-    named = first.join(groups.select(F.col("node").alias("_n"), "component"), F.col(own) == F.col("_n"), "left")
-    kept = named.groupBy(F.coalesce("component", own).alias("c")).agg(F.min("place").alias("place")).select("place.rid")
-    return rows.join(kept, "rid", "left_semi").select("row.*")

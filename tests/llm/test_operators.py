@@ -13,7 +13,7 @@ import xxhash
 from conftest import ODD, frame
 from pyspark.sql import functions as F
 
-from spanforge.llm import common, embed_dedup, language_id, license_scan, media, mixing, packing, queries, simhash, token_counts
+from spanforge.llm import common, embed_dedup, language_id, license_scan, media, mixing, packing, queries, similar, simhash, token_counts
 
 TOK = queries.TOKENIZERS
 
@@ -65,12 +65,26 @@ def meet(a, b):
 
 
 def check_one_of_each(texts, kept):
-    """``texts`` by id, the ids kept of them."""
-    prints = {i: plain_print(t) for i, t in texts.items()}
-    must = brute.components(sorted(prints), lambda a, b: meet(prints[a], prints[b]))
-    may = brute.components(sorted(prints), lambda a, b: near(prints[a], prints[b]))
-    assert all(n == 1 for n in Counter(must[i] for i in kept).values())
-    assert set(may.values()) <= set(kept) <= set(must.values())
+    """``texts`` by id, the ids kept of them: each that went has a partner of similarity 0.8
+    or more that joins it, over such links, to one that stayed and comes before it."""
+    sets = {i: Counter(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) or Counter([tuple(t.lower().split())]) for i, t in texts.items()}
+    by_shingle = {}
+    for i, s in sets.items():
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+
+    def alike(i):
+        met = {j for x in sets[i] for j in by_shingle[x]} - {i}
+        return {j for j in met if sum((sets[i] & sets[j]).values()) >= 0.8 * sum((sets[i] | sets[j]).values())}
+
+    links = {i: alike(i) for i in texts}
+    group = brute.components(sorted(texts), lambda a, b: b in links[a])
+    kept = set(kept)
+    assert set(group.values()) <= kept  # the first of each group stays, and so whoever is alone
+    went = [i for i in texts if i not in kept]
+    assert all(links[i] for i in went)
+    assert sum(group[i] == i for i in texts) <= len(kept)
+    return links
 
 
 def jaccard(a, b):
@@ -86,17 +100,46 @@ def test_one_of_each_against_brute_force_and_planted_copies(spark, documents):
             clean[r.doc_id] = r.text
     assert len(clean) > 20
     texts, planted = dict(clean), {}
+
+    def changed(words):
+        return [w if rng.random() > share else f"edit{rng.randrange(10**6)}" for w in words]
+
+    def inserted(words):
+        return [x for w in words for x in ((w,) if rng.random() > share else (w, f"more{rng.randrange(10**6)}"))]
+
+    def moved(words):
+        a, b, c = sorted(rng.sample(range(len(words)), 3))
+        return words[:a] + words[b:c] + words[a:b] + words[c:]
+
     for i, text in clean.items():
-        for share in (0.005, 0.01, 0.015, 0.02):
-            words = [w if rng.random() > share else f"edit{rng.randrange(10**6)}" for w in text.split()]
-            planted[10**6 + len(planted)] = (i, " ".join(words))
-    texts |= {k: t for k, (_, t) in planted.items()}
-    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("doc_id").collect()}
-    check_one_of_each(texts, kept)
+        for edit, share in ((changed, 0.005), (changed, 0.01), (changed, 0.02), (inserted, 0.01), (inserted, 0.02), (moved, 0)):
+            planted[10**6 + len(planted)] = (i, edit.__name__, " ".join(edit(text.split())))
+    texts |= {k: t for k, (_, _, t) in planted.items()}
+    kept = {r.doc_id for r in similar.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("doc_id").collect()}
+    links = check_one_of_each(texts, kept)
     assert set(clean) <= kept
-    alike = {k: jaccard(t, clean[i]) for k, (i, t) in planted.items()}
-    assert sum(k not in kept for k, j in alike.items() if j >= 0.9) >= 0.98 * sum(j >= 0.9 for j in alike.values())
-    assert sum(k not in kept for k, j in alike.items() if j >= 0.8) >= 0.93 * sum(j >= 0.8 for j in alike.values())
+    assert all(links[k] for k in texts if k not in kept)  # nobody goes without a partner
+    for kind in ("changed", "inserted", "moved"):
+        alike = {k: jaccard(t, clean[i]) for k, (i, how, t) in planted.items() if how == kind}
+        close = [k for k, j in alike.items() if j >= 0.8]
+        assert len(close) >= 20 and sum(k not in kept for k in close) >= 0.93 * len(close), kind
+        assert sum(k not in kept for k, j in alike.items() if j >= 0.9) >= 0.98 * sum(j >= 0.9 for j in alike.values())
+
+
+def test_texts_that_only_share_lines_stay(spark):
+    """Repeated lines rule the prints, and the shingles tell the texts apart."""
+    rng = random.Random(5)
+    line = "the same line stands here many times over "
+    rows = [(i, line * 40 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))) for i in range(30)]
+    assert similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 30
+    again = rows + [(100 + i, t.upper()) for i, t in rows] + [(200 + i, t + " end") for i, t in rows]
+    kept = {r.doc_id for r in similar.one_of_each(spark.createDataFrame(again, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == set(range(30))
+
+
+def test_similarity_of_multisets():
+    assert similar.similarity(np.array([1, 1, 2, 3]), np.array([1, 2, 2, 4])) == 2 / 6
+    assert similar.similarity(np.array([]), np.array([])) == 1 and similar.similarity(np.array([1]), np.array([])) == 0
 
 
 def test_simhash_against_brute_force(spark, small, documents):
@@ -142,9 +185,9 @@ def test_simhash_odd_rows(odd, empty):
     zero = [r for r in got if r.fp == 0]
     assert {r.did for r in zero} >= {1, 2, 10} and {r.component for r in zero} == {1}
     assert simhash.simhash_groups(empty).count() == 0
-    kept = simhash.one_of_each(odd)
+    kept = similar.one_of_each(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 4").count() + kept.where("doc_id = 3").count() == 1
-    assert simhash.one_of_each(empty).count() == 0
+    assert similar.one_of_each(empty).count() == 0
 
 
 # --- mixing ----------------------------------------------------------------
@@ -592,7 +635,7 @@ def test_by_key_gives_whole_keys():
 
 def test_stages_keep_columns_of_any_name(odd):
     more = odd.withColumns({c: F.lit(c) for c in ("target", "taken", "before", "ramp", "source_size", "lang_pred", "score", "rate", "row", "rid", "at", "read", "fp", "c", "place", "_d", "_t", "_did", "_th", "_at", "_read", "_size", "_kept", "_copies")})
-    for stage in (mixing.mixed_documents, language_id.in_known_language, simhash.one_of_each):
+    for stage in (mixing.mixed_documents, language_id.in_known_language, similar.one_of_each):
         out = stage(more)
         assert out.columns == more.columns
         assert all(r[c] == c for r in out.collect() for c in more.columns[len(odd.columns) :])

@@ -66,10 +66,10 @@ def test_stages_against_plain_versions(spark, small, documents, tmp_path):
 def test_scratch_of_written_steps_goes(spark, odd, tmp_path):
     from pathlib import Path
 
-    from spanforge.llm import common, simhash
+    from spanforge.llm import common, similar
 
     scratch = common.Scratch()
-    first = scratch.step(odd, simhash.one_of_each)
+    first = scratch.step(odd, similar.one_of_each)
     made = list(scratch.left)
     assert made and all(Path(p).exists() for p in made)
     again = scratch.step(first, lambda rows: rows)  # not written: its input stays

@@ -5,11 +5,11 @@ the strongest first (an orthogonal map, so cosines stay).  Equal vectors are one
 row with a multiplicity.  Rows are cut into tiles by a k-d tree over the leading
 axes.  Two vectors of cosine c are ``sqrt(2 - 2c)`` apart, so tiles whose boxes
 lie farther apart than the threshold allows are never compared.  In a pair of
-tiles the leading axes are multiplied first; the rest of each product is at most
-the product of the two suffix norms (Cauchy-Schwarz), and pairs that cannot reach
-the threshold are left there; if few are left only those are finished, one by
-one.  Cosines within 1e-9 of the threshold are computed anew from the vectors as
-given.  A pair of tiles gives out link counts and a spanning forest, not its pairs.
+tiles the leading axes are multiplied first, and then more of them in steps that double;
+at each step the rest of a product is at most the product of the two suffix norms
+(Cauchy-Schwarz), and pairs that cannot reach the threshold stop there.  Cosines within
+1e-9 of the threshold are computed anew from the vectors as given, which are fetched for
+those pairs only.  A pair of tiles gives out link counts and a spanning forest, not its pairs.
 
 The axes are fitted on sums over all rows (a d x d matrix), the tree on a bounded
 sample of ``sample`` rows; both only steer the work, and the result does not
@@ -102,7 +102,7 @@ def _leaf_of(nodes, x: np.ndarray) -> np.ndarray:
 
 
 def _turned(axes: np.ndarray, nodes, d: int):
-    """(c, n, v) -> (tile, c, n, v, x): x the turned unit vector."""
+    """(c, n, v) -> (tile, c, n, x): x the turned unit vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +110,7 @@ def _turned(axes: np.ndarray, nodes, d: int):
                 continue
             x = _unit(batch, d) @ axes
             tile = _leaf_of(nodes, x[:, :_BOX])
-            yield pa.RecordBatch.from_arrays([pa.array(tile), batch.column("c"), batch.column("n"), batch.column("v"), pa.array(list(x), type=pa.list_(pa.float64()))], names=["tile", "c", "n", "v", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(tile), batch.column("c"), batch.column("n"), pa.array(list(x), type=pa.list_(pa.float64()))], names=["tile", "c", "n", "x"])
 
     return run
 
@@ -127,48 +127,64 @@ def _near_tiles(boxes: list, threshold: float) -> list[tuple[int, int]]:
     return out
 
 
-def linked(x: np.ndarray, y: np.ndarray, vx: list, vy: list, threshold: float, lead: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows with a cosine of at least the threshold."""
-    rest_x, rest_y = np.linalg.norm(x[:, lead:], axis=1), np.linalg.norm(y[:, lead:], axis=1)
-    part = x[:, :lead] @ y[:, :lead].T
-    a, b = np.nonzero(part + np.outer(rest_x, rest_y) >= threshold - _CLOSE)
-    if len(a) * 16 > part.size:  # many are left: finish them together
-        part += x[:, lead:] @ y[:, lead:].T
-        value = part[a, b]
-    else:
-        value = part[a, b]
-        for i in range(0, len(a), 1 << 18):
-            s = slice(i, i + (1 << 18))
-            value[s] += np.einsum("ij,ij->i", x[a[s], lead:], y[b[s], lead:])
-    sure = value >= threshold + _CLOSE
-    for i in np.flatnonzero(np.abs(value - threshold) < _CLOSE):
-        p, q = np.array(vx[a[i]], float), np.array(vy[b[i]], float)
-        n = max(len(p), len(q))
-        p, q = (np.pad(z, (0, n - len(z))) / np.abs(z).max() for z in (p, q))
-        sure[i] = p @ q / (np.linalg.norm(p) * np.linalg.norm(q)) >= threshold
-    return a[sure], b[sure]
+def stops(d: int, lead: int) -> list[int]:
+    """Numbers of leading axes after which pairs are looked at: ``lead``, doubled, ..., all."""
+    out = [min(max(lead, 1), d)]
+    while out[-1] < d:
+        out.append(min(2 * out[-1], d))
+    return out
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of rows whose cosine is not surely below the threshold, and whether it is
+    surely at least that. At each stop a pair goes whose product so far and the product of
+    its suffix norms cannot reach the threshold; the rest is multiplied for pairs that stay
+    only, one by one once they are few."""
+    a = b = value = None
+    done, part = 0, np.zeros((len(x), len(y)))
+    for stop in stops(x.shape[1], lead):
+        if a is None or len(a) * 16 > part.size:  # many are left: go on with all of them
+            part += x[:, done:stop] @ y[:, done:stop].T
+            value = part.ravel() if a is None else part[a, b]
+        else:
+            for i in range(0, len(a), 1 << 18):
+                s = slice(i, i + (1 << 18))
+                value[s] += np.einsum("ij,ij->i", x[a[s], done:stop], y[b[s], done:stop])
+        rest_x, rest_y = np.linalg.norm(x[:, stop:], axis=1), np.linalg.norm(y[:, stop:], axis=1)
+        if a is None:
+            a, b = np.nonzero(part + np.outer(rest_x, rest_y) >= threshold - _CLOSE)
+            value = part[a, b]
+        else:
+            stays = value + rest_x[a] * rest_y[b] >= threshold - _CLOSE
+            a, b, value = a[stays], b[stays], value[stays]
+        done = stop
+        if not len(a):
+            break
+    return a, b, value >= threshold + _CLOSE
 
 
 def _compare(threshold: float, lead: int, block: int = 2048):
-    """Rows of one pair of tiles -> per row its links there, and forest links."""
-    schema = pa.schema([("c", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
+    """Rows of one pair of tiles -> per row its links there, forest links, and the pairs too
+    close to the threshold to tell (links is then the weight of ``to``)."""
+    schema = pa.schema([("c", pa.int64()), ("links", pa.int64()), ("to", pa.int64()), ("unsure", pa.bool_())])
 
     def run(group: pa.Table) -> pa.Table:
         side, c, n = (group.column(k).to_numpy() for k in ("side", "c", "n"))
         x = group.column("x").combine_chunks()
         x = x.values.to_numpy().reshape(len(c), -1) if len(c) else np.zeros((0, 1))
-        v = group.column("v")
         first, second = np.flatnonzero(side < 2), np.flatnonzero((side == 0) | (side == 2))
         same = bool((side == 0).all())
-        links, left, right = np.zeros(len(c), np.int64), [], []
+        links, left, right, open_ = np.zeros(len(c), np.int64), [], [], []
         for i in range(0, len(first), block):
             for j in range(i if same else 0, len(second), block):
                 p, q = first[i : i + block], second[j : j + block]
-                a, b = linked(x[p], x[q], _Lazy(v, p), _Lazy(v, q), threshold, lead)
+                a, b, sure = linked(x[p], x[q], threshold, lead)
                 a, b = p[a], q[b]
                 if same:
                     up = a < b
-                    a, b = a[up], b[up]
+                    a, b, sure = a[up], b[up], sure[up]
+                open_.append(np.stack([a[~sure], b[~sure]], axis=1))
+                a, b = a[sure], b[sure]
                 np.add.at(links, a, n[b])
                 np.add.at(links, b, n[a])
                 top = forest(a, b, len(c))
@@ -177,22 +193,32 @@ def _compare(threshold: float, lead: int, block: int = 2048):
                 right.append(top[moved])
         at = np.flatnonzero(links)
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
-        return pa.table({"c": np.concatenate([c[at], c[a]]), "links": np.concatenate([links[at], np.zeros(len(a), np.int64)]), "to": np.concatenate([c[at], c[b]])}, schema=schema)
+        u = np.concatenate(open_) if open_ else np.zeros((0, 2), np.int64)
+        u = np.concatenate([u, u[:, ::-1]])
+        kind = np.repeat([False, True], [len(at) + len(a), len(u)])
+        return pa.table({"c": np.concatenate([c[at], c[a], c[u[:, 0]]]), "links": np.concatenate([links[at], np.zeros(len(a), np.int64), n[u[:, 1]]]), "to": np.concatenate([c[at], c[b], c[u[:, 1]]]), "unsure": kind}, schema=schema)
 
     return run
 
 
-class _Lazy:
-    """Vectors as given, read only where one is asked for."""
+def _settled(threshold: float):
+    """Pairs too close to tell, with their vectors as given -> those that are linked."""
+    schema = pa.schema([("c", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
 
-    def __init__(self, column, index):
-        self.column, self.index = column, index
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for p, q in zip(batch.column("v").to_pylist(), batch.column("w").to_pylist(), strict=True):
+                n = max(len(p), len(q))
+                p, q = (np.pad(np.array(z, float), (0, n - len(z))) / np.abs(z).max() for z in (p, q))
+                good.append(bool(p @ q / (np.linalg.norm(p) * np.linalg.norm(q)) >= threshold))
+            some = batch.select(["c", "links", "to"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(some.columns, schema=schema)
 
-    def __getitem__(self, i):
-        return self.column[int(self.index[i])].as_py()
+    return run
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, column: str = "embedding", key: str = "vec_id", tile: int = 4096, lead: int = 24, sample: int = 100_000) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, column: str = "embedding", key: str = "vec_id", tile: int = 4096, lead: int = 8, sample: int = 100_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row. See the module for its rules."""
     spark = vectors.sparkSession
     root = common.scratch(spark, "embeddings")
@@ -221,7 +247,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, column: str = "
     points = np.array([np.pad(p, (0, d - len(p))) / np.abs(p).max() for p in points]).reshape(len(points), d)
     points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300) @ axes[:, :_BOX]
     nodes = _tree(points, max(1, round(total / tile)))
-    turned = classes.select("c", "n", "v").mapInArrow(_turned(axes, nodes, d), "tile long, c long, n long, v array<double>, x array<double>")
+    turned = classes.select("c", "n", "v").mapInArrow(_turned(axes, nodes, d), "tile long, c long, n long, x array<double>")
     turned = common.settle(turned, f"{root}/turned")
     crowd = {r["tile"]: -(-r["n"] // (2 * tile)) for r in turned.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * tile).collect()}
     if crowd:  # a leaf that the sample misjudged is dealt out
@@ -233,9 +259,12 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, column: str = "
     pairs = _near_tiles(boxes, threshold)
     visits = [(p, i, *((a, 0) if a == z else (t, s))) for i, (a, z) in enumerate(pairs) for p, (t, s) in [(0, (a, 1)), (1, (z, 2))] if not (a == z and p)]
     visits = spark.createDataFrame([(t, i, s) for _, i, t, s in visits], "tile long, pair long, side int")
-    met = turned.join(visits, "tile").select("pair", "side", "c", "n", "v", "x")
-    found = met.groupBy("pair").applyInArrow(_compare(threshold, min(lead, d)), "c long, links long, to long")
+    met = turned.join(visits, "tile").select("pair", "side", "c", "n", "x")
+    found = met.groupBy("pair").applyInArrow(_compare(threshold, min(lead, d)), "c long, links long, to long, unsure boolean")
     found = common.settle(found, f"{root}/found")
+    close = found.where("unsure").drop("unsure").join(classes.select("c", "v"), "c").join(classes.select(F.col("c").alias("to"), F.col("v").alias("w")), "to")
+    close = common.settle(close.select("c", "links", "to", "v", "w").mapInArrow(_settled(threshold), "c long, links long, to long"), f"{root}/close")
+    found = found.where("not unsure").drop("unsure").unionByName(close)
     counts = found.groupBy("c").agg(F.sum("links").alias("links"))
     groups = connected(found.where("c <> to").select(F.col("c").alias("a"), F.col("to").alias("b")), root)
     named = classes.join(counts, "c", "left").join(groups.withColumnRenamed("node", "c"), "c", "left")

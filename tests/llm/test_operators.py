@@ -676,3 +676,15 @@ def test_simhash_parts_of_a_crowded_anchor_are_small(spark):
         parts = Counter((r["key"], r["part"]) for r in out)
         assert max(parts[p] for p in parts if p[0] in split) <= 3 * crowd
         assert max(Counter((r["key"], r["part"], r["home"], r["fp"]) for r in out).values()) == 1
+
+
+def test_products_stop_where_the_threshold_is_out_of_reach():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 48)) * np.linspace(3, 0.2, 48)
+    x = np.concatenate([x, x[:60] + rng.normal(size=(60, 48)) * 0.05])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(x[:200] @ x[100:].T >= 0.95), strict=True)}
+    for lead in (1, 3, 8, 48, 100):
+        assert embed_dedup.stops(48, lead)[-1] == 48
+        a, b, sure = embed_dedup.linked(x[:200], x[100:], 0.95, lead)
+        assert sure.all() and set(zip(a.tolist(), b.tolist(), strict=True)) == want

@@ -51,7 +51,7 @@ def caption_payloads(captions: DataFrame) -> DataFrame:
 def event_stage(captions: DataFrame, segments: DataFrame, client: Callable[[], Client], gap: float, draws: int = 3) -> DataFrame:
     """Emotion events: drawn until a draw keeps under twice the captions (10 at least)
     and the smallest draw otherwise, cut to that ceiling, checked, merged, resolved."""
-    p = caption_payloads(captions).withColumn("ceiling", F.greatest(2 * F.col("n"), F.lit(10)))
+    p = settled(caption_payloads(captions).withColumn("ceiling", F.greatest(2 * F.col("n"), F.lit(10))))
     drawn, todo = None, p
     for k in range(1, draws + 1):  # only videos without a fitting draw are asked again
         tries = todo.withColumns({"draw": F.lit(k), "key": F.concat_ws("\t", "video_id", F.lit(k)), "prompt": F.concat(F.lit("events\n"), F.col("payload")), "media": F.array().cast("array<string>")})
@@ -121,29 +121,34 @@ def verify_loop(queries: DataFrame, client: Callable[[], Client], max_rewrites:
     """Traces after at most ``max_rewrites`` + 1 rounds. Pass: accepted. Revise with a
     suggestion and rewrites left: the suggestion is verified next round. Anything else:
     discarded. Then each video keeps its first ``max_accepted`` by id."""
-    state = queries.select("video_id", "query_id", "query_type", F.col("query_text").alias("initial_text"), F.col("query_text").alias("text"), F.lit(0).alias("rewrite_count"), F.lit("pending").alias("final_status"), F.array().cast("array<struct<round_index:int,decision:string,failure_reason:string>>").alias("rounds"))
-    for k in range(1, max_rewrites + 2):
-        open_ = state.where("final_status = 'pending'")
+    rounds = F.array().cast("array<struct<round_index:int,decision:string,failure_reason:string>>")
+    open_ = queries.select("video_id", "query_id", "query_type", F.col("query_text").alias("initial_text"), F.col("query_text").alias("text"), F.lit(0).alias("rewrite_count"), rounds.alias("rounds"))
+    closed = None
+    for k in range(1, max_rewrites + 2):  # a round sees and writes the open queries only
         verdicts = verify(open_, client).select("video_id", "query_id", "decision", "failure_reason", F.trim(F.coalesce("suggested_revision", F.lit(""))).alias("suggestion"))
-        rows = state.join(verdicts, ["video_id", "query_id"], "left")
+        rows = open_.join(verdicts, ["video_id", "query_id"], "left")
         judged = F.col("decision").isNotNull()
-        again = (F.col("decision") == "revise") & (F.length("suggestion") > 0) & (F.col("rewrite_count") < max_rewrites)
+        again = judged & (F.col("decision") == "revise") & (F.length("suggestion") > 0) & (F.col("rewrite_count") < max_rewrites)
         state = settled(
             rows.select(
                 "video_id",
                 "query_id",
                 "query_type",
                 "initial_text",
-                F.when(judged & again, F.col("suggestion")).otherwise(F.col("text")).alias("text"),
-                (F.col("rewrite_count") + F.when(judged & again, 1).otherwise(0)).alias("rewrite_count"),
-                F.when(~judged, F.col("final_status")).when(F.col("decision") == "pass", "accepted").when(again, "pending").otherwise("discarded").alias("final_status"),
+                F.when(again, F.col("suggestion")).otherwise(F.col("text")).alias("text"),
+                (F.col("rewrite_count") + F.when(again, 1).otherwise(0)).alias("rewrite_count"),
+                F.when(F.col("decision") == "pass", "accepted").when(~judged | again, "pending").otherwise("discarded").alias("final_status"),
                 F.when(judged, F.concat("rounds", F.array(F.struct(F.lit(k).alias("round_index"), "decision", "failure_reason")))).otherwise(F.col("rounds")).alias("rounds"),
             )
         )
-        if state.where("final_status = 'pending'").isEmpty():
+        done = state.where("final_status <> 'pending'")
+        closed = done if closed is None else closed.unionByName(done)
+        open_ = state.where("final_status = 'pending'").drop("final_status")
+        if k <= max_rewrites and open_.isEmpty():
             break
-    state = state.withColumn("final_status", F.when(F.col("final_status") == "pending", "discarded").otherwise(F.col("final_status")))
-    return ranking.capped(state, "video_id", ["query_id"], max_accepted)
+    columns = ["video_id", "query_id", "query_type", "initial_text", "text", "rewrite_count", "final_status", "rounds"]
+    left = open_.withColumn("final_status", F.lit("discarded"))
+    return ranking.capped(closed.unionByName(left).select(columns), "video_id", ["query_id"], max_accepted)
 
 
 def refined(queries: DataFrame, replies: DataFrame) -> DataFrame:

@@ -77,3 +77,26 @@ def test_scratch_of_written_steps_goes(spark, odd, tmp_path):
     first.write.parquet(str(tmp_path / "first"))
     scratch.step(spark.read.parquet(str(tmp_path / "first")), lambda rows: rows)
     assert not any(Path(p).exists() for p in made) and scratch.left == []
+
+
+def _run(spark, docs, small, folder):
+    counts, columns = [], docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, small).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+        counts.append(docs.count())
+        if i < 4:
+            assert docs.columns == columns
+    return counts, docs
+
+
+def test_all_stages_on_odd_rows_and_an_empty_table(spark, odd, empty, documents, small, tmp_path):
+    some = documents.select(*[c for c in odd.columns if c in documents.columns]).where("doc_id >= 20")
+    counts, packed = _run(spark, odd.unionByName(some, allowMissingColumns=True), small, tmp_path / "odd")
+    assert counts[0] >= counts[1] == counts[2] and counts[3] > 0
+    ids = {r.doc_id for r in packed.select("doc_id").distinct().collect()}
+    assert ids and 2 not in ids and 10 not in ids  # texts without a letter went
+    counts, _ = _run(spark, odd, small, tmp_path / "only odd")
+    assert len(counts) == 5
+    counts, packed = _run(spark, empty, small, tmp_path / "empty")
+    assert counts == [0] * 5 and packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

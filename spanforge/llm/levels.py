@@ -91,10 +91,12 @@ class RepeatIndex:
     """``members``: rows (rid, did, text) -> ``MEMBER``.  ``detail``: (documents with
     their questions, folder) -> marks, for windows of stretches that share a head.
     ``later``: mark only what stands earlier too (in the index, or in the batch by doc_id,
-    row and place); else every place of a repeat, those of earlier batches included."""
+    row and place); else every place of a repeat, those of earlier batches included.
+    ``lasting``: the index can be opened again whenever it stops; without, what a batch
+    has merged goes at once, which needs less disk."""
 
-    def __init__(self, spark: SparkSession, root: str, members: Callable[[DataFrame], DataFrame], detail: Callable[[DataFrame, str, int], DataFrame], *, later: bool, fanout: int = 2, dense: int = 20_000):
-        self.spark, self.root, self.later, self.fanout, self.dense = spark, root, later, max(fanout, 2), dense
+    def __init__(self, spark: SparkSession, root: str, members: Callable[[DataFrame], DataFrame], detail: Callable[[DataFrame, str, int], DataFrame], *, later: bool, fanout: int = 2, dense: int = 20_000, lasting: bool = True):
+        self.spark, self.root, self.later, self.fanout, self.dense, self.lasting = spark, root, later, max(fanout, 2), dense, lasting
         self._members, self._detail = members, detail
         self.state = {"step": 0, "batches": 0, "base": 0, "levels": [], "rows": [], "marks": [], "retired": []}
         self._reopened()
@@ -196,6 +198,10 @@ class RepeatIndex:
         lo, hi = starts_of(F.col("pab"))
         marked = found.where(F.col("kind") == _MARKED).select("rid", lo.alias("lo"), hi.alias("hi"))
         marked.write.parquet(f"{self.root}/marks-{k}/whole")
+        common.drop(spark, f"{self.root}/scan-{k}/kind={_MARKED}")
+        if due is not None and not self.lasting:
+            for path in state["levels"][due]:
+                common.drop(spark, path)
         asked = found.where(F.col("kind") == _ASKED)
         if frequent is not None:  # no more heads than there are in ``frequent``
             crowded = asked.where("salted").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > self.dense)

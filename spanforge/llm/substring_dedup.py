@@ -191,10 +191,10 @@ class SubstringIndex(levels.RepeatIndex):
     """The index in a folder: ``add`` batches of documents, ask for ``cuts`` at any
     time; opened again on the same folder, it goes on with the next batch."""
 
-    def __init__(self, spark: SparkSession, root: str, window: int = 20, fanout: int = 2, dense: int = 20_000):
+    def __init__(self, spark: SparkSession, root: str, window: int = 20, fanout: int = 2, dense: int = 20_000, lasting: bool = True):
         self.window = window
         geo = anchors.geometry(window, words=True)
-        super().__init__(spark, root, lambda texts: texts.mapInArrow(_members(geo), levels.MEMBER), self._windows, later=True, fanout=fanout, dense=dense)
+        super().__init__(spark, root, lambda texts: texts.mapInArrow(_members(geo), levels.MEMBER), self._windows, later=True, fanout=fanout, dense=dense, lasting=lasting)
 
     def _windows(self, known: DataFrame, folder: str, base: int) -> DataFrame:
         pieces = common.settle(known.select("did", "rid", "text", "items").mapInArrow(_pieces(self.window, base), _PIECES), folder)
@@ -219,7 +219,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 3, fanout:
     runs a level holds before they merge; ``dense``: stretches under one anchor beyond
     which windows are compared by digests. See the module for its rules."""
     spark = docs.sparkSession
-    index = SubstringIndex(spark, common.scratch(spark, "substring-dedup"), window, fanout, dense)
+    index = SubstringIndex(spark, common.scratch(spark, "substring-dedup"), window, fanout, dense, lasting=False)
     ident = F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NO_ID).cast("long"))
     cuts = docs.select(ident.cast("double").alias("i")).approxQuantile("i", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted(set(cuts)), None]

@@ -223,10 +223,10 @@ class SuffixIndex(levels.RepeatIndex):
     """The index family in a folder: ``add`` batches of documents, ask for ``cuts`` at
     any time; opened again on the same folder, it goes on with the next batch."""
 
-    def __init__(self, spark: SparkSession, root: str, window: int = 400, fanout: int = 2, dense: int = 20_000):
+    def __init__(self, spark: SparkSession, root: str, window: int = 400, fanout: int = 2, dense: int = 20_000, lasting: bool = True):
         self.window = window
         geo = anchors.geometry(window, words=False)
-        super().__init__(spark, root, lambda texts: texts.mapInArrow(_members(geo), levels.MEMBER), self._windows, later=False, fanout=fanout, dense=dense)
+        super().__init__(spark, root, lambda texts: texts.mapInArrow(_members(geo), levels.MEMBER), self._windows, later=False, fanout=fanout, dense=dense, lasting=lasting)
 
     def _windows(self, known: DataFrame, folder: str, base: int) -> DataFrame:
         pieces = common.settle(known.select("rid", "text", "items").mapInArrow(_pieces(self.window), _PIECES), folder)
@@ -252,7 +252,7 @@ class SuffixIndex(levels.RepeatIndex):
 
 
 def _indexed(docs: DataFrame, window: int, batches: int, fanout: int, dense: int, finish: bool = True) -> SuffixIndex:
-    index = SuffixIndex(docs.sparkSession, common.scratch(docs.sparkSession, "suffix-dedup"), window, fanout, dense)
+    index = SuffixIndex(docs.sparkSession, common.scratch(docs.sparkSession, "suffix-dedup"), window, fanout, dense, lasting=False)
     batch = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(batches))
     for i in range(batches):
         index.add(docs.where(batch == i))

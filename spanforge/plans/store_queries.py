@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload, schema
 from ..operators import batches, counting, evals
-from ..sources import committed, model, records, runs
+from ..sources import committed, inputs, model, records, runs
 from ..streaming import append, islands
 from .registry import _micros, query
 from .run_queries import _G, _ORD, _folder, _spans
@@ -314,3 +314,31 @@ def similar_spans(t):
     return evals.similar_span(pairs, "k", 0.4, 1)
 
 
+
+
+@query("SELECT event_id::VARCHAR AS query_id, CASE WHEN event_id % 3 = 0 THEN 'HALLUC' ELSE 'GOOD' END AS label, CASE WHEN event_id % 2 = 0 THEN event_type || '; «' || event_id || '»' ELSE event_type END AS cue, (event_id % 3)::INTEGER AS n_clips FROM events")
+def cue_inputs(t):
+    """A cue test set from its file, lists of cues joined."""
+    i, e = F.col("event_id"), t("events")
+    label = F.when(i % 3 == 0, "HALLUC").otherwise("GOOD")
+    clips = F.transform(F.sequence(F.lit(0).cast("long"), i % 3), lambda k: F.concat(F.lit("c"), k))
+    rows = e.select(i.cast("string").alias("query_id"), label.alias("label"), F.when(i % 2 == 0, F.array(F.col("event_type"), F.concat(F.lit("«"), i, F.lit("»")))).alias("many"), "event_type", F.slice(clips, F.lit(1), (i % 3).cast("int")).alias("clips"))
+    folder = _folder(e, "cues")
+    for name, some in (("many", rows.where("many is not null").withColumn("cue", F.col("many"))), ("one", rows.where("many is null").withColumn("cue", F.col("event_type")))):
+        records.write_jsonl(some.select("query_id", "label", "cue", "clips"), f"{folder}/{name}")
+    return inputs.read_cues(e.sparkSession, f"{folder}/*").select("query_id", "label", "cue", F.size("clips").alias("n_clips"))
+
+
+@query("SELECT event_id::VARCHAR AS query_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 9 + CASE WHEN event_id % 5 = 0 THEN 100 ELSE 0 END END::DOUBLE AS start FROM events")
+def predictions_read(t):
+    """Gold rows with the last prediction of each query."""
+    i, e = F.col("event_id"), t("events")
+    key = i.cast("string").alias("query_id")
+    folder = _folder(e, "grounding")
+    records.write_jsonl(e.select(key, F.concat(F.lit("v"), "user_id").alias("video_id"), F.lit(60.0).alias("duration")), f"{folder}/gold")
+    span = lambda s: F.array(s.cast("double"), s.cast("double") + 4).alias("pred")
+    first = e.where("event_id % 7 <> 0").select(key, span(i % 9), F.lit(0).alias("k"))
+    again = e.where("event_id % 7 <> 0 and event_id % 5 = 0").select(key, span(i % 9 + 100), F.lit(1).alias("k"))
+    first.unionByName(again).coalesce(1).sortWithinPartitions("k").select("query_id", "pred").write.json(f"{folder}/pred")
+    rows = inputs.grounding_inputs(e.sparkSession, f"{folder}/gold", f"{folder}/pred")
+    return rows.select("query_id", F.get("pred", F.lit(0)).alias("start"))

@@ -152,3 +152,30 @@ def test_warnings_and_clips(spark):
     clips = spark.createDataFrame([("v", 2, "new"), ("v", 2, "cut"), ("w", 1, "x")], "video_id string, index int, clip_path string")
     got = {r["index"]: r.clip_path for r in batches.with_extracted_clips(segments, clips).collect()}
     assert got == {i: "new" if i == 2 else None for i in range(1, 8)}
+
+
+def test_cues_are_flagged_unless_a_clip_shows_them(spark, tmp_path):
+    from spanforge.sources import inputs
+
+    lines = [{"query_id": "q1", "label": "GOOD", "cue": ["a smile", "a wave"], "clips": ["x/1.mp4", "x/2.mp4"]}, {"query_id": "q2", "label": "HALLUC", "cue": "tears", "clips": ["x/1.mp4"]}, {"query_id": "q3", "label": "GOOD", "cue": "x", "clips": []}]
+    (tmp_path / "cues.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    cues = inputs.read_cues(spark, str(tmp_path / "cues.jsonl"))
+
+    class Eyes:
+        def ask(self, prompt, media):
+            return " Yes, clearly" if "smile; a wave" in prompt and media == ["x/2.mp4"] else "no " + "n" * 200
+
+    got = {r.query_id: r for r in inputs.cue_stage(cues, Eyes, "Do you see {cue}?").collect()}
+    assert {k: r.flagged_hallucination for k, r in got.items()} == {"q1": False, "q2": True, "q3": True}
+    assert [(c.clip, c.verdict) for c in got["q1"].per_clip] == [("1.mp4", "NO"), ("2.mp4", "YES")] and len(got["q2"].per_clip[0].reply) == 120
+    assert got["q3"].per_clip == []
+
+
+def test_samples_and_selections_stay(spark, tmp_path):
+    from spanforge.sources import inputs
+
+    files = spark.createDataFrame([(f"p/{i}.mp4", f"v{i}") for i in range(50)], "path string, video_id string")
+    one = {r.video_id for r in inputs.sampled(files, 7, 3).collect()}
+    assert len(one) == 7 and one == {r.video_id for r in inputs.sampled(files.orderBy(F.rand()), 7, 3).collect()} != {r.video_id for r in inputs.sampled(files, 7, 4).collect()}
+    first = inputs.selection(files, 5, str(tmp_path / "s")).collect()
+    assert inputs.selection(files.limit(1), 9, str(tmp_path / "s")).collect() == first and len(first) == 5

@@ -9,7 +9,7 @@ from spanforge.sources import catalog, records
 from spanforge.sources.model import FakeClient
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ["run_round_trip", "runs_merged", "review_rows", "judge_captions_fake", "judge_summary_fake", "verify_batched_fake", "grounding_score", "too_narrow_proposals", "topk_cosine", "recall_at_n", "violations_by_kind", "stats_row", "source_captions", "first_extension", "videos_replaced", "stage_outputs", "scored_rows", "verification_metrics", "answers_appended", "stream_islands", "checked_documents", "event_rules", "stage_counters", "resample_sizes", "batched_answers_fake", "generation_prompts", "judge_prompt_texts", "clip_prompts", "verified_by_dimension_fake", "reground_table", "extracted_clips", "empty_stages", "similar_spans", "word_overlap_pairs"]
+NAMES = ["run_round_trip", "runs_merged", "review_rows", "judge_captions_fake", "judge_summary_fake", "verify_batched_fake", "grounding_score", "too_narrow_proposals", "topk_cosine", "recall_at_n", "violations_by_kind", "stats_row", "source_captions", "first_extension", "videos_replaced", "stage_outputs", "scored_rows", "verification_metrics", "answers_appended", "stream_islands", "checked_documents", "event_rules", "stage_counters", "resample_sizes", "batched_answers_fake", "generation_prompts", "judge_prompt_texts", "clip_prompts", "verified_by_dimension_fake", "reground_table", "extracted_clips", "empty_stages", "similar_spans", "word_overlap_pairs", "cue_inputs", "predictions_read"]
 
 
 def shown(v):

@@ -55,7 +55,7 @@ TAGS = {"article": 260, "main": 200, "nav": -900, "footer": -700, "aside": -800,
 ROLES = {"navigation": -900, "banner": -600, "contentinfo": -700, "complementary": -800, "search": -900, "menu": -900, "menubar": -900, "dialog": -900, "alertdialog": -900, "alert": -700, "toolbar": -900, "main": 200, "article": 260, "form": -900, "tablist": -900}
 #: Words in class, id, itemprop and aria-label.
 BAD_NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "adslot", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disclaimer",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adsbygoogle", "adbox", "adslot", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disclaimer",
     "disqus", "footer", "foot", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "overlay", "pager", "pagination", "paywall", "popup", "popover", "promo", "promoted", "promotion",
     "recommended", "recommendations", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "shares", "sidebar", "sidenav", "signup", "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription",
     "tags", "toc", "toolbar", "topbar", "widget", "widgets", "alert", "hidden", "discussion", "feedback", "reviews", "dropdown", "trending", "popular", "outbrain", "taboola",
@@ -63,6 +63,8 @@ BAD_NAMES = {
 GOOD_NAMES = {"article", "articlebody", "body", "content", "entry", "main", "page", "post", "story", "text"}
 MILD_NAMES = {"byline", "author", "dateline", "date", "meta", "metadata", "info", "credit", "caption", "header", "timestamp"}
 BAD_NAME, GOOD_NAME, MILD_NAME = -800, 90, -110
+#: A header of the page; one within an article may hold its title.
+PAGE_HEADER = -700
 OWN = {"p": 130, "h1": 90, "h2": 60, "h3": 50, "h4": 40, "h5": 20, "h6": 20, "blockquote": 90, "pre": 110, "li": -20, "td": -10, "th": -20, "figcaption": 10, "dd": 20, "dt": 10}
 LENGTH = ((4, -60), (10, 10), (25, 90), (60, 170))  # fewer words than the first: -60; at least 4: 10, ...
 SENTENCE, NO_LETTER, LINKED, HALF_LINKED = 50, -60, -320, -150
@@ -148,7 +150,8 @@ class Page:
     def _scores(self, name: str, rest: str) -> tuple[int, int]:
         """Mild log odds of a container, and the strong ones (or 0)."""
         score, strong = 0, 0
-        tag = TAGS.get(name, 0)
+        inside = "article" in self.depth or "main" in self.depth
+        tag = PAGE_HEADER if name == "header" and not inside else TAGS.get(name, 0)
         if abs(tag) >= 500:
             strong = tag
         else:
@@ -174,6 +177,8 @@ class Page:
         if name not in ("html", "body", "article", "main"):
             if words & BAD_NAMES:
                 strong = min(strong, BAD_NAME)
+            elif "header" in words and not inside and not words & GOOD_NAMES:
+                strong = min(strong, PAGE_HEADER)
         elif words & {"comment", "comments", "reply", "replies"} and name in ("article", "main"):
             strong = min(strong, BAD_NAME)
         if words & GOOD_NAMES and name not in ("html", "body"):

@@ -54,6 +54,9 @@ PAGES = {
     "references and space": (f"<article><p>Fish &amp; chips&nbsp;cost\n\t &pound;5 &lt;today&gt; &#8212; caf&eacute; &amp;amp; all, said the <b>cook</b>ing<br>school &am", "Fish & chips cost £5 <today> — café &amp; all, said the cooking school &am"),
     "lists and tables": (f"<article><p>{LONG}</p><ul><li>{MORE}<li>{MORE}</ul><table><tr><td>{LONG}<td>{MORE}</table><p>{MORE}</p></article>", "\n".join([LONG, MORE, MORE, LONG, MORE, MORE])),
     "inline advert": (f"<article><p>{LONG} <span class='ad'>Buy <span>this</span> now</span></p><p>{MORE}</p></article>", f"{LONG}\n{MORE}"),
+    "headers": (f"<header><p>{MORE}</p></header><div id='header'><p>{MORE}</p></div><main><header><h1>Bridge</h1></header><p>{LONG}</p></main>", f"Bridge\n{LONG}"),
+    "inserted advert": (f"<article><p>{LONG}</p><ins class='adsbygoogle'>{MORE}</ins><p>{MORE}</p></article>", f"{LONG}\n{MORE}"),
+    "reader comments": (f"<main><article><h1>T</h1><p>{LONG}</p></article><section class='comments'><h3>Comments</h3><div class='comment'><p>{MORE}</p></div></section></main>", f"T\n{LONG}"),
     "only boilerplate": ("<nav><a href=/>Home</a><a href=/a>About</a></nav><footer>&copy; Town</footer>", ""),
     "no markup": (f"{LONG} {MORE}", f"{LONG} {MORE}"),
     "broken off": (f"<body><article><p>{LONG}</p><p>{MORE}</p></article><footer><a href='x", f"{LONG}\n{MORE}"),

@@ -186,5 +186,45 @@ FROM v JOIN reach ON v.vec_id = reach.a LEFT JOIN (SELECT a, count(*) AS n FROM
 """
 
 
+# The pages of the tables have one article element each, of paragraphs and a title.
+_OP12 = r"""
+WITH cut AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1), '</?p>|</?h1>') AS parts FROM pages),
+plain AS (
+  SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '</?b>', '', 'g'), '<br>', ' '), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) FOR x IN parts] AS parts FROM cut),
+joined AS (
+  SELECT page_id, url, array_to_string([x FOR x IN parts IF x <> ''], chr(10)) AS text FROM plain)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM joined
+"""
+
+_OP13 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (
+  SELECT d, w, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents) GROUP BY d, w),
+hashed AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda k: CAST(instr('0123456789ABCDEF', x[2 * k + 1]) * 16 + instr('0123456789ABCDEF', x[2 * k + 2]) - 17 AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT w, n, hex(d || ':' || w) AS x FROM runs) CROSS JOIN tab),
+vocabulary AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+cut AS (
+  SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM cut x JOIN cut y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cut x JOIN vocabulary y ON y.word = x.a || x.b
+  UNION SELECT y.word, x.word, x.n FROM cut x JOIN vocabulary y ON y.word = x.a || x.b),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM vocabulary v LEFT JOIN best USING (word)),
+ways AS (
+  SELECT word, word AS here, 0 AS step FROM forms
+  UNION ALL SELECT w.word, f.form, step + 1 FROM ways w JOIN forms f ON f.word = w.here WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(here, step) AS root FROM ways GROUP BY word) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _OP4, "op7_embedding_dedup": _OP7, "op8_substring_dedup": _OP8, "op11_vector_codes": _OP11}
+    return {"op4_mix_sources": _OP4, "op7_embedding_dedup": _OP7, "op8_substring_dedup": _OP8, "op11_vector_codes": _OP11, "op12_main_text": _OP12, "op13_spelling_variants": _OP13}

@@ -29,6 +29,7 @@ def _judged(rows: DataFrame, key: list[str], client: Callable[[], Client], verdi
     replies = settled(model_stage(rows.where(F.size("media") > 0), client))
     got = rows.join(replies, "key", "left").withColumn("v", verdict)
     named = F.concat(F.lit(lost), F.col(key[-1]).cast("string"))
+    # Fixed value: how a failed call is reported.
     problem = F.when(F.size("media") == 0, named).when(F.col("error").isNotNull(), F.concat(F.lit("judge call failed: "), "error")).otherwise(F.col("v.parse_error"))
     heard = (F.size("media") > 0) & F.col("error").isNull()
     return got.select(*key, *[F.when(heard, F.col(f"v.{d}")).alias(d) for d in dims], problem.alias("parse_error"))
@@ -36,6 +37,7 @@ def _judged(rows: DataFrame, key: list[str], client: Callable[[], Client], verdi
 
 def judge_captions(captions: DataFrame, clips: DataFrame, client: Callable[[], Client]) -> DataFrame:
     """A verdict for each caption; ``clips`` is (video_id, segment_id, clip_path)."""
+    # Fixed value: what is said of a caption without a clip.
     rows = captions.join(clips, ["video_id", "segment_id"], "left")
     names = ["video_id", "segment_id", "time_range", "visual_description", "audio_description"]
     rows = rows.withColumns({"prompt": _prompt(rows, CAPTION_PROMPT, names), "media": F.array_compact(F.array("clip_path"))})
@@ -44,6 +46,7 @@ def judge_captions(captions: DataFrame, clips: DataFrame, client: Callable[[], C
 
 def judge_events(events: DataFrame, clips: DataFrame, client: Callable[[], Client]) -> DataFrame:
     """A verdict for each event; ``clips`` is (video_id, event_id, clip_paths)."""
+    # Fixed value: what is said of an event without clips.
     rows = events.join(clips, ["video_id", "event_id"], "left")
     names = ["video_id", "event_id", "time_range", "emotion_label", "event_description", "visual_evidence", "audio_evidence"]
     rows = rows.withColumns({"prompt": _prompt(rows, EVENT_PROMPT, names), "media": F.array_compact(F.coalesce("clip_paths", F.array().cast("array<string>")))})

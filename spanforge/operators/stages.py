@@ -198,5 +198,6 @@ def with_placeholders(captions: DataFrame, segments: DataFrame) -> DataFrame:
     """A caption for each segment: the first by ``pos``, or a neutral one."""
     first = ranking.first_wins(captions, ["video_id", "segment_id"], "pos")
     rows = segments.select("video_id", "segment_id").join(first, ["video_id", "segment_id"], "left")
+    # A caption that says nothing.
     neutral = {"person": "not described", "action": "not described", "sound": "no audible cue", "emotion": "neutral"}
     return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in neutral.items() if c in captions.columns})

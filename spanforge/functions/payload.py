@@ -148,8 +148,9 @@ EVENT_FIELDS = ("event_id", "emotion_label", "event_description", "time_range",
 
 
 def events_json(events: DataFrame) -> DataFrame:
-    """(video_id, json) of the events, without the segments they were placed on."""
-    return _json_of(events, ["video_id"], ["event_id"], [F.col(c) for c in EVENT_FIELDS])
+    """(video_id, json) of the events, without the segments they were placed on; in order
+    of ``pos`` if they have one, else of their ids."""
+    return _json_of(events, ["video_id"], [*(["pos"] if "pos" in events.columns else []), "event_id"], [F.col(c) for c in EVENT_FIELDS])
 
 
 def _videos(segments: DataFrame) -> DataFrame:

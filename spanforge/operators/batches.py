@@ -94,26 +94,28 @@ def verify_by_dimension(queries: DataFrame, client: Callable[[], ManyClient], te
     """(video_id, query_id, query_text, media array<string>) -> a verdict each.
 
     Each dimension is asked by itself, ``size`` queries of a video to a call, so a call is
-    all text or all clips. A call that fails fails its queries in that dimension alone
+    all text or all clips. Queries go in order of ``pos`` if they have one, else of their
+    ids; one verdict is told for each id. A call that fails fails its queries in that dimension alone
     ("call failed"); a reply without the literal fails with "invalid format"."""
-    place = F.floor((F.row_number().over(Window.partitionBy("video_id").orderBy("query_id")) - 1) / size).cast("int")
-    parts = queries.select("video_id", "query_id", "query_text", "media", place.alias("part"))
+    pos = F.col("pos" if "pos" in queries.columns else "query_id")
+    place = F.floor((F.row_number().over(Window.partitionBy("video_id").orderBy(pos)) - 1) / size).cast("int")
+    parts = queries.select("video_id", "query_id", "query_text", "media", pos.alias("pos"), place.alias("part"))
     one = parts.select("*", F.array(F.struct("query_id", "query_text")).alias("_one"))
     shown = payload.pretty_column(one, "_one")
     rows = None
     for k, dim in enumerate(WATCHES):
         prompt = text.rendered(templates[dim], video_id=F.col("video_id"), round_index=F.lit(round_index), queries_json=shown)
-        own = one.select("video_id", "part", "query_id", F.lit(k).alias("k"), F.lit(dim).alias("dim"), prompt.alias("prompt"), (F.coalesce("media", F.array().cast("array<string>")) if WATCHES[dim] else F.array().cast("array<string>")).alias("media"))
+        own = one.select("video_id", "part", "pos", "query_id", F.lit(k).alias("k"), F.lit(dim).alias("dim"), prompt.alias("prompt"), (F.coalesce("media", F.array().cast("array<string>")) if WATCHES[dim] else F.array().cast("array<string>")).alias("media"))
         rows = own if rows is None else rows.unionByName(own)
-    packed = F.sort_array(F.collect_list(F.struct("query_id", "prompt", "media")))
+    packed = F.sort_array(F.collect_list(F.struct("pos", "query_id", "prompt", "media")))
     work = rows.groupBy("video_id", "part", "k", "dim").agg(packed.alias("p"))
-    work = work.select(F.concat_ws("\t", "video_id", "part", "dim").alias("key"), "video_id", "k", "dim", F.col("p.query_id").alias("ids"), F.col("p.prompt").alias("prompts"), F.col("p.media").alias("media"))
-    got = work.select("key", "video_id", "k", "dim", "ids").join(stages.settled(grouped_stage(work, client)), "key")
-    each = got.select("video_id", "k", "dim", "error", F.posexplode("ids").alias("at", "query_id"), "raws").withColumn("raw", F.get("raws", F.col("at")))
+    work = work.select(F.concat_ws("\t", "video_id", "part", "dim").alias("key"), "video_id", "k", "dim", F.col("p.query_id").alias("ids"), F.col("p.pos").alias("places"), F.col("p.prompt").alias("prompts"), F.col("p.media").alias("media"))
+    got = work.select("key", "video_id", "k", "dim", "ids", "places").join(stages.settled(grouped_stage(work, client)), "key")
+    each = got.select("video_id", "k", "dim", "error", F.posexplode("ids").alias("at", "query_id"), "raws", "places").withColumn("raw", F.get("raws", F.col("at"))).withColumn("pos", F.get("places", F.col("at")))
     value = F.coalesce(*[F.when(F.col("dim") == d, json_text.verdict(F.col("raw"), d)) for d in WATCHES])
     each = each.withColumn("v", value).withColumn("ok", F.col("error").isNull() & F.coalesce(F.col("v.pass"), F.lit(False)))
     why = F.when(F.col("error").isNotNull(), "call failed").otherwise(F.col("v.reason"))
-    told = F.when(~F.col("ok") & (F.length(why) > 0), F.struct("k", F.concat_ws(": ", F.regexp_replace("dim", "_pass$", ""), why).alias("t")))
+    told = F.when(~F.col("ok") & (F.length(why) > 0), F.struct("k", "pos", F.concat_ws(": ", F.regexp_replace("dim", "_pass$", ""), why).alias("t")))
     g = each.groupBy("video_id", "query_id").agg(*[F.bool_or((F.col("dim") == d) & F.col("ok")).alias(d) for d in WATCHES], F.array_join(F.transform(F.sort_array(F.collect_list(told)), lambda x: x["t"]), "; ").alias("failure_reason"))
     return g.select("video_id", "query_id", F.lit(round_index).alias("round_index"), json_text.decision(*map(F.col, WATCHES)).alias("decision"), *WATCHES, "failure_reason", F.lit("").alias("suggested_revision"))
 

@@ -87,6 +87,14 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.coalesce(F.when(whole & (hull > 0), overlap(s1, e1, s2, e2).cast("double") / hull), F.lit(0.0))
 
 
+def merged(ranges) -> Column:
+    """An array of spans (arrays of two numbers) with those that touch or overlap as one."""
+    rows = F.array_sort(F.filter(ranges, lambda r: r[0].isNotNull()))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    joined = lambda acc, r: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.array(last(acc)[0], F.greatest(last(acc)[1], r[1]))))
+    return F.aggregate(rows, F.array().cast("array<array<double>>"), lambda acc, r: F.when((F.size(acc) > 0) & (r[0] <= last(acc)[1]), joined(acc, r)).otherwise(F.concat(acc, F.array(r))))
+
+
 def max_iou(pred: Column, gold: Column) -> Column:
     """Best IoU of a span with an array of spans (arrays of two numbers)."""
     best = F.array_max(F.transform(gold, lambda g: iou(pred[0], pred[1], g[0], g[1])))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import json_text, payload, schema, text
+from ..functions import json_text, payload, schema, spans, text
 from ..sources.model import Client, ManyClient, batched_stage, model_stage
 from . import intervals, ranking, stages
 
@@ -176,14 +176,13 @@ def reground_compared(annotations: DataFrame, regrounded: DataFrame, margin: flo
     human_time_ranges array<array<double>>, model_time_range) against (query_id,
     time_range): mean IoU and hits of the old and of the new span, and of the spans that
     moved how many came closer or went farther by more than ``margin``. A query without a
-    new span keeps its old IoU. Human spans that touch are merged first."""
+    new span keeps its old IoU; without human spans it counts as met. Human spans that touch
+    are merged first, within the row: rows of spans are never sorted or joined."""
     kept = annotations.where(~F.coalesce("not_groundable", F.lit(False)))
-    spans = kept.select("query_id", F.explode_outer("human_time_ranges").alias("r")).select("query_id", F.col("r")[0].alias("start"), F.col("r")[1].alias("end"))
-    merged = intervals.span_union(spans.where("start IS NOT NULL"), "query_id")
-    three = kept.select("query_id", F.col("model_time_range").alias("old")).join(regrounded.select("query_id", F.col("time_range").alias("new")), "query_id", "left").join(merged, "query_id", "left")
-    overlap = lambda c: F.greatest(F.lit(0.0), F.least(F.col(c)[1], F.col("end")) - F.greatest(F.col(c)[0], F.col("start")))
-    hull = lambda c: F.greatest(F.col(c)[1], F.col("end")) - F.least(F.col(c)[0], F.col("start"))
-    best = lambda c: F.coalesce(F.max(F.try_divide(overlap(c), hull(c))), F.lit(0.0))
+    three = kept.select("query_id", F.col("model_time_range").alias("old"), spans.merged("human_time_ranges").alias("_human"))
+    three = three.join(regrounded.select("query_id", F.col("time_range").alias("new")), "query_id", "left")
+    alone = lambda c: spans.valid_span(F.col(c)[0], F.col(c)[1]).cast("double")
+    best = lambda c: F.max(F.when(F.size("_human") > 0, spans.max_iou(F.col(c), F.col("_human"))).otherwise(alone(c)))
     one = three.groupBy("query_id", "old", "new").agg(best("old").alias("a"), best("new").alias("n")).withColumn("b", F.when(F.col("new").isNull(), F.col("a")).otherwise(F.col("n")))
     moved = F.col("new").isNotNull() & (F.col("new") != F.col("old"))
     a, b = F.col("a"), F.col("b")

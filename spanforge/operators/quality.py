@@ -9,6 +9,22 @@ from ..functions import domains
 from ..functions.text import leading_phrase, words
 
 
+def _sets(rows: DataFrame, key: str, ident: str, text: str) -> DataFrame:
+    """(k, i, w): the set of words of each row that has any."""
+    return rows.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.array_sort(F.array_distinct(words(F.col(text)))).alias("w")).where("size(w) > 0")
+
+
+def all_similar_pairs(rows: DataFrame, key: str, ident: str, text: str, least: float = 0.7) -> DataFrame:
+    """(key, a, b, overlap), a < b: every pair of rows of one key whose words overlap enough,
+    equal texts too. Classes are compared, then their rows are paired."""
+    sets = _sets(rows, key, ident, text)
+    rep = sets.groupBy("k", "w").agg(F.min("i").alias("c"))
+    members = sets.join(rep, ["k", "w"]).select(F.col("k").alias(key), "c", "i")
+    x, y = (members.select(key, F.col("c").alias(c), F.col("i").alias(i)) for c, i in (("a", "x"), ("b", "y")))
+    each = similar_pairs(rows, key, ident, text, least).join(x, [key, "a"]).join(y, [key, "b"]).where("if(a = b, x < y, x <> y)")
+    return each.select(key, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap")
+
+
 def similar_pairs(rows: DataFrame, key: str, ident: str, text: str, least: float = 0.7) -> DataFrame:
     """(key, a, b, pairs, overlap): classes of rows of one key whose words overlap enough.
 
@@ -19,7 +35,7 @@ def similar_pairs(rows: DataFrame, key: str, ident: str, text: str, least: float
     Two sets with ``least`` of the larger in common share a word among the first
     ``n - ceil(least n) + 1`` of each, in any one order of words: classes meet there only,
     rarest words of the key first, so a common word brings none together."""
-    sets = rows.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.array_sort(F.array_distinct(words(F.col(text)))).alias("w")).where("size(w) > 0")
+    sets = _sets(rows, key, ident, text)
     classes = sets.groupBy("k", "w").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("m"))
     each = classes.select("k", "i", F.size("w").alias("n"), F.explode("w").alias("word"))
     counts = each.groupBy("k", "word").agg(F.count(F.lit(1)).alias("c"))

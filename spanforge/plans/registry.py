@@ -333,12 +333,9 @@ def leading_phrase_repeats(t):
 _SETS = f"(SELECT conv_id, turn, list_distinct(string_split({_NORM}, ' ')) AS w FROM conversations WHERE length({_NORM}) > 0)"
 
 
-_CLASSES = f"(SELECT conv_id, min(turn) AS turn, list_sort(w) AS w, count(*) AS m FROM {_SETS} GROUP BY conv_id, list_sort(w))"
-
-
-@query(f"SELECT a.conv_id, a.turn AS a, b.turn AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)), 6) AS overlap, a.m * b.m AS pairs FROM {_CLASSES} a JOIN {_CLASSES} b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)) >= 0.2 UNION ALL SELECT conv_id, turn, turn, 1.0, m * (m - 1) // 2 FROM {_CLASSES} WHERE m > 1")
+@query(f"SELECT a.conv_id, a.turn AS a, b.turn AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)), 6) AS overlap FROM {_SETS} a JOIN {_SETS} b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)) >= 0.2")
 def word_overlap_pairs(t):
-    return quality.similar_pairs(t("conversations"), "conv_id", "turn", "text", 0.2).select("conv_id", "a", "b", F.round("overlap", 6).alias("overlap"), "pairs")
+    return quality.all_similar_pairs(t("conversations"), "conv_id", "turn", "text", 0.2).select("conv_id", "a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 _MOOD = "array['a happy, low voice', 'She sighs, clearly expressing sadness and anger; then', 'a sad, high pitch and', 'no cue', 'very tense and', 'An upset, ALARMED crowd, showing some fear']"

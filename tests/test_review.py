@@ -161,3 +161,47 @@ def test_contiguity_of_long_conversations(spark, tmp_path):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert got == set(con.execute(registry.oracle_sql()["contiguity_check"]).fetchall())
     assert {(1, "user", True), (2, "user", False), (3, "user", False), (4, "user", True)} <= got
+
+
+def test_every_pair_of_similar_texts(spark):
+    from spanforge.operators import quality
+
+    rows = [(k, i, x) for k in (0, 1) for i, x in enumerate(("a b", "b a", "a b c", "d", "A b", "", "c d"))]
+    want = {(k, i, j) for k, i, x in rows for h, j, y in rows if k == h and i < j and x and y and len(set(x.lower().split()) & set(y.lower().split())) / max(len(x.split()), len(y.split())) >= 0.5}
+    got = quality.all_similar_pairs(spark.createDataFrame(rows, "k long, i long, x string"), "k", "i", "x", 0.5).collect()
+    assert {(r.k, r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_spans_are_merged_within_a_row(spark):
+    from spanforge.functions import spans
+    from spanforge.operators import batches
+
+    h = "array<array<double>>"
+    rows = spark.createDataFrame([([[15.0, 21.0], [5.0, 9.0], [10.0, 15.0], [20.0, 20.5], [40.0, 41.0]],), ([],)], f"h {h}")
+    assert [r.m for r in rows.select(spans.merged("h").alias("m")).collect()] == [[[5.0, 9.0], [10.0, 21.0], [40.0, 41.0]], []]
+    said = spark.createDataFrame([("a", False, [[0.0, 4.0], [4.0, 8.0]], [0.0, 8.0]), ("b", False, None, [1.0, 2.0])], f"query_id string, not_groundable boolean, human_time_ranges {h}, model_time_range array<double>")
+    new = spark.createDataFrame([("a", [0.0, 4.0])], "query_id string, time_range array<double>")
+    got = batches.reground_compared(said, new)
+    assert got.first()[:4] == (2, 1.0, 0.75, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+
+
+def test_predictions_and_streams_are_written_by_many_tasks(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from pyspark.sql import DataFrame
+
+    def refused(self, n):
+        raise AssertionError("one task for all rows")
+
+    monkeypatch.setattr(DataFrame, "coalesce", refused)
+    assert entry.queries()["predictions_read"](spark, "/root/testdata/sf0.001").count() > 0
+    assert entry.queries()["stream_islands"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_model_calls_are_dealt_over_tasks(spark):
+    from spanforge.sources.model import FakeClient, model_stage
+
+    work = spark.range(400).coalesce(1).selectExpr("cast(id as string) key", "'x' prompt", "cast(array() as array<string>) media")
+    said = model_stage(work, lambda: FakeClient(lambda p: p))
+    assert said.rdd.getNumPartitions() > 1 and said.count() == 400

@@ -35,10 +35,11 @@ def caption_stage(segments: DataFrame, done: DataFrame | None, client: Callable[
     work = segments if done is None else ranking.pending(segments, done, ["video_id", "segment_id"])
     prompt = text.rendered(template, segment_id=F.col("segment_id"), start=F.col("start_time"), end=F.col("end_time"))
     work = work.withColumns({"key": F.concat_ws("\t", "video_id", "segment_id"), "prompt": prompt, "media": F.array_compact(F.array("clip_path"))})
-    replies = settled(model_stage(work, client))
-    rows = work.join(replies, "key")
+    # replies are read in the tasks that asked for them: those after a join are few, by bytes
     c = json_text.normalized_caption(F.col("raw"), F.lit(modality), F.lit("low"))
-    return rows.select("video_id", "segment_id", F.array("start_time", "end_time").alias("time_range"), c.alias("c"), "error").select("video_id", "segment_id", "time_range", "c.*", "error")
+    replies = settled(model_stage(work, client).select("key", c.alias("c"), "error"))
+    rows = work.join(replies, "key")
+    return rows.select("video_id", "segment_id", F.array("start_time", "end_time").alias("time_range"), "c", "error").select("video_id", "segment_id", "time_range", "c.*", "error")
 
 
 def caption_payloads(captions: DataFrame) -> DataFrame:
@@ -55,8 +56,9 @@ def event_stage(captions: DataFrame, segments: DataFrame, client: Callable[[], C
     drawn, todo = None, p
     for k in range(1, draws + 1):  # only videos without a fitting draw are asked again
         tries = todo.withColumns({"draw": F.lit(k), "key": F.concat_ws("\t", "video_id", F.lit(k)), "prompt": F.concat(F.lit("events\n"), F.col("payload")), "media": F.array().cast("array<string>")})
-        got = tries.select("key", "video_id", "draw", "ceiling").join(model_stage(tries, client), "key")
-        got = settled(got.withColumn("events", F.coalesce(F.from_json(json_text.first_array(F.col("raw")), EVENT), F.array().cast(EVENT))))
+        told = F.coalesce(F.from_json(json_text.first_array(F.col("raw")), EVENT), F.array().cast(EVENT))
+        said = model_stage(tries, client).select("key", told.alias("events"))
+        got = settled(tries.select("key", "video_id", "draw", "ceiling").join(said, "key"))
         drawn = got if drawn is None else drawn.unionByName(got)
         todo = todo.join(got.where(F.size("events") > F.col("ceiling")).select("video_id"), "video_id", "left_semi")
         if k < draws and got.where(F.size("events") > F.col("ceiling")).isEmpty():
@@ -80,7 +82,8 @@ def query_stage(captions: DataFrame, events: DataFrame, segments: DataFrame, cli
     told = F.to_json(F.sort_array(F.collect_list(F.struct("start", "end", "label", "description"))))
     work = caption_payloads(captions).join(events.groupBy("video_id").agg(told.alias("told")), "video_id")
     work = work.withColumns({"key": F.col("video_id"), "prompt": F.concat(F.lit("queries\n"), "payload", F.lit("\n"), "told"), "media": F.array().cast("array<string>")})
-    raw = settled(model_stage(work, client)).select(F.col("key").alias("video_id"), F.posexplode(F.from_json(json_text.first_array(F.col("raw")), QUERY)).alias("pos", "q"))
+    said = settled(model_stage(work, client).select("key", F.from_json(json_text.first_array(F.col("raw")), QUERY).alias("said")))
+    raw = said.select(F.col("key").alias("video_id"), F.posexplode("said").alias("pos", "q"))
     stop = segments.groupBy("video_id").agg(F.max("end_time").alias("stop"))
     rows = raw.join(stop, "video_id").withColumns({"start": spans.clamp(F.col("q.time_range")[0], F.col("stop")), "end": spans.clamp(F.col("q.time_range")[1], F.col("stop"))})
     rows = rows.where(F.col("q.query_type").isin(*domains.QUERY_TYPES) & (F.size("q.time_range") == 2) & spans.valid_span(F.col("start"), F.col("end")))
@@ -109,9 +112,9 @@ def verify(pending: DataFrame, client: Callable[[], Client]) -> DataFrame:
     missing literal fails that dimension alone. Every query gets a verdict."""
     work = pending.select("video_id", "query_id", "text", F.explode(F.array(*map(F.lit, DIMENSIONS))).alias("dim"))
     work = work.withColumns({"key": F.concat_ws("\t", "video_id", "query_id", "dim"), "prompt": F.concat_ws("\n", F.lit("verify"), "dim", "text"), "media": F.array().cast("array<string>")})
-    got = work.select("key", "video_id", "query_id", "dim").join(settled(model_stage(work, client)), "key", "left")
     v = F.from_json(json_text.first_object(F.col("raw")), "pass boolean, reason string, suggested_revision string")
-    got = got.withColumn("v", v).withColumn("ok", F.coalesce(F.col("v.pass"), F.lit(False)))
+    said = settled(model_stage(work, client).select("key", v.alias("v"), "error"))
+    got = work.select("key", "video_id", "query_id", "dim").join(said, "key", "left").withColumn("ok", F.coalesce(F.col("v.pass"), F.lit(False)))
     got = got.withColumn("reason", F.when(F.col("error").isNotNull(), "call failed").when(F.col("v.pass").isNull(), "invalid format").otherwise(F.col("v.reason")))
     each = got.groupBy("video_id", "query_id").agg(*[F.bool_or((F.col("dim") == d) & F.col("ok")).alias(d) for d in DIMENSIONS], F.concat_ws("; ", F.sort_array(F.collect_list(F.when(~F.col("ok"), F.concat_ws(": ", "dim", "reason"))))).alias("failure_reason"), F.max("v.suggested_revision").alias("suggested_revision"))
     return each.withColumn("decision", json_text.decision(*map(F.col, DIMENSIONS)))

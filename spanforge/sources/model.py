@@ -49,6 +49,14 @@ class HttpClient:
             return json.load(reply)["choices"][0]["message"]["content"]
 
 
+def dealt(work: DataFrame) -> DataFrame:
+    """The rows of ``work`` over as many tasks as a shuffle has: calls take long, and tables of
+    few bytes hold many of them. A fixed number, as adaptive tasks are measured in bytes."""
+    spark = work.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return work.repartition(n, "key")
+
+
 def retry_delay(attempt: int, most: float = 60) -> float:
     return min(5 * 2 ** (attempt - 1), most)
 
@@ -85,7 +93,7 @@ def model_stage(work: DataFrame, client: Callable[[], Client], attempts: int = 3
             if close:
                 close()
 
-    return work.select("key", "prompt", "media").mapInArrow(run, "key string, raw string, error string, attempts int")
+    return dealt(work.select("key", "prompt", "media")).mapInArrow(run, "key string, raw string, error string, attempts int")
 
 
 _ANSWERED = pa.schema([("key", pa.string()), ("raw", pa.string()), ("error", pa.string()), ("calls", pa.int32())])

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import domains
-from .text import enum_or, scrubbed, without_reasoning
+from .text import enum_or, once, scrubbed, without_reasoning
 
 REQUIRED = ("segment_id", "time_range", "visual_description", "audio_description", "confidence", "evidence_strength")
 
@@ -79,7 +79,11 @@ def normalized_caption(raw: Column, modality: Column, default: Column) -> Column
     """Any reply as struct<visual,audio,confidence,evidence,status>. Plain text goes to
     its modality's side; text that looks like JSON but cannot be read is salvaged with
     low confidence and weak evidence, and so is an empty reply."""
-    j = F.from_json(first_object(raw), CAPTION)
+    return once(F.from_json(first_object(raw), CAPTION), lambda j: _caption_told(j, raw, modality, default))
+
+
+def _caption_told(j: Column, raw: Column, modality: Column, default: Column) -> Column:
+    """The caption of a reply that was read as ``j``."""
     blank = F.length(F.trim(F.coalesce(raw, F.lit("")))) == 0
 
     def full(c: Column) -> Column:

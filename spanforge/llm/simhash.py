@@ -54,11 +54,12 @@ class Layout(NamedTuple):
     bits: int  # that linked fingerprints may differ in
     parts: tuple[tuple[int, bool], ...]  # first bit, has a covering code
     together: int  # parts compared in one pass; bounds what a pass shuffles
+    more: tuple[str, ...] = ()  # further columns that go along
 
     @property
     def columns(self) -> list[str]:
-        """The words of a fingerprint, then its node if that is not the only word."""
-        return ["fp"] if self.words == 1 else [*(f"fp{i}" for i in range(self.words)), "node"]
+        """The words of a fingerprint, what goes along, then its node if that is not the only word."""
+        return ["fp"] if self.words == 1 else [*(f"fp{i}" for i in range(self.words)), *self.more, "node"]
 
     @property
     def schema(self) -> str:

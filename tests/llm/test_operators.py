@@ -126,6 +126,31 @@ def test_one_of_each_against_brute_force_and_planted_copies(spark, documents):
         assert sum(k not in kept for k, j in alike.items() if j >= 0.9) >= 0.98 * sum(j >= 0.9 for j in alike.values())
 
 
+def _family(rng, n, share):
+    """Copies of one text, each with its own words changed."""
+    words = [f"base{rng.randrange(10**6)}" for _ in range(400)]
+    return [" ".join(w if rng.random() > share else f"edit{rng.randrange(10**6)}" for w in words) for _ in range(n)]
+
+
+def test_no_pair_that_meets_is_left_out(spark, tmp_path):
+    """Groups are those of all pairs that meet within the bits and share 0.8 of their shingles,
+    also where the nearest neighbours of both ends share less."""
+    rng = random.Random(3)
+    texts = [t for share in (0.02, 0.022, 0.024, 0.026) for t in _family(rng, 60, share)]
+    sets = [np.sort(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    prints = [sum(w << 64 * k for k, w in enumerate(simhash.print_of(s, 4))) for s in sets]
+    want = brute.components(list(range(len(texts))), lambda a, b: meet(prints[a], prints[b]) and similar.similarity(sets[a], sets[b]) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kept = {r.doc_id for r in similar.one_of_each(df).select("doc_id").collect()}
+    assert 4 < len(set(want.values())) < len(texts) and kept <= set(want.values())
+    # all pairs at once give the same groups
+    signed = [[(p >> 64 * k & (1 << 64) - 1) - ((p >> 64 * k + 63 & 1) << 64) for k in range(4)] for p in prints]
+    rows = spark.createDataFrame([(*p, len(s), i) for i, (p, s) in enumerate(zip(signed, sets, strict=True))], "fp0 long, fp1 long, fp2 long, fp3 long, size long, node long")
+    plain = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    found = {r.node: r.component for r in similar.linked(rows, plain, str(tmp_path / "once"), many=10**6).collect()}
+    assert {i for i in range(len(texts)) if found.get(i, i) == i} == kept
+
+
 def test_texts_that_only_share_lines_stay(spark):
     """Repeated lines rule the prints, and the shingles tell the texts apart."""
     rng = random.Random(5)

@@ -47,14 +47,12 @@ def connected(links: DataFrame, root: str) -> DataFrame:
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest index that each of 0..n-1 reaches by links a[i] - b[i]."""
-    label = np.arange(n)
+    label = np.arange(n)  # between rounds the smallest index of each node's tree
     while len(a):
-        m = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, m)
-        np.minimum.at(label, b, m)
-        label = label[label]
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
-    while (label[label] != label).any():
-        label = label[label]
     return label

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import duckdb
@@ -13,7 +14,7 @@ import xxhash
 from conftest import ODD, frame
 from pyspark.sql import functions as F
 
-from spanforge.llm import common, embed_dedup, language_id, license_scan, media, mixing, packing, queries, similar, simhash, token_counts
+from spanforge.llm import common, components, embed_dedup, language_id, license_scan, media, mixing, packing, queries, similar, simhash, token_counts
 
 TOK = queries.TOKENIZERS
 
@@ -151,6 +152,45 @@ def test_no_pair_that_meets_is_left_out(spark, tmp_path):
     assert {i for i in range(len(texts)) if found.get(i, i) == i} == kept
 
 
+def test_near_copies_below_the_similarity_are_never_listed_as_pairs(spark):
+    """Texts that meet each other within the bits but share less: what is written grows with
+    their number, not with its square."""
+    rng = random.Random(9)
+    words = [f"base{rng.randrange(10**6)}" for _ in range(800)]
+    edits = []
+    while len(edits) < 200:  # ten words in each, two at most in the same place: 0.776 to 0.797
+        new = set(rng.sample(range(7, 790, 5), 10))
+        if all(len(new & x) <= 2 for x in edits):
+            edits.append(new)
+    texts = [(i, " ".join(f"edit{i}x{k}" if k in x else w for k, w in enumerate(words))) for i, x in enumerate(edits)]
+    before = {p for _, p in common._made}
+    assert similar.one_of_each(spark.createDataFrame(texts, "doc_id long, text string")).count() == 200
+    tables = {f.parent for _, p in common._made if p not in before for f in Path(p.removeprefix("file:")).rglob("*.parquet")}
+    rows_of = {d.name: spark.read.parquet(str(d)).count() for d in tables}
+    assert rows_of and max(rows_of.values()) <= 20 * len(texts), rows_of
+
+
+def test_links_that_span_groups_are_those_of_all_pairs():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n, base = int(rng.integers(1, 40)), rng.integers(0, 30, int(rng.integers(0, 30)))
+        sets = [np.sort(np.append(base[rng.random(len(base)) > rng.choice([0, 0.05, 0.2])], rng.integers(0, 50, int(rng.integers(0, 4))))).astype(np.uint64) for _ in range(n)]
+        want = brute.components(list(range(n)), lambda a, b: similar.similarity(sets[a], sets[b]) >= 0.8)  # noqa: B023
+        links = list(similar.spanning(sets, 0.8))
+        assert len(links) < n and brute.components(list(range(n)), lambda a, b: (a, b) in links or (b, a) in links) == want  # noqa: B023
+
+
+def test_forest_reaches_over_nodes_that_joined_before():
+    """5 joins 3 first and 1, over 7, later: 3 follows."""
+    assert components.forest(np.array([5, 5, 7]), np.array([3, 7, 1]), 8).tolist() == [0, 1, 2, 1, 4, 1, 6, 1]
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        n = int(rng.integers(1, 40))
+        a, b = rng.integers(0, n, (2, int(rng.integers(0, 50))))
+        pairs = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert components.forest(a, b, n).tolist() == [*brute.components(list(range(n)), lambda x, y: (x, y) in pairs or (y, x) in pairs).values()]  # noqa: B023
+
+
 def test_texts_that_only_share_lines_stay(spark):
     """Repeated lines rule the prints, and the shingles tell the texts apart."""
     rng = random.Random(5)

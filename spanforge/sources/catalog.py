@@ -149,17 +149,24 @@ def read_run(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFra
     return out
 
 
-def merged_runs(spark: SparkSession, folders: list[str], name: str) -> DataFrame:
-    """One table of several runs. The last run that holds a video has all its rows: what
-    that run no longer has is gone."""
+def latest(tables: list[DataFrame]) -> DataFrame:
+    """One table of several, the oldest first: each video's rows in the last that holds it."""
+    if len(tables) == 1:
+        return tables[0]
     rows = None
-    for k, folder in enumerate(folders):
-        own = read_run(spark, folder, name)[name].withColumn("_run", F.lit(k))
+    for k, own in enumerate(tables):
+        own = own.withColumn("_run", F.lit(k))
         rows = own if rows is None else rows.unionByName(own)
     last = rows.groupBy(F.col("video_id").alias("_video")).agg(F.max("_run").alias("_last"))
     return rows.join(last, F.col("video_id").eqNullSafe(F.col("_video")) & (F.col("_run") == F.col("_last")), "left_semi").drop("_run")
 
 
+def merged_runs(spark: SparkSession, folders: list[str], name: str) -> DataFrame:
+    """One table of several runs. The last run that holds a video has all its rows: what
+    that run no longer has is gone."""
+    return latest([read_run(spark, folder, name)[name] for folder in folders])
+
+
 def merged(spark: SparkSession, folders: list[str], into: str) -> dict[str, DataFrame]:
     """All tables of several runs, merged video by video and written as one run."""
     tables = {n: merged_runs(spark, folders, n) for n in FILES}

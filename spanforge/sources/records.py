@@ -23,6 +23,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern meets, none if there are none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [str(f.getPath().toString()) for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, missing_ok: bool = True) -> DataFrame:
     """JSON lines of a declared schema. Blank lines are skipped, a malformed line
     fails the read, a missing file is an empty table unless ``missing_ok`` is off."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,33 +15,54 @@ _S = T.StringType()
 
 
 class VideoStore:
-    """Tables of a run with a partition for each video.
+    """Tables of a run that take in later runs video by video.
 
     ``replace`` takes over whole videos: a video that the new rows of a table hold loses
-    all its old rows of that table, others keep theirs (dynamic partition overwrite).
-    It may be repeated after a crash, as it touches no video beside those it writes.
-    A folder a video fits some 10^5 videos; beyond, keep one folder a run and read them
-    by ``catalog.merged_runs``, which gives the same rows.
+    all its old rows of that table, others keep theirs. It writes the new rows as one more
+    part, a folder of files whatever the number of videos; ``table`` takes each video from
+    the last part that holds it. A part counts once the table's list names it, and the list
+    is put in place in one step: a stop before that leaves the table as it was, and the call
+    may be repeated. After ``most`` parts the table is written anew as one, without the rows
+    that were replaced; all else in its folder goes. A table that an earlier version wrote,
+    with a folder a video, is taken as its first part. One writer at a time is assumed.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    OLD = "video_id=*"
+
+    def __init__(self, spark: SparkSession, folder: str, most: int = 8):
+        self.spark, self.folder, self.most = spark, folder.rstrip("/"), most
+
+    def _parts(self, name: str) -> list[str]:
+        """The names of the parts that count, the oldest first."""
+        path = f"{self.folder}/{name}/parts.json"
+        if records.exists(self.spark, path):
+            return catalog.read_document(self.spark, path)["parts"]
+        return [self.OLD] if records.listed(self.spark, f"{self.folder}/{name}/{self.OLD}") else []
+
+    def _add(self, name: str, rows: DataFrame, before: list[str]) -> list[str]:
+        part = f"part-{uuid.uuid4().hex}"
+        # in order within a file, so that one video is read from few of its pages
+        rows.sortWithinPartitions("video_id").write.parquet(f"{self.folder}/{name}/{part}")
+        catalog.write_document(self.spark, f"{self.folder}/{name}/parts.json", {"parts": [*before, part]})
+        return [*before, part]
 
     def replace(self, tables: dict[str, DataFrame]) -> None:
         """Rows without a video are an error, as nothing could replace them."""
         own = F.when(F.length("video_id") > 0, F.col("video_id")).otherwise(F.raise_error(F.lit("a row without a video")).cast("string"))
         for name, df in tables.items():
             rows = catalog.conformed(catalog.final_rows(df) if name == "final" else df, catalog.SCHEMAS[name])
-            # rebalance: a large video is written by several tasks, small ones share one
-            rows = rows.withColumn("video_id", own).hint("rebalance", "video_id")
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(f"{self.folder}/{name}")
+            parts = self._add(name, rows.withColumn("video_id", own), self._parts(name))
+            if len(parts) > self.most:
+                whole = self._add(name, self.table(name), [])
+                gone = [p for p in records.listed(self.spark, f"{self.folder}/{name}/*") if p.rsplit("/", 1)[1] not in ("parts.json", *whole)]
+                records.drop(self.spark, gone)
 
     def table(self, name: str) -> DataFrame:
         """A table in its declared order of columns, empty if nothing was ever written."""
         schema = catalog.SCHEMAS[name]
-        if not records.exists(self.spark, f"{self.folder}/{name}"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").select(schema.names)
+        base = f"{self.folder}/{name}"
+        parts = [self.spark.read.schema(schema).option("basePath", base).parquet(f"{base}/{p}").select(schema.names) for p in self._parts(name)]
+        return catalog.latest(parts) if parts else self.spark.createDataFrame([], schema)
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in catalog.FILES}

@@ -37,6 +37,33 @@ def test_later_run_takes_over_whole_videos(spark, tmp_path):
         store.replace({"final": final(spark, [(None, "q1", "a")])})
 
 
+def test_a_store_has_no_folder_a_video(spark, tmp_path):
+    store = runs.VideoStore(spark, str(tmp_path / "store"))
+    many = spark.range(600).select(F.concat(F.lit("v"), "id").alias("video_id"), F.lit("q1").alias("query_id"), F.lit("a").alias("final_query_text"))
+    store.replace({"final": many})
+    store.replace({"final": many.where("video_id like 'v1%'").withColumn("final_query_text", F.lit("b"))})
+    assert len(list(tmp_path.rglob("*"))) < 60
+    assert short(store.table("final")) == sorted((f"v{i}", "q1", "b" if str(i)[0] == "1" else "a") for i in range(600))
+
+
+def test_a_store_is_written_anew_after_some_parts(spark, tmp_path):
+    # a table with a folder a video, as earlier versions left it
+    final(spark, [("v0", "q0", "old"), ("v 9/ü", "q0", "old")]).write.partitionBy("video_id").parquet(str(tmp_path / "final"))
+    store = runs.VideoStore(spark, str(tmp_path), most=3)
+    want = {"v0": [("v0", "q0", "old")], "v 9/ü": [("v 9/ü", "q0", "old")]}
+    assert short(store.table("final")) == sorted(sum(want.values(), []))
+    for k in range(8):
+        new = {v: [(v, f"q{i}", f"{k}") for i in range(1 + k % 2)] for v in (f"v{k % 3}", f"v{k}")}
+        want |= new
+        if k == 5:  # a write that fails leaves the table as it was
+            with pytest.raises(Exception, match="a row without a video"):
+                store.replace({"final": final(spark, [("v0", "q1", "lost"), ("", "q1", "lost")])})
+        store.replace({"final": final(spark, sum(new.values(), []))})
+        assert short(store.table("final")) == sorted(sum(want.values(), []))
+        assert len(list(Path(tmp_path, "final").glob("part-*"))) <= 4 and (k < 2 or not list(Path(tmp_path, "final").glob("video_id=*")))
+    assert store.table("final").schema == catalog.FINAL
+
+
 def test_nested_files_of_a_run(spark, tmp_path):
     folder = str(tmp_path / "run")
     segments = spark.createDataFrame(SEGMENTS, records.SEGMENT)
